@@ -1,3 +1,4 @@
 """Import every query family so that its queries are registered."""
 
 from quarry.plans import tick_marts  # noqa: F401
+from quarry.plans import operations  # noqa: F401

@@ -32,3 +32,193 @@ def v_ticks(t: Tables) -> DataFrame:
         .alias("insertion_timestamp"),
         F.to_date("ts").alias("t_dt"),
     )
+
+
+def ts_text(c) -> F.Column:
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
+def epoch_ms(c) -> F.Column:
+    return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast(NTZ), c)
+
+
+# --- feed monitoring (P1-P11) ---------------------------------------------
+
+def v_feeds(t: Tables) -> DataFrame:
+    """name = event_type, last_refresh = ts, latency = value, errors = 1 on every 7th event."""
+    return t.events.select(
+        F.col("event_type").alias("name"),
+        F.col("ts").alias("last_refresh"),
+        F.col("value").alias("latency"),
+        (F.col("event_id") % 7 == 0).cast("int").alias("errors"),
+    )
+
+
+# Stored thresholds exist for two feed names only; the rest use 5 / 10.
+THRESHOLD_ROWS = [("click", 50, 100), ("error", 20, 200)]
+
+
+def v_thresholds(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame(THRESHOLD_ROWS, "name string, warning int, critical int")
+
+
+RUN_STATUS = ["STARTED", "SUCCESS", "FAILURE", "QUEUED"]
+
+
+def v_runs(t: Tables) -> DataFrame:
+    return t.events.select(
+        F.col("event_id").alias("run_id"),
+        F.col("event_type").alias("pipeline_name"),
+        F.element_at(F.array(*[F.lit(s) for s in RUN_STATUS]), (F.col("event_id") % 4 + 1).cast("int")).alias("status"),
+        F.col("ts").alias("start_time"),
+    )
+
+
+def v_stream_entries(t: Tables) -> DataFrame:
+    return t.events.select(
+        F.col("event_type").alias("stream"),
+        F.concat(epoch_ms(F.col("ts")).cast("string"), F.lit("-"), F.col("event_id").cast("string")).alias("entry_id"),
+    )
+
+
+def v_streams(t: Tables) -> DataFrame:
+    """Every stream seen in the entries plus one stream that has none."""
+    empty = t.spark.createDataFrame([("empty",)], "stream string")
+    return t.events.select(F.col("event_type").alias("stream")).distinct().unionByName(empty)
+
+
+# The alert rule list (name, value, text value, category filter).
+RULES = [
+    ("deltaFET / open interest", 0.01, "", ""),
+    ("delta / market space cap", 0.01, "", ""),
+    ("delta / volume", 0.2, "", ""),
+    ("delta / volume 30 days", 0.2, "", ""),
+    ("delta / VWAP volume", 0.2, "", ""),
+    ("delta / auction volume", 0.15, "", "(not in) future.bond index"),
+    ("delta", 1_000_000.0, "", ""),
+    ("notification", 0.0, "touched.*", ""),
+    ("session buys / volume", 0.1, "", ""),
+    ("session sales / volume", 0.1, "", ""),
+    ("close buys / auction volume", 0.1, "", ""),
+    ("close sales / auction volume", 0.1, "", ""),
+    ("tot buys / open interest", 0.01, "", ""),
+    ("tot buys / market cap", 0.01, "", ""),
+    ("session buys / volume 30 days", 0.1, "", ""),
+    ("tot sales / open interest", 0.01, "", ""),
+    ("tot sales / market cap", 0.01, "", ""),
+    ("session sales / volume 30 days", 0.1, "", ""),
+]
+CATEGORIES = ["future.bond index", "equity", "option"]
+
+
+def v_rules(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame(RULES, "name string, value double, text_value string, category_filter string")
+
+
+def v_metrics(t: Tables) -> DataFrame:
+    """Metric rows: rule name by event_id % 18, value = value / 100, text
+    'touched <type>' on every 4th event, category by user_id % 3."""
+    names = F.array(*[F.lit(r[0]) for r in RULES])
+    cats = F.array(*[F.lit(c) for c in CATEGORIES])
+    return t.events.select(
+        F.col("event_id"),
+        F.element_at(names, (F.col("event_id") % 18 + 1).cast("int")).alias("name"),
+        (F.col("value") / 100).alias("value"),
+        F.when(F.col("event_id") % 4 == 3, F.concat(F.lit("touched "), F.col("event_type")))
+        .otherwise(F.lit("quiet")).alias("text"),
+        F.element_at(cats, (F.col("user_id") % 3 + 1).cast("int")).alias("category"),
+    )
+
+
+# --- audit and logs (L1-L10) ----------------------------------------------
+
+def v_audit(t: Tables) -> DataFrame:
+    """Query-log rows: one per event."""
+    e = t.events
+    table = F.when(F.col("event_id") % 3 == 0, F.lit("sample_table")).otherwise(F.lit("other_table"))
+    return e.select(
+        F.col("ts").alias("event_time"),
+        F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("user"),
+        F.concat(F.lit("10.0.0."), (F.col("user_id") % 16).cast("string")).alias("address"),
+        F.concat(F.lit("host-"), (F.col("user_id") % 7).cast("string")).alias("client_hostname"),
+        F.concat(F.lit("SELECT "), F.col("event_type"), F.lit(" FROM "), table).alias("query"),
+        F.concat(F.lit("db."), F.col("event_type")).alias("table_name"),
+        F.floor(F.col("value") * 100).alias("read_rows"),
+        (F.col("event_id") % 5 + 1).cast("int").alias("read_parts"),
+        F.when(F.col("event_id") % 6 == 0, F.lit("ExceptionWhileProcessing")).otherwise(F.lit("QueryFinish")).alias("type"),
+    )
+
+
+def v_sessions(t: Tables) -> DataFrame:
+    """Session rows: login = ts, logout one hour later, still open on every 10th."""
+    return t.events.select(
+        F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("user"),
+        F.concat(F.lit("10.0.0."), (F.col("user_id") % 16).cast("string")).alias("address"),
+        F.concat(F.lit("host-"), (F.col("user_id") % 7).cast("string")).alias("client_hostname"),
+        F.col("ts").alias("login_time"),
+        F.when(F.col("event_id") % 10 == 0, F.lit(None).cast(NTZ))
+        .otherwise(F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("logout_time"),
+    )
+
+
+def v_log_lines(t: Tables) -> DataFrame:
+    """Log lines: file = pod of the user, line_no = event_id (increasing with
+    time), line = '<ts> <TYPE> <props>'."""
+    return t.events.select(
+        F.concat(F.lit("pod-"), F.col("user_id").cast("string")).alias("file"),
+        F.col("event_id").alias("line_no"),
+        F.concat_ws(" ", ts_text(F.col("ts")), F.upper("event_type"), F.col("props")).alias("line"),
+    )
+
+
+def v_task_replies(t: Tables) -> DataFrame:
+    """Failed-task replies ``map<worker, map<task_id, info>>``, one per event."""
+    worker = F.concat(
+        F.when(F.col("user_id") % 3 == 0, F.lit("celery@queue-")).otherwise(F.lit("celery@host-")),
+        F.col("user_id").cast("string"),
+    )
+    task = F.create_map(F.concat(F.lit("task-"), F.col("event_id").cast("string")), F.col("event_type"))
+    return t.events.select(F.create_map(worker, task).alias("failed"))
+
+
+# --- cluster usage (O1-O7) --------------------------------------------------
+
+def v_containers(t: Tables) -> DataFrame:
+    """Container rows from lineitem: pod = order, container = line number."""
+    li = t.lineitem
+    q = F.floor("l_quantity")
+    ln = F.col("l_linenumber")
+    none = F.lit(None).cast("string")
+    return li.select(
+        F.concat(F.lit("ns-"), F.lower("l_returnflag")).alias("namespace"),
+        F.concat(F.lit("pod-"), F.col("l_orderkey").cast("string")).alias("pod"),
+        F.when(F.col("l_orderkey") % 17 == 0, none)
+        .otherwise(F.concat(F.lit("node-"), (F.col("l_orderkey") % 10).cast("string"))).alias("node"),
+        F.concat(F.lit("c"), ln.cast("string")).alias("container"),
+        F.when(ln % 5 == 0, none).otherwise(F.concat(F.col("l_partkey").cast("string"), F.lit("m"))).alias("cpu_request"),
+        F.when(ln % 5 == 0, none).otherwise(F.concat((F.col("l_partkey") * 2).cast("string"), F.lit("m"))).alias("cpu_limit"),
+        F.concat(q.cast("string"), F.lit("Mi")).alias("mem_request"),
+        F.concat((q * 2).cast("string"), F.lit("Mi")).alias("mem_limit"),
+        F.when(ln % 3 == 0, F.concat((F.col("l_partkey") * 1000).cast("string"), F.lit("n")))
+        .when(ln % 3 == 1, F.concat(F.col("l_partkey").cast("string"), F.lit("u")))
+        .otherwise((F.col("l_partkey") % 4).cast("string")).alias("cpu_usage"),
+        F.when(ln == 7, F.concat(q.cast("string"), F.lit("M")))
+        .when(ln % 4 == 0, F.concat((q * 1024).cast("string"), F.lit("Ki")))
+        .when(ln % 4 == 1, F.concat(q.cast("string"), F.lit("Mi")))
+        .when(ln % 4 == 2, F.concat(q.cast("string"), F.lit("Gi")))
+        .otherwise((q * 1000).cast("string")).alias("mem_usage"),
+        (F.col("l_linestatus") == "F").alias("ready"),
+    )
+
+
+def v_nodes(t: Tables) -> DataFrame:
+    """Nodes from suppliers (s_suppkey % 12): nodes 10 and 11 get no pods."""
+    n = t.supplier.groupBy(F.concat(F.lit("node-"), (F.col("s_suppkey") % 12).cast("string")).alias("node")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    return n.select(
+        "node",
+        (F.col("_n") * 4.0).alias("cpu_capacity"),
+        (F.col("_n") * 8 * 1024**3).alias("mem_capacity"),
+        (F.col("_n") * 3.6).alias("cpu_allocatable"),
+        (F.col("_n") * 7 * 1024**3).alias("mem_allocatable"),
+    )
