@@ -222,3 +222,77 @@ def v_nodes(t: Tables) -> DataFrame:
         (F.col("_n") * 3.6).alias("cpu_allocatable"),
         (F.col("_n") * 7 * 1024**3).alias("mem_allocatable"),
     )
+
+
+# --- layouts (B1, B2, S11) ----------------------------------------------------
+
+def v_layout(t: Tables) -> DataFrame:
+    """lineitem as sensor rows: event_date = ship date, date_int = yyyymmdd,
+    sensor_id = l_suppkey, value = l_quantity."""
+    d = F.to_date("l_shipdate")
+    return t.lineitem.select(
+        d.alias("event_date"),
+        F.date_format(d, "yyyyMMdd").cast("int").alias("date_int"),
+        F.col("l_suppkey").alias("sensor_id"),
+        F.col("l_quantity").alias("value"),
+    )
+
+
+# --- marts (M1-M9) -------------------------------------------------------------
+
+def _mart_sql(priority: str) -> str:
+    return ("SELECT o_custkey, count(*) AS orders, sum(o_totalprice) AS total_price FROM orders "
+            f"WHERE o_orderpriority = '{priority}' GROUP BY o_custkey")
+
+
+# name, target, query, depends_on, chunk column, chunk size, concurrency, enabled, cron
+MART_ROWS = [
+    ("1-URGENT", "mart_urgent", _mart_sql("1-URGENT"), [], "o_custkey", 100, 4, 1, "*/15 * * * *"),
+    ("2-HIGH", "mart_high", _mart_sql("2-HIGH"), ["1-URGENT"], "o_custkey", 100, 2, 1, "0 * * * *"),
+    ("3-MEDIUM", "mart_medium", _mart_sql("3-MEDIUM"), [], None, None, 1, 1, "0 * * * *"),
+    ("4-NOT SPECIFIED", "mart_unspecified", _mart_sql("4-NOT SPECIFIED"), ["3-MEDIUM"], None, None, 1, 0, "0 6 * * *"),
+    ("5-LOW", "mart_low", _mart_sql("5-LOW"), ["4-NOT SPECIFIED"], None, None, 1, 1, "0 6 * * *"),
+    ("customer_360", "mart_customer_360",
+     "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer", ["1-URGENT", "2-HIGH"], "c_custkey", 250, 4, 1, "0 2 * * *"),
+    ("weekly_rollup", "mart_weekly", "SELECT o_custkey, count(*) AS orders FROM orders GROUP BY o_custkey",
+     ["customer_360"], None, None, 1, 1, "0 3 * * 1"),
+    ("legacy_export", "mart_legacy", "SELECT * FROM nation", [], None, None, 1, 0, "0 4 * * *"),
+]
+MART_SCHEMA = ("datamart_name string, target_table string, query string, depends_on array<string>, "
+               "chunk_column string, chunk_size bigint, concurrency int, enabled int, schedule_cron string")
+
+
+MART_SCHEMA_NAMES = [f.split()[0] for f in MART_SCHEMA.split(", ")]
+
+
+def v_marts(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame(MART_ROWS, MART_SCHEMA)
+
+
+def v_mart_log(t: Tables) -> DataFrame:
+    """Run log from orders: one run per order; F -> success, O -> failed, P -> running."""
+    st = F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "O", "failed") \
+        .when(F.col("o_orderstatus") == "P", "running")
+    return t.orders.select(
+        F.col("o_orderkey").cast("string").alias("run_id"),
+        F.col("o_orderpriority").alias("datamart_name"),
+        st.alias("status"),
+        F.col("o_orderdate").alias("end_time"),
+    )
+
+
+# --- log records (K1-K6, S7) ------------------------------------------------------
+
+def v_log(t: Tables) -> DataFrame:
+    """Log records: partition = user_id % 4, offset = event_id (increasing with
+    time inside a partition, gaps allowed as after compaction), every 50th
+    payload unreadable."""
+    return t.events.select(
+        F.lit("events").alias("topic"),
+        (F.col("user_id") % 4).cast("int").alias("partition"),
+        F.col("event_id").alias("offset"),
+        F.col("ts").alias("timestamp"),
+        F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("key"),
+        F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("{broken "), F.col("props")))
+        .otherwise(F.col("props")).alias("value"),
+    )

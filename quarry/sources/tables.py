@@ -27,3 +27,9 @@ class Tables:
         if name in TABLES:
             return self.read(name)
         raise AttributeError(name)
+
+
+def register_views(t: Tables, names=TABLES) -> None:
+    """Register the tables as temp views so SQL text (mart bodies) can name them."""
+    for n in names:
+        t.read(n).createOrReplaceTempView(n)
