@@ -3,3 +3,4 @@
 from quarry.plans import tick_marts  # noqa: F401
 from quarry.plans import operations  # noqa: F401
 from quarry.plans import building  # noqa: F401
+from quarry.plans import reshaping  # noqa: F401

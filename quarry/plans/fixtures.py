@@ -296,3 +296,94 @@ def v_log(t: Tables) -> DataFrame:
         F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("{broken "), F.col("props")))
         .otherwise(F.col("props")).alias("value"),
     )
+
+
+# --- key-value data (D1-D9) --------------------------------------------------------
+
+def v_dict(t: Tables) -> DataFrame:
+    """Dict-in-a-string rows: props (NULL on every 13th, 'hello' on every 11th),
+    looked up by 'k' (even ids) or 'z' (odd ids)."""
+    e = t.events
+    d = F.when(F.col("event_id") % 13 == 0, F.lit(None).cast("string")) \
+        .when(F.col("event_id") % 11 == 0, F.lit("hello")).otherwise(F.col("props"))
+    return e.select(
+        F.col("event_id").alias("id"),
+        d.alias("dict_column"),
+        F.when(F.col("event_id") % 2 == 0, F.lit("k")).otherwise(F.lit("z")).alias("filter_key"),
+    )
+
+
+def _s(c) -> F.Column:
+    return F.col(c).cast("string")
+
+
+def v_kv(t: Tables) -> DataFrame:
+    """One dotted-key dictionary built from customer, nation and region:
+    ``c<n>.nation -> n<k>`` (prefix reference), ``n<k>.region -> r<j>``,
+    ``c<n>.tags`` a list literal, ``c<n>.ref`` / ``n<k>.capital`` / ``r<j>.peer``
+    whole-key references, and cycles through ``r<j>.hq -> c<j>`` and the peers."""
+    c, n, r = t.customer, t.nation, t.region
+
+    def kv(df, key, value):
+        return df.select(key.alias("key"), value.alias("value"))
+
+    ck = F.concat(F.lit("c"), _s("c_custkey"))
+    nk = F.concat(F.lit("n"), _s("c_nationkey"))
+    parts = [
+        kv(c, F.concat(ck, F.lit(".name")), F.col("c_name")),
+        kv(c, F.concat(ck, F.lit(".nation")), nk),
+        kv(c, F.concat(ck, F.lit(".segment")), F.col("c_mktsegment")),
+        kv(c, F.concat(ck, F.lit(".tags")),
+           F.concat(F.lit('["'), F.col("c_mktsegment"), F.lit('", "n'),
+                    ((F.col("c_nationkey") + 1) % 25).cast("string"), F.lit('"]'))),
+        kv(c, F.concat(ck, F.lit(".ref")),
+           F.concat(nk, F.when(F.col("c_custkey") % 2 == 0, F.lit(".name")).otherwise(F.lit(".capital")))),
+        kv(n, F.concat(F.lit("n"), _s("n_nationkey"), F.lit(".name")), F.col("n_name")),
+        kv(n, F.concat(F.lit("n"), _s("n_nationkey"), F.lit(".region")), F.concat(F.lit("r"), _s("n_regionkey"))),
+        kv(n, F.concat(F.lit("n"), _s("n_nationkey"), F.lit(".capital")),
+           F.concat(F.lit("r"), _s("n_regionkey"), F.lit(".name"))),
+        kv(n, F.concat(F.lit("n"), _s("n_nationkey"), F.lit(".capital.city")),
+           F.concat(F.lit("CITY_"), _s("n_nationkey"))),
+        kv(r, F.concat(F.lit("r"), _s("r_regionkey"), F.lit(".name")), F.col("r_name")),
+        kv(r, F.concat(F.lit("r"), _s("r_regionkey"), F.lit(".hq")), F.concat(F.lit("c"), _s("r_regionkey"))),
+        kv(r, F.concat(F.lit("r"), _s("r_regionkey"), F.lit(".peer")),
+           F.concat(F.lit("r"), ((F.col("r_regionkey") + 1) % 5).cast("string"), F.lit(".peer"))),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def v_tree(t: Tables) -> DataFrame:
+    """Nested dictionaries, one per customer, as ``(entity, path, value)``."""
+    c = t.customer
+    ent = F.concat(F.lit("c"), _s("c_custkey"))
+
+    def row(path, value):
+        return c.select(ent.alias("entity"), F.array(*[F.lit(p) for p in path]).alias("path"), value.alias("value"))
+
+    parts = [
+        row(["profile", "name"], F.col("c_name")),
+        row(["profile", "segment"], F.col("c_mktsegment")),
+        row(["user.nation"], F.concat(F.lit("n"), _s("c_nationkey"))),
+        row(["user.balance"], F.col("c_acctbal").cast("decimal(12,2)").cast("string")),
+        row(["ignore.internal", "seq"], _s("c_custkey")),
+        row(["tags", "ignore.me"], F.lit("x")),
+        row(["tags", "user.segment"], F.col("c_mktsegment")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def v_wide_source(t: Tables) -> DataFrame:
+    """Per order: ``price_<line>`` and ``volume_<line>`` entries. Line numbers
+    repeat within an order in this data, so an entry sums its lines (a key is
+    unique in a dictionary)."""
+    li = t.lineitem
+    ent = F.col("l_orderkey").alias("entity")
+    p = li.select(ent, F.concat(F.lit("price_"), _s("l_linenumber")).alias("key"), F.col("l_extendedprice").alias("value"))
+    v = li.select(ent, F.concat(F.lit("volume_"), _s("l_linenumber")).alias("key"), F.col("l_quantity").alias("value"))
+    return p.unionByName(v).groupBy("entity", "key").agg(F.sum("value").alias("value"))
