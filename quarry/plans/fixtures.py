@@ -387,3 +387,84 @@ def v_wide_source(t: Tables) -> DataFrame:
     p = li.select(ent, F.concat(F.lit("price_"), _s("l_linenumber")).alias("key"), F.col("l_extendedprice").alias("value"))
     v = li.select(ent, F.concat(F.lit("volume_"), _s("l_linenumber")).alias("key"), F.col("l_quantity").alias("value"))
     return p.unionByName(v).groupBy("entity", "key").agg(F.sum("value").alias("value"))
+
+
+# --- file ingestion (F1-F11) ---------------------------------------------------------
+
+def v_files(t: Tables) -> DataFrame:
+    """One file per document: '/share/<source>_<doc_id>.csv' (every 25th is an
+    '.xlsx' the reader does not handle), in doc_id order; a document labelled
+    quality 0 is an empty file."""
+    d = t.documents.join(t.labels.select("doc_id", "quality", "toxic"), "doc_id", "left")
+    ext = F.when(F.col("doc_id") % 25 == 0, F.lit(".xlsx")).otherwise(F.lit(".csv"))
+    return d.select(
+        F.concat(F.lit("/share/"), F.col("source"), F.lit("_"), _s("doc_id"), ext).alias("file_path"),
+        F.col("doc_id").alias("file_order"),
+        "doc_id", "text",
+        F.coalesce("quality", F.lit(1)).alias("quality"),
+        F.coalesce("toxic", F.lit(0)).alias("toxic"),
+    )
+
+
+def v_file_lines(files: DataFrame) -> DataFrame:
+    """Lines of the non-empty files: (file_path, line_no from 0, line)."""
+    return files.where(F.col("quality") != 0).select(
+        "file_path", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
+# Routing rules (order, regex on the base name, target).
+ROUTE_RULES = [(1, "src1.*", "public.one"), (2, "src[02-9].*", "public.rest")]
+EXISTING_VERSIONS = [("public.one", 3)]
+RUN_TS = "2024-02-01 00:00:00"
+
+
+def v_route_rules(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame(ROUTE_RULES, "rule_order int, regex string, target_table string")
+
+
+def v_existing_versions(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame(EXISTING_VERSIONS, "target_table string, _version_id int")
+
+
+# --- delimited files and quality (Q1-Q5) -----------------------------------------------
+
+def v_control(t: Tables) -> DataFrame:
+    """Control text per part: even sizes declare ';' and '"' (lower case when
+    the size is a multiple of 4), odd sizes declare neither."""
+    p = t.part
+    infile = F.concat(F.lit("LOAD DATA INFILE 'f"), _s("p_partkey"), F.lit(".txt' INTO TABLE parts "))
+    upper = F.lit("FIELDS TERMINATED BY ';' OPTIONALLY ENCLOSED BY '\"'")
+    lower = F.lit("fields terminated by ';' optionally enclosed by '\"'")
+    clause = F.when(F.col("p_size") % 4 == 0, lower).when(F.col("p_size") % 2 == 0, upper).otherwise(F.lit(""))
+    return p.select(F.col("p_partkey").alias("file_id"), F.concat(infile, clause).alias("ctl_config"))
+
+
+# table, field, check, expected (text; allowed values separated by '|')
+CONSTRAINT_ROWS = [
+    ("customer", "c_custkey", "type", "int"),
+    ("customer", "c_custkey", "min", "0"),
+    ("customer", "c_custkey", "no_duplicates", "true"),
+    ("customer", "c_custkey", "max_nulls", "0"),
+    ("customer", "c_acctbal", "min", "0"),
+    ("customer", "c_acctbal", "max", "10000"),
+    ("customer", "c_acctbal", "sign", "non-negative"),
+    ("customer", "c_mktsegment", "allowed_values", "AUTOMOBILE|BUILDING|FURNITURE|HOUSEHOLD|MACHINERY"),
+    ("customer", "c_mktsegment", "min_length", "5"),
+    ("customer", "c_mktsegment", "max_length", "10"),
+    ("customer", "c_name", "rex", "^Customer#[0-9]{9}$"),
+    ("customer", "c_name", "no_duplicates", "true"),
+    ("lineitem", "l_quantity", "type", "real"),
+    ("lineitem", "l_quantity", "min", "1"),
+    ("lineitem", "l_quantity", "max", "50"),
+    ("lineitem", "l_discount", "max", "0.1"),
+    ("lineitem", "l_discount", "sign", "non-negative"),
+    ("lineitem", "l_returnflag", "allowed_values", "A|N|R"),
+    ("lineitem", "l_shipdate", "type", "date"),
+    ("lineitem", "l_shipdate", "max_nulls", "0"),
+    ("lineitem", "l_orderkey", "no_duplicates", "true"),
+]
+CONSTRAINT_FILE = "constraints/quarry_checks.tdda"
+
+
+def v_constraints(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame(CONSTRAINT_ROWS, "table_name string, field string, check string, expected string")
