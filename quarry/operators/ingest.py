@@ -106,10 +106,10 @@ def skip_empty(files: DataFrame) -> DataFrame:
     return files.where(F.col("rows") > 0)
 
 
-def extension_status(files: DataFrame) -> DataFrame:
+def extension_status(files: DataFrame, extensions: Sequence[str] = SUPPORTED_EXTENSIONS) -> DataFrame:
     """Unsupported extensions fail with a message; the others read."""
     ext = F.lower(F.regexp_extract("file_path", r"\.([^./]+)$", 1))
-    ok = ext.isin(SUPPORTED_EXTENSIONS)
+    ok = ext.isin(list(extensions))
     return files.withColumn("status", F.when(ok, "SUCCESS").otherwise("FAILED")) \
         .withColumn("error_message", F.when(ok, F.lit(None).cast("string")).otherwise(F.lit(UNSUPPORTED_MESSAGE)))
 
@@ -143,13 +143,13 @@ def batch_outcome(ledger: DataFrame) -> DataFrame:
 
 
 def plan_batch(files: DataFrame, lines: DataFrame, rules: DataFrame, ledger: DataFrame,
-               existing: DataFrame) -> DataFrame:
+               existing: DataFrame, extensions: Sequence[str] = SUPPORTED_EXTENSIONS) -> DataFrame:
     """F1 -> S1 -> F8 -> F2 -> F4 -> F5 on a manifest: the files that will load,
     with target, hash and version; plus FAILED rows for unreadable files.
     Columns: file_path, file_order, target_table, file_hash, rows, status,
     error_message, _version_id."""
     routed = route_files(files, rules).where(F.col("target_table").isNotNull())
-    st = extension_status(routed)
+    st = extension_status(routed, extensions)
     bad = st.where(F.col("status") == "FAILED")
     fp = content_fingerprint(lines)
     good = st.where(F.col("status") == "SUCCESS").join(fp, "file_path", "left") \

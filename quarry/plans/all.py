@@ -5,3 +5,4 @@ from quarry.plans import operations  # noqa: F401
 from quarry.plans import building  # noqa: F401
 from quarry.plans import reshaping  # noqa: F401
 from quarry.plans import checking  # noqa: F401
+from quarry.plans import sourcing  # noqa: F401
