@@ -42,17 +42,21 @@ def pod_requests(c: DataFrame) -> DataFrame:
 
 
 def pod_usage_join(c: DataFrame) -> DataFrame:
-    """Placed pods with their requests, left-joined to usage (0 when absent).
-    Both sides are grouped on (namespace, pod), so the join reuses that
-    partitioning."""
-    req = pod_requests(c)
-    use = pod_usage(c)
-    j = req.join(use, ["namespace", "pod"], "left")
-    return j.select(
-        "namespace", "pod", "node", "cpu_request", "cpu_limit", "mem_request", "mem_limit",
-        F.coalesce(use["cpu_usage"], F.lit(0.0)).alias("cpu_usage"),
-        F.coalesce(use["mem_usage"], F.lit(0).cast("bigint")).alias("mem_usage"),
+    """Placed pods with their requests and usage (0 when absent) — the left
+    join of O4 and O3 on (namespace, pod). A pod runs on one node, so both
+    sides come from one grouping of the containers: one scan, one shuffle,
+    no join."""
+    q = container_quantities(c)
+    g = q.groupBy("namespace", "pod").agg(
+        F.max("node").alias("node"),
+        F.sum(F.coalesce("cpu_request", F.lit(0.0))).alias("cpu_request"),
+        F.sum(F.coalesce("cpu_limit", F.lit(0.0))).alias("cpu_limit"),
+        F.sum(F.coalesce("mem_request", F.lit(0))).cast("bigint").alias("mem_request"),
+        F.sum(F.coalesce("mem_limit", F.lit(0))).cast("bigint").alias("mem_limit"),
+        F.coalesce(F.sum("cpu_usage"), F.lit(0.0)).alias("cpu_usage"),
+        F.coalesce(F.sum("mem_usage"), F.lit(0)).cast("bigint").alias("mem_usage"),
     )
+    return g.where(F.col("node").isNotNull())
 
 
 def node_pods(nodes: DataFrame, c: DataFrame) -> DataFrame:

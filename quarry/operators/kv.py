@@ -34,20 +34,30 @@ def first_segment(c) -> F.Column:
     return F.split(c, r"\.", 2).getItem(0)
 
 
-def _fixpoint(spark, reached: DataFrame, step, max_rounds: int | None) -> DataFrame:
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _fixpoint(spark, start: DataFrame, step, max_rounds: int | None) -> DataFrame:
+    """Semi-naive loop: each round expands only the pairs found in the round
+    before, minus everything reached so far. Every round's new pairs are
+    checkpointed once (reliable checkpoint, so a lost executor does not send
+    the job back to round one) and the reached set is the union of those short
+    checkpointed pieces, so no round rewrites what earlier rounds found."""
     shared_dir(spark)  # makes sure a checkpoint folder is set
-    reached = reached.distinct().checkpoint()
-    frontier = reached
+    deltas = [start.distinct().checkpoint()]
     rounds = 0
     while True:
-        new = step(frontier).distinct().join(reached, ["start_key", "key"], "left_anti").checkpoint()
+        new = step(deltas[-1]).distinct().join(_union(deltas), ["start_key", "key"], "left_anti").checkpoint()
         if new.isEmpty():
-            return reached
+            return _union(deltas)
         rounds += 1
         if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError(f"closure did not converge in {max_rounds} rounds")
-        reached = reached.unionByName(new).checkpoint()
-        frontier = new
+        deltas.append(new)
 
 
 def related_closure(kv: DataFrame, starts: DataFrame, exclude: Sequence[str] | None = None,
@@ -62,8 +72,10 @@ def related_closure(kv: DataFrame, starts: DataFrame, exclude: Sequence[str] | N
     join splits the hot frontier partition."""
     kv = kv.select("key", "value")
     allowed = kv.where(~matches_any_glob(F.col("key"), exclude))
-    index = allowed.select(first_segment(F.col("key")).alias("prefix"), "key")
-    items = list_items(kv).select("key", "item")
+    shared_dir(kv.sparkSession)
+    # both join inputs are reused every round: materialise them once
+    index = allowed.select(first_segment(F.col("key")).alias("prefix"), "key").checkpoint()
+    items = list_items(kv).select("key", "item").checkpoint()
     s0 = starts.select(F.col("start_key")).join(allowed.select(F.col("key").alias("start_key")), "start_key") \
         .select("start_key", F.col("start_key").alias("key"))
 
@@ -79,8 +91,9 @@ def reference_closure(kv: DataFrame, starts: DataFrame, max_rounds: int | None =
     """D3: for every start key, the keys whose whole name equals a value (or list
     item) reached from it, recursively. Returns ``(start_key, key, value)``."""
     kv = kv.select("key", "value")
-    keys = kv.select("key")
-    items = list_items(kv).select("key", "item")
+    shared_dir(kv.sparkSession)
+    keys = kv.select("key").checkpoint()
+    items = list_items(kv).select("key", "item").checkpoint()
     s0 = starts.select("start_key").join(keys.withColumnRenamed("key", "start_key"), "start_key") \
         .select("start_key", F.col("start_key").alias("key"))
 

@@ -32,6 +32,10 @@ def get_session(app: str = "quarry", cpus: int | None = None, shuffle_partitions
         .config("spark.driver.memory", os.environ.get("QUARRY_DRIVER_MEMORY", "16g"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # local runs only: list partition folders with a few tasks, not one per folder,
+        # and skip the .crc side files of the checksummed local filesystem
+        .config("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(2 * cpus))
+        .config("spark.hadoop.fs.file.impl", "org.apache.hadoop.fs.RawLocalFileSystem")
     )
     for k, v in RUNTIME_CONF.items():
         builder = builder.config(k, v)
