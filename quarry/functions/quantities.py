@@ -1,4 +1,9 @@
-"""Cluster resource quantities as column expressions (O1, O2)."""
+"""Cluster resource quantities as column expressions (O1, O2).
+
+Parsed with plain string functions and ``try_cast`` (no regex), so the
+expressions stay small enough for whole-stage code generation even when many
+quantity columns are parsed in one projection.
+"""
 
 from __future__ import annotations
 
@@ -6,32 +11,35 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # CPU suffix -> cores, memory suffix -> bytes.
-CPU_SUFFIX = {"n": 1e-9, "u": 1e-6, "m": 1e-3, "": 1.0}
-MEMORY_SUFFIX = {"Ki": 1024, "Mi": 1024**2, "Gi": 1024**3, "Ti": 1024**4, "": 1}
+CPU_SUFFIX = {"n": 1e-9, "u": 1e-6, "m": 1e-3}
+MEMORY_SUFFIX = {"Ki": 1024, "Mi": 1024**2, "Gi": 1024**3, "Ti": 1024**4}
+
 
-_QTY = r"^([0-9]+(?:\.[0-9]+)?)([A-Za-z]*)$"
+def _number(s: Column) -> Column:
+    """Text -> double when it is a plain decimal number, else NULL."""
+    starts_digit = F.substring(s, 1, 1).between("0", "9")
+    return F.when(starts_digit, s.try_cast("double"))
 
 
-def _parts(q: Column):
+def _split_suffix(q: Column, suffixes: dict, width: int):
     s = F.trim(q.cast("string"))
-    ok = s.rlike(_QTY)
-    return ok, F.regexp_extract(s, _QTY, 1).cast("double"), F.regexp_extract(s, _QTY, 2)
+    tail = F.substring(s, -width, width)
+    known = tail.isin(list(suffixes))
+    num = F.when(known, s.substr(F.lit(1), F.length(s) - width)).otherwise(s)
+    factor = F.lit(1.0)
+    for k, v in suffixes.items():
+        factor = F.when(tail == k, F.lit(float(v))).otherwise(factor)
+    return _number(num), factor
 
 
 def cpu_cores(q: Column) -> Column:
     """O1: ``250m`` -> 0.25, ``1500000n`` -> 0.0015, ``2`` -> 2.0; other text -> NULL."""
-    ok, num, suf = _parts(q)
-    factor = F.lit(None).cast("double")
-    for k, v in CPU_SUFFIX.items():
-        factor = F.when(suf == k, F.lit(v)).otherwise(factor)
-    return F.when(ok, num * factor)
+    num, factor = _split_suffix(q, CPU_SUFFIX, 1)
+    return num * factor
 
 
 def memory_bytes(q: Column) -> Column:
     """O2: ``512Mi`` -> 536870912, ``100`` -> 100; decimal suffixes (``M``,
     ``G``) and other text -> NULL (SURVEY 2.11 #21)."""
-    ok, num, suf = _parts(q)
-    factor = F.lit(None).cast("bigint")
-    for k, v in MEMORY_SUFFIX.items():
-        factor = F.when(suf == k, F.lit(v).cast("bigint")).otherwise(factor)
-    return F.when(ok, F.floor(num * factor))
+    num, factor = _split_suffix(q, MEMORY_SUFFIX, 2)
+    return F.floor(num * factor)

@@ -23,12 +23,15 @@ def error_scan(lines: DataFrame, pattern: str = ERROR_PATTERN) -> DataFrame:
     """L1: per file, whether any line matches, and the first matching line.
     Every file is scanned (SURVEY 2.11 #20)."""
     hit = F.col("line").rlike(pattern)
-    first = F.min(F.when(hit, F.struct("line_no", "line")))
-    return lines.groupBy("file").agg(
+    # numeric aggregates only (hash aggregation, partial per task); the text of
+    # the first hit is joined back from the matching lines, which are few
+    per_file = lines.groupBy("file").agg(
         F.bool_or(hit).alias("has_error"),
-        first.getField("line_no").alias("first_hit_line_no"),
-        first.getField("line").alias("first_hit"),
+        F.min(F.when(hit, F.col("line_no"))).alias("first_hit_line_no"),
     )
+    hits = lines.where(hit).select("file", F.col("line_no").alias("first_hit_line_no"),
+                                   F.col("line").alias("first_hit"))
+    return per_file.join(hits, ["file", "first_hit_line_no"], "left")
 
 
 def tail_lines(lines: DataFrame, n: int = 100) -> DataFrame:

@@ -46,9 +46,10 @@ def pod_usage_join(c: DataFrame) -> DataFrame:
     join of O4 and O3 on (namespace, pod). A pod runs on one node, so both
     sides come from one grouping of the containers: one scan, one shuffle,
     no join."""
-    q = container_quantities(c)
-    g = q.groupBy("namespace", "pod").agg(
-        F.max("node").alias("node"),
+    q = container_quantities(c).where(F.col("node").isNotNull())
+    # node is a grouping key (a pod has one node), which keeps every buffer
+    # numeric: a hash aggregate, where max(node) would force a sort aggregate
+    g = q.groupBy("namespace", "pod", "node").agg(
         F.sum(F.coalesce("cpu_request", F.lit(0.0))).alias("cpu_request"),
         F.sum(F.coalesce("cpu_limit", F.lit(0.0))).alias("cpu_limit"),
         F.sum(F.coalesce("mem_request", F.lit(0))).cast("bigint").alias("mem_request"),
@@ -56,7 +57,7 @@ def pod_usage_join(c: DataFrame) -> DataFrame:
         F.coalesce(F.sum("cpu_usage"), F.lit(0.0)).alias("cpu_usage"),
         F.coalesce(F.sum("mem_usage"), F.lit(0)).cast("bigint").alias("mem_usage"),
     )
-    return g.where(F.col("node").isNotNull())
+    return g
 
 
 def node_pods(nodes: DataFrame, c: DataFrame) -> DataFrame:

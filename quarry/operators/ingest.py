@@ -23,16 +23,30 @@ def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"[^/]+$", 0)
 
 
+MAX_INLINE_RULES = 256
+
+
 def route_files(files: DataFrame, rules: DataFrame) -> DataFrame:
     """the first rule (by ``rule_order``) whose regex matches at the start
     of the file's base name gives ``target_table``; no match -> NULL (skipped).
-    Rules are a short config list: broadcast, matched with ``regexp_like``."""
-    r = F.broadcast(rules.select("rule_order", "regex", "target_table"))
+
+    Routing rules are a short configuration list: they are read once and
+    compiled into one ``CASE WHEN name RLIKE r1 THEN t1 WHEN … END`` column, so
+    routing is a projection (no join, no shuffle). A list longer than
+    ``MAX_INLINE_RULES`` is matched with a broadcast theta join instead."""
     name = base_name(F.col("file_path"))
+    rows = rules.select("rule_order", "regex", "target_table").orderBy("rule_order").limit(MAX_INLINE_RULES + 1).collect()
+    if len(rows) <= MAX_INLINE_RULES:
+        target = F.lit(None).cast("string")
+        for r in reversed(rows):
+            target = F.when(name.rlike(f"^(?:{r.regex})"), F.lit(r.target_table)).otherwise(target)
+        return files.withColumn("target_table", target)
+    r = F.broadcast(rules.select("rule_order", "regex", "target_table"))
     hit = F.regexp_like(name, F.concat(F.lit("^(?:"), F.col("regex"), F.lit(")")))
     j = files.select("file_path").join(r, hit, "left")
-    best = j.groupBy("file_path").agg(F.min_by("target_table", "rule_order").alias("target_table"))
-    return files.join(best, "file_path", "left")
+    best = j.groupBy("file_path").agg(F.min("rule_order").alias("rule_order"))
+    best = best.join(F.broadcast(rules.select("rule_order", "target_table")), "rule_order", "left")
+    return files.join(best.drop("rule_order"), "file_path", "left")
 
 
 def line_hash(line_no: Column, line: Column) -> Column:

@@ -167,9 +167,10 @@ def resolve_references(kv: DataFrame) -> DataFrame:
     References are first reduced per value (how many keys refer to it, and the
     key when only one does), so a value referenced by very many keys is one row
     before the join."""
-    items = list_items(kv.select("key", "value"))
-    refs = items.groupBy(F.col("item").alias("prefix")).agg(
-        F.count_distinct("key").alias("n_refs"), F.min("key").alias("only_ref"))
+    items = list_items(kv.select("key", "value")).select(F.col("item").alias("prefix"), F.col("key").alias("ref"))
+    n_refs = items.groupBy("prefix").agg(F.count_distinct("ref").alias("n_refs"))
+    only = items.join(n_refs.where(F.col("n_refs") == 1), "prefix").select("prefix", F.col("ref").alias("only_ref"))
+    refs = n_refs.join(only.distinct(), "prefix", "left")
     pref = key_prefixes(kv)
     att = pref.join(refs, "prefix").where((F.col("n_refs") > 1) | (F.col("key") != F.col("only_ref")))
     attached = att.select(F.col("prefix").alias("group"),

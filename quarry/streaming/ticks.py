@@ -52,8 +52,8 @@ def current_minute_bars(spark: SparkSession, out: str) -> DataFrame:
     u = spark.read.parquet(out)
     key = ["instrument", "ts_min", "t_dt"]
     vals = ["trades", "avg_price", "sum_price", "max_price", "min_price"]
-    last = F.max_by(F.struct(*vals), "batch_id")
-    return u.groupBy(*key).agg(last.alias("_v")).select(*key, *[F.col(f"_v.{v}").alias(v) for v in vals])
+    last = u.groupBy(*key).agg(F.max("batch_id").alias("batch_id"))
+    return u.join(last, key + ["batch_id"], "left_semi").select(*key, *vals)
 
 
 def refresh_marts(spark: SparkSession, batch: DataFrame, batch_id: int, ticks_path: str, marts_path: str) -> None:
