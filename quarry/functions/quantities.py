@@ -15,31 +15,23 @@ CPU_SUFFIX = {"n": 1e-9, "u": 1e-6, "m": 1e-3}
 MEMORY_SUFFIX = {"Ki": 1024, "Mi": 1024**2, "Gi": 1024**3, "Ti": 1024**4}
 
 
-def _number(s: Column) -> Column:
-    """Text -> double when it is a plain decimal number, else NULL."""
-    starts_digit = F.substring(s, 1, 1).between("0", "9")
-    return F.when(starts_digit, s.try_cast("double"))
-
-
-def _split_suffix(q: Column, suffixes: dict, width: int):
+def _parse(q: Column, suffixes: dict, width: int) -> Column:
+    """``<number><suffix>`` -> number * factor of the suffix; no suffix -> the
+    number; anything else -> NULL. The suffix factor is one map lookup."""
     s = F.trim(q.cast("string"))
-    tail = F.substring(s, -width, width)
-    known = tail.isin(list(suffixes))
-    num = F.when(known, s.substr(F.lit(1), F.length(s) - width)).otherwise(s)
-    factor = F.lit(1.0)
-    for k, v in suffixes.items():
-        factor = F.when(tail == k, F.lit(float(v))).otherwise(factor)
-    return _number(num), factor
+    factors = F.create_map(*[x for k, v in suffixes.items() for x in (F.lit(k), F.lit(float(v)))])
+    f = F.element_at(factors, F.substring(s, -width, width))
+    num = s.substr(F.lit(1), F.length(s) - F.when(f.isNull(), F.lit(0)).otherwise(F.lit(width)))
+    value = num.try_cast("double") * F.coalesce(f, F.lit(1.0))
+    return F.when(F.substring(s, 1, 1).between("0", "9"), value)
 
 
 def cpu_cores(q: Column) -> Column:
     """O1: ``250m`` -> 0.25, ``1500000n`` -> 0.0015, ``2`` -> 2.0; other text -> NULL."""
-    num, factor = _split_suffix(q, CPU_SUFFIX, 1)
-    return num * factor
+    return _parse(q, CPU_SUFFIX, 1)
 
 
 def memory_bytes(q: Column) -> Column:
     """O2: ``512Mi`` -> 536870912, ``100`` -> 100; decimal suffixes (``M``,
     ``G``) and other text -> NULL (SURVEY 2.11 #21)."""
-    num, factor = _split_suffix(q, MEMORY_SUFFIX, 2)
-    return F.floor(num * factor)
+    return F.floor(_parse(q, MEMORY_SUFFIX, 2))

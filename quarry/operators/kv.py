@@ -6,10 +6,10 @@ holds many dictionaries); a list value is list-literal text
 Nested dictionaries are rows ``(entity, path, value)`` with ``path`` the list
 of keys from the root.
 
-The two closures are fixpoint loops of joins: each round joins the newest
-pairs to the key index, drops pairs already reached (``left_anti``), and
-checkpoints the reached set into the shared checkpoint folder so the plan
-stays short. The loop ends when a round adds nothing; it always ends because
+The two closures are fixpoint loops of joins over the distinct values met
+(not over every start): each round joins the newest pairs to the key index,
+drops pairs already reached (``left_anti``), and checkpoints them into the
+shared checkpoint folder so the plan stays short. The loop ends when a round adds nothing; it always ends because
 the reached set only grows and is finite, so there is no round cap that could
 cut results short.
 """
@@ -60,6 +60,29 @@ def _fixpoint(spark, start: DataFrame, step, max_rounds: int | None) -> DataFram
         deltas.append(new)
 
 
+def _closure_via_values(kv: DataFrame, starts: DataFrame, start_ok: DataFrame, items: DataFrame,
+                        first_hop, max_rounds: int | None) -> DataFrame:
+    """What a start reaches is the start itself plus what its values reach, and
+    what a value reaches does not depend on which start it came from. So the
+    fixpoint runs over the distinct values of the start keys (few, however many
+    starts there are), and the starts are joined to those per-value closures
+    once at the end. ``first_hop(values)`` -> ``(start_key = value, key)``."""
+    s = starts.select("start_key").join(start_ok, "start_key", "left_semi")
+    start_vals = s.join(items.withColumnRenamed("key", "start_key"), "start_key") \
+        .select("start_key", F.col("item").alias("seed"))
+    seeds = start_vals.select(F.col("seed").alias("value")).distinct()
+
+    def step(frontier: DataFrame) -> DataFrame:
+        nxt = frontier.join(items, "key").select("start_key", F.col("item").alias("value"))
+        return first_hop(nxt)
+
+    per_value = _fixpoint(kv.sparkSession, first_hop(seeds.select(F.col("value").alias("start_key"), "value")),
+                          step, max_rounds).withColumnRenamed("start_key", "seed")
+    reached = start_vals.join(per_value, "seed").select("start_key", "key") \
+        .unionByName(s.select("start_key", F.col("start_key").alias("key"))).distinct()
+    return reached.join(kv, "key").select("start_key", "key", "value")
+
+
 def related_closure(kv: DataFrame, starts: DataFrame, exclude: Sequence[str] | None = None,
                     max_rounds: int | None = None) -> DataFrame:
     """For every start key, the keys reached by following string values (or
@@ -67,24 +90,20 @@ def related_closure(kv: DataFrame, starts: DataFrame, exclude: Sequence[str] | N
     keys are neither kept nor followed; a start that is not a key reaches
     nothing. Returns ``(start_key, key, value)``.
 
-    A hub value (reached from many starts) is a hot join key on the frontier
-    side only; the key index side holds few keys per prefix, and AQE's skew
-    join splits the hot frontier partition."""
+    A hub value (reached from many starts) is a hot key only in the final join
+    of starts to per-value closures; AQE's skew join splits that partition."""
     kv = kv.select("key", "value")
     allowed = kv.where(~matches_any_glob(F.col("key"), exclude))
     shared_dir(kv.sparkSession)
     # both join inputs are reused every round: materialise them once
     index = allowed.select(first_segment(F.col("key")).alias("prefix"), "key").checkpoint()
     items = list_items(kv).select("key", "item").checkpoint()
-    s0 = starts.select(F.col("start_key")).join(allowed.select(F.col("key").alias("start_key")), "start_key") \
-        .select("start_key", F.col("start_key").alias("key"))
 
-    def step(frontier: DataFrame) -> DataFrame:
-        vals = frontier.join(items, "key").select("start_key", F.col("item").alias("prefix"))
-        return vals.join(index, "prefix").select("start_key", "key")
+    def first_hop(vals: DataFrame) -> DataFrame:  # (start_key, value) -> keys with that prefix
+        return vals.join(index, vals["value"] == index["prefix"]).select("start_key", "key")
 
-    reached = _fixpoint(kv.sparkSession, s0, step, max_rounds)
-    return reached.join(kv, "key").select("start_key", "key", "value")
+    ok = index.select(F.col("key").alias("start_key"))
+    return _closure_via_values(kv, starts, ok, items, first_hop, max_rounds)
 
 
 def reference_closure(kv: DataFrame, starts: DataFrame, max_rounds: int | None = None) -> DataFrame:
@@ -94,15 +113,12 @@ def reference_closure(kv: DataFrame, starts: DataFrame, max_rounds: int | None =
     shared_dir(kv.sparkSession)
     keys = kv.select("key").checkpoint()
     items = list_items(kv).select("key", "item").checkpoint()
-    s0 = starts.select("start_key").join(keys.withColumnRenamed("key", "start_key"), "start_key") \
-        .select("start_key", F.col("start_key").alias("key"))
 
-    def step(frontier: DataFrame) -> DataFrame:
-        vals = frontier.join(items, "key").select("start_key", F.col("item").alias("key"))
-        return vals.join(keys, "key").select("start_key", "key")
+    def first_hop(vals: DataFrame) -> DataFrame:  # (start_key, value) -> the key named value
+        return vals.join(keys, vals["value"] == keys["key"]).select("start_key", "key")
 
-    reached = _fixpoint(kv.sparkSession, s0, step, max_rounds)
-    return reached.join(kv, "key").select("start_key", "key", "value")
+    ok = keys.select(F.col("key").alias("start_key"))
+    return _closure_via_values(kv, starts, ok, items, first_hop, max_rounds)
 
 
 def prune_by_glob(tree: DataFrame, exclude: Sequence[str]) -> DataFrame:
