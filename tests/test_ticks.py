@@ -11,6 +11,8 @@ TICK_QUERIES = [
     "tick_source", "tick_minute", "tick_5min", "tick_hourly", "tick_daily", "tick_daily_stats",
     "tick_latest_price", "tick_rolling_7d", "tick_volatility_30d", "tick_extremes", "tick_deltas",
     "tick_price_drops", "tick_daily_ranking", "tick_daily_range", "tick_summary", "tick_latency",
+    # stream = batch: the streams are checked with the batch statements
+    "tick_minute_stream", "tick_cascade_stream",
 ]
 
 
