@@ -54,19 +54,24 @@ def _int_type(lo: Column, hi: Column) -> Column:
     return F.when(lo >= 0, unsigned).otherwise(signed)
 
 
-def suggest_types(df: DataFrame, table: str) -> DataFrame:
+def suggest_types(df: DataFrame, table: str, exact: bool = True) -> DataFrame:
     """Q6: per column, on its non-NULL values: none -> String; text whose
     distinct/count ratio is below 0.5 -> LowCardinality(String); integers ->
     narrowest width for min and max; floats with sample stddev below 1e-3 ->
     Float32, else Float64; booleans -> UInt8; dates/times -> DateTime.
-    Also returns the plain inferred type (Q7) next to it."""
+    Also returns the plain inferred type (Q7) next to it.
+
+    Exact distinct counts of many text columns make Spark copy each row once per
+    such column (Expand); ``exact=False`` uses HyperLogLog sketches instead
+    (1 % relative error), one pass with no copies, for very wide tables."""
     fams = {f.name: _family(f.dataType) for f in df.schema.fields}
     aggs = []
     for c, fam in fams.items():
         col = F.col(c)
         aggs.append(F.count(col).alias(f"{c}__n"))
         if fam == "string":
-            aggs.append(F.count_distinct(col).alias(f"{c}__d"))
+            d = F.count_distinct(col) if exact else F.approx_count_distinct(col, 0.01)
+            aggs.append(d.alias(f"{c}__d"))
         elif fam == "int":
             aggs += [F.min(col).alias(f"{c}__lo"), F.max(col).alias(f"{c}__hi")]
         elif fam == "float":

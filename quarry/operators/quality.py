@@ -45,6 +45,9 @@ def load_delimited(spark, path: str, columns: Sequence[str], sep: str = ",", quo
     return df.where(F.col("__extra").isNull()).drop("__extra")
 
 
+MAX_CHECKS = 5000
+
+
 def _kind_of(dt: T.DataType) -> str:
     if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return "int"
@@ -68,7 +71,11 @@ def _as_double(c: Column, kind: str) -> Column:
 def field_stats(df: DataFrame, constraints: DataFrame, table: str) -> DataFrame:
     """One aggregation over ``df`` for all constrained fields: per (field, check)
     the measured value (as double; for ``type`` the type name)."""
-    rows = [r.asDict() for r in constraints.where(F.col("table_name") == table).collect()]  # config rows
+    # the constraint file is configuration (one row per field and check); its
+    # rows become expressions of the single aggregation below
+    rows = [r.asDict() for r in constraints.where(F.col("table_name") == table).limit(MAX_CHECKS + 1).collect()]
+    if len(rows) > MAX_CHECKS:
+        raise ValueError(f"more than {MAX_CHECKS} checks for one table")
     kinds = {f.name: _kind_of(f.dataType) for f in df.schema.fields}
     aggs, unpivot = [], []
     for i, r in enumerate(rows):
