@@ -133,9 +133,10 @@ def postprocess_inputs(t):
     return t.spark.read.schema(t.customer.schema).json(path)
 
 
-def _landing(t, waves: int = 4):
-    """Ticks landing in ``waves`` time-ordered appends (the arrivals); the
-    stream reads one landed file per micro-batch, oldest first."""
+def _run_arrivals(t, run_stream, waves: int = 4) -> None:
+    """Ticks land in ``waves`` time-ordered appends; after each landing the
+    stream runs once (``availableNow``) and, through its checkpoint, picks up
+    only the newly landed files, as a scheduled job would."""
     path = scratch_path(t.spark, "landing")
     ticks = fx.v_ticks(t)
     lo = ticks.select(F.min("timestamp")).scalar()
@@ -143,24 +144,24 @@ def _landing(t, waves: int = 4):
     span = F.timestamp_diff("SECOND", lo, hi) + 1
     wave = F.floor(F.timestamp_diff("SECOND", lo, F.col("timestamp")) * waves / span)
     for w in range(waves):
-        ticks.where(wave == w).coalesce(1).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", "1").parquet(path)
+        ticks.where(wave == w).write.mode("append").parquet(path)
+        run_stream(t.spark.readStream.schema(ticks.schema).parquet(path))
 
 
 @query("tick_minute_stream", "WITH" + MINUTE + " SELECT * FROM minute", BARS)
 def tick_minute_stream(t):
     """Minute bars maintained by a streaming aggregation over 4 arrival
-    batches; equals the batch T2 result."""
+    waves; equals the batch T2 result."""
     base = scratch_path(t.spark, "t17")
-    tst.run_minute_stream(_landing(t), f"{base}/bars", f"{base}/_checkpoint")
+    _run_arrivals(t, lambda s: tst.run_minute_stream(s, f"{base}/bars", f"{base}/_checkpoint"))
     return tst.current_minute_bars(t.spark, f"{base}/bars")
 
 
 @query("tick_cascade_stream", "WITH" + DAILY + " SELECT * FROM daily", ["avg_price", "sum_price", "wavg_price"])
 def tick_cascade_stream(t):
-    """Daily marts refreshed from each of 4 arrival batches; equals T5."""
+    """Daily marts refreshed from each of 4 arrival waves; equals T5."""
     base = scratch_path(t.spark, "t18")
-    tst.run_cascade_stream(_landing(t), f"{base}/ticks", f"{base}/marts", f"{base}/_checkpoint")
+    _run_arrivals(t, lambda s: tst.run_cascade_stream(s, f"{base}/ticks", f"{base}/marts", f"{base}/_checkpoint"))
     return t.spark.read.parquet(f"{base}/marts/daily").drop("_day")
 
 
