@@ -30,13 +30,24 @@ def incoming_files(spark: SparkSession, folder: str, postprocess: str = "none",
     return r.load(folder).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text"))
 
 
-def _written(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
+LEDGER_SCHEMA = ("file_path string, file_hash string, loaded_at timestamp_ntz, target_table string, "
+                 "status string, error_message string")
+ROWS_SCHEMA = ("target_table string, line_no int, line string, _version_id int, _is_latest boolean, "
+               "_file_name string, _file_hash string, _load_timestamp timestamp_ntz")
+
+
+def init_outputs(spark: SparkSession, out: str) -> None:
+    """Create the ledger and rows datasets empty when they do not exist yet
+    (``mode("ignore")`` writes nothing when they do), so every batch can read
+    what earlier batches wrote."""
+    spark.createDataFrame([], LEDGER_SCHEMA).write.mode("ignore").parquet(f"{out}/ledger/batch_id=-1")
+    spark.createDataFrame([], ROWS_SCHEMA).write.mode("ignore").parquet(f"{out}/rows/batch_id=-1")
+
+
+def _written(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
     """What earlier batches wrote under ``path`` (a retried batch ignores its own
-    previous attempt); empty before the first batch."""
-    try:
-        return spark.read.parquet(path).where(F.col("batch_id") != batch_id)
-    except Exception:  # noqa: BLE001 - nothing written yet
-        return spark.createDataFrame([], schema + ", batch_id int")
+    previous attempt)."""
+    return spark.read.parquet(path).where(F.col("batch_id") != batch_id)
 
 
 def ingest_batch(spark: SparkSession, files: DataFrame, batch_id: int, rules: DataFrame, out: str,
@@ -45,10 +56,8 @@ def ingest_batch(spark: SparkSession, files: DataFrame, batch_id: int, rules: Da
     written under ``out``. Outputs go under ``batch_id=<id>`` folders, so a
     retried batch replaces its own output."""
     ledger_path, rows_path = f"{out}/ledger", f"{out}/rows"
-    ledger = _written(spark, ledger_path, "file_hash string, status string", batch_id) \
-        .where(F.col("status") == "SUCCESS").select("file_hash")
-    existing = _written(spark, rows_path, "target_table string, _version_id int", batch_id) \
-        .select("target_table", "_version_id")
+    ledger = _written(spark, ledger_path, batch_id).where(F.col("status") == "SUCCESS").select("file_hash")
+    existing = _written(spark, rows_path, batch_id).select("target_table", "_version_id")
     files = files.persist()
     manifest = files.select("file_path", F.xxhash64("file_path").alias("file_order"))
     body = F.regexp_replace("text", r"\n\z", "")  # the writer's final newline ends the last line
@@ -66,6 +75,7 @@ def ingest_batch(spark: SparkSession, files: DataFrame, batch_id: int, rules: Da
 def run_incremental(spark: SparkSession, folder: str, rules: DataFrame, out: str, checkpoint: str, run_ts,
                     max_files_per_trigger: int | None = None) -> None:
     """process every file not seen before, then stop (``availableNow``)."""
+    init_outputs(spark, out)
     stream = incoming_files(spark, folder, max_files_per_trigger=max_files_per_trigger)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
