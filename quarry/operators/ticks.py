@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.sources.sinks import partitioned_write
+
 NTZ = "timestamp_ntz"
 
 
@@ -26,17 +28,12 @@ def tick_source(ticks: DataFrame) -> DataFrame:
     return ticks.withColumn("t_dt", F.to_date("timestamp"))
 
 
-def write_ticks(ticks: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_ticks(ticks: DataFrame, path: str, mode: str = "overwrite", files_per_day: int = 8) -> None:
     """T1 layout: one folder per ``t_dt``, rows sorted by (instrument, timestamp)
-    inside each file so parquet min/max stats skip row groups on both keys."""
-    (
-        tick_source(ticks)
-        .repartition("t_dt")
-        .sortWithinPartitions("instrument", "timestamp")
-        .write.mode(mode)
-        .partitionBy("t_dt")
-        .parquet(path)
-    )
+    inside each file so parquet min/max stats skip row groups on both keys. A
+    day is written by ``files_per_day`` tasks, so one heavy day is not one task."""
+    partitioned_write(tick_source(ticks), path, ["t_dt"], ["instrument", "timestamp"],
+                      files_per_partition=files_per_day, mode=mode)
 
 
 def tick_minute(ticks: DataFrame) -> DataFrame:

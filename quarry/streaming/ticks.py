@@ -56,6 +56,12 @@ def current_minute_bars(spark: SparkSession, out: str) -> DataFrame:
     return u.join(last, key + ["batch_id"], "left_semi").select(*key, *vals)
 
 
+def compact_minute_bars(spark: SparkSession, out: str, dest: str) -> None:
+    """Rewrite the current version of every bar once (e.g. daily), so readers do
+    not scan the whole update history; new batches keep appending to ``out``."""
+    current_minute_bars(spark, out).write.mode("overwrite").partitionBy("t_dt").parquet(dest)
+
+
 def refresh_marts(spark: SparkSession, batch: DataFrame, batch_id: int, ticks_path: str, marts_path: str) -> None:
     """T18 for one micro-batch: store its ticks under its batch id (a retry
     rewrites the same folder), then rebuild the touched days of the 5-minute,
