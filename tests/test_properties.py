@@ -68,3 +68,51 @@ def test_reference_closure_is_reachability(spark, edges):
     starts = spark.createDataFrame([(f"k{start}",)], "start_key string")
     got = {r.key for r in kv.reference_closure(df, starts).collect()}
     assert got == {f"k{n}" for n in seen}
+
+
+def _bfs_related(d, start, excluded):
+    """Reference semantics by plain BFS: follow string values (and list items)
+    to every key whose first dotted segment equals them."""
+    import re
+
+    def bad(k):
+        return any(re.match(rx, k) for rx in excluded)
+
+    by_prefix = {}
+    for k in d:
+        by_prefix.setdefault(k.split(".")[0], []).append(k)
+    if start not in d or bad(start):
+        return set()
+    seen, todo = set(), [start]
+    while todo:
+        k = todo.pop()
+        if k in seen or bad(k):
+            continue
+        seen.add(k)
+        v = d[k]
+        for item in (v if isinstance(v, list) else [v]):
+            todo.extend(by_prefix.get(item, []))
+    return seen
+
+
+@SETTINGS
+@given(st.dictionaries(
+    st.tuples(st.sampled_from("abcde"), st.sampled_from("xyz")).map(lambda t: f"{t[0]}.{t[1]}"),
+    st.one_of(st.sampled_from("abcdeq"), st.lists(st.sampled_from("abcdeq"), min_size=1, max_size=3)),
+    min_size=1, max_size=10),
+    st.sampled_from([[], ["*.z"], ["b.*"]]))
+def test_related_closure_matches_bfs(spark, d, exclude):
+    from quarry.functions.text import glob_to_regex
+
+    def txt(v):
+        return "[" + ", ".join(f'"{x}"' for x in v) + "]" if isinstance(v, list) else v
+
+    df = spark.createDataFrame([(k, txt(v)) for k, v in d.items()], "key string, value string")
+    starts_list = sorted(d)[:3]
+    starts = spark.createDataFrame([(s,) for s in starts_list], "start_key string")
+    got = {}
+    for r in kv.related_closure(df, starts, exclude).collect():
+        got.setdefault(r.start_key, set()).add(r.key)
+    rx = [glob_to_regex(g) for g in exclude]
+    for s in starts_list:
+        assert got.get(s, set()) == _bfs_related(d, s, rx), (s, d, exclude)
