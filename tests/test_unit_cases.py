@@ -216,3 +216,34 @@ def test_glob_regex():
     for g, s, ok in [("ignore.*", "ignore.this", True), ("ignore.*", "ignoreXthis", False),
                      ("r?.peer", "r1.peer", True), ("a[!b]c", "abc", False), ("a[!b]c", "axc", True)]:
         assert bool(re.match(glob_to_regex(g), s)) == ok, (g, s)
+
+
+def test_node_rollup_nested_form(spark):
+    from quarry.operators import cluster as cl
+    nodes = spark.createDataFrame([("n1", 4.0, 8, 3.6, 7), ("n2", 4.0, 8, 3.6, 7)],
+                                  "node string, cpu_capacity double, mem_capacity long, "
+                                  "cpu_allocatable double, mem_allocatable long")
+    c = spark.createDataFrame(
+        [("ns", "p2", "n1", "c1", "100m", "200m", "1Mi", "2Mi", "50m", "1Ki", True),
+         ("ns", "p1", "n1", "c1", "100m", "200m", "1Mi", "2Mi", "50m", "1Ki", False),
+         ("ns", "p3", None, "c1", "100m", "200m", "1Mi", "2Mi", "50m", "1Ki", True)],
+        "namespace string, pod string, node string, container string, cpu_request string, cpu_limit string, "
+        "mem_request string, mem_limit string, cpu_usage string, mem_usage string, ready boolean")
+    got = {r.node: [p.pod for p in r.pods] for r in cl.node_rollup(nodes, c).collect()}
+    assert got == {"n1": ["p1", "p2"], "n2": []}  # sorted pods; an empty node keeps []; unplaced pod skipped
+    ready = {r.pod: r.ready for r in cl.pod_readiness(c).collect()}
+    assert ready == {"p1": False, "p2": True, "p3": True}
+
+
+def test_relocate_keys_keeps_relative_key(spark):
+    from quarry.sources.files import relocate_keys
+    m = spark.createDataFrame([("s3a://prod/data/parquet/a/x.parquet",), ("s3a://prod/other/y",)], "path string")
+    got = [(r.path, r.dest_path) for r in relocate_keys(m, "data/parquet/", "s3a://stage/data/parquet/").collect()]
+    assert got == [("s3a://prod/data/parquet/a/x.parquet", "s3a://stage/data/parquet/a/x.parquet")]
+
+
+def test_generate_rows_is_repeatable(spark):
+    from quarry.operators.layout import generate_rows
+    a = generate_rows(spark, 1000).collect()
+    b = generate_rows(spark, 1000).collect()
+    assert a == b and len({r.sensor_id for r in a}) == 1000 and len({r.event_date for r in a}) == 365
