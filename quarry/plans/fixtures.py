@@ -174,7 +174,7 @@ def v_log_lines(t: Tables) -> DataFrame:
 def v_task_replies(t: Tables) -> DataFrame:
     """Failed-task replies ``map<worker, map<task_id, info>>``, one per event."""
     worker = F.concat(
-        F.when(F.col("user_id") % 3 == 0, F.lit("celery@queue-")).otherwise(F.lit("celery@host-")),
+        F.when(F.col("user_id") % 3 == 0, F.lit("worker@queue-")).otherwise(F.lit("worker@host-")),
         F.col("user_id").cast("string"),
     )
     task = F.create_map(F.concat(F.lit("task-"), F.col("event_id").cast("string")), F.col("event_type"))
@@ -463,7 +463,7 @@ CONSTRAINT_ROWS = [
     ("lineitem", "l_shipdate", "max_nulls", "0"),
     ("lineitem", "l_orderkey", "no_duplicates", "true"),
 ]
-CONSTRAINT_FILE = "constraints/quarry_checks.tdda"
+CONSTRAINT_FILE = "constraints/quarry_checks.yaml"
 
 
 def v_constraints(t: Tables) -> DataFrame:

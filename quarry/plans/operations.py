@@ -311,7 +311,7 @@ def read_work_report(t):
 @query(
     "failed_tasks",
     """
-    SELECT CASE WHEN user_id % 3 = 0 THEN 'celery@queue-' ELSE 'celery@host-' END || CAST(user_id AS VARCHAR) AS worker,
+    SELECT CASE WHEN user_id % 3 = 0 THEN 'worker@queue-' ELSE 'worker@host-' END || CAST(user_id AS VARCHAR) AS worker,
            'task-' || CAST(event_id AS VARCHAR) AS task_id, event_type AS info
     FROM events WHERE user_id % 3 = 0""",
 )
