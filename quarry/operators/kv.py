@@ -41,17 +41,29 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _fixpoint(spark, start: DataFrame, step, max_rounds: int | None) -> DataFrame:
+HOPS_PER_ROUND = 3
+
+
+def _fixpoint(spark, start: DataFrame, step, max_rounds: int | None, hops: int = HOPS_PER_ROUND) -> DataFrame:
     """Semi-naive loop: each round expands only the pairs found in the round
     before, minus everything reached so far. Every round's new pairs are
     checkpointed once (reliable checkpoint, so a lost executor does not send
     the job back to round one) and the reached set is the union of those short
-    checkpointed pieces, so no round rewrites what earlier rounds found."""
+    checkpointed pieces, so no round rewrites what earlier rounds found.
+
+    A round follows ``hops`` steps before removing what was already reached:
+    the lookup relations are broadcast once per round and reused by every hop
+    (exchange reuse), so fewer rounds cost less fixed overhead, and the result
+    is the same because every pair met on the way is kept."""
     shared_dir(spark)  # makes sure a checkpoint folder is set
     deltas = [start.distinct().checkpoint()]
     rounds = 0
     while True:
-        new = step(deltas[-1]).distinct().join(_union(deltas), ["start_key", "key"], "left_anti").checkpoint()
+        frontier, found = deltas[-1], []
+        for _ in range(hops):
+            frontier = step(frontier)
+            found.append(frontier)
+        new = _union(found).distinct().join(_union(deltas), ["start_key", "key"], "left_anti").checkpoint()
         if new.isEmpty():
             return _union(deltas)
         rounds += 1
