@@ -81,7 +81,7 @@ def suggest_types(df: DataFrame, table: str, exact: bool = True) -> DataFrame:
     for c, fam in fams.items():
         n = F.col(f"{c}__n")
         if fam == "string":
-            t = F.when(F.col(f"{c}__d") / n < 0.5, "LowCardinality(String)").otherwise("String")
+            t = F.when(F.try_divide(F.col(f"{c}__d"), n) < 0.5, "LowCardinality(String)").otherwise("String")
         elif fam == "int":
             t = _int_type(F.col(f"{c}__lo"), F.col(f"{c}__hi"))
         elif fam == "float":

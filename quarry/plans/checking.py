@@ -111,11 +111,11 @@ m AS (""" + "\n  UNION ALL ".join(_check_sql(*r) for r in fx.CONSTRAINT_ROWS) +
 results AS (
   SELECT table_name, field, "check", expected, actual, actual_text,
          coalesce(CASE WHEN "check" = 'type' THEN actual_text = expected
-                       WHEN "check" = 'min' THEN actual >= CAST(expected AS DOUBLE)
-                       WHEN "check" = 'max' THEN actual <= CAST(expected AS DOUBLE)
-                       WHEN "check" = 'max_nulls' THEN actual <= CAST(expected AS DOUBLE)
-                       WHEN "check" = 'min_length' THEN actual >= CAST(expected AS DOUBLE)
-                       WHEN "check" = 'max_length' THEN actual <= CAST(expected AS DOUBLE)
+                       WHEN "check" = 'min' THEN actual >= TRY_CAST(expected AS DOUBLE)
+                       WHEN "check" = 'max' THEN actual <= TRY_CAST(expected AS DOUBLE)
+                       WHEN "check" = 'max_nulls' THEN actual <= TRY_CAST(expected AS DOUBLE)
+                       WHEN "check" = 'min_length' THEN actual >= TRY_CAST(expected AS DOUBLE)
+                       WHEN "check" = 'max_length' THEN actual <= TRY_CAST(expected AS DOUBLE)
                        ELSE actual = 0 END, true) AS passes
   FROM m)"""
 
