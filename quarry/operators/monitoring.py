@@ -138,9 +138,9 @@ def stream_freshness(streams: DataFrame, entries: DataFrame, as_of=None) -> Data
     """P10: per stream, the time of its latest entry (ms part of an ``ms-seq``
     id) and the lag to ``as_of``; a stream with no entries keeps NULL."""
     tips = entries.groupBy("stream").agg(
-        F.max(F.split("entry_id", "-").getItem(0).cast("bigint")).alias("_ms")
+        F.max(F.split("entry_id", "-").getItem(0).try_cast("bigint")).alias("_ms")
     )
-    ms = entries.select(F.timestamp_millis(F.split("entry_id", "-").getItem(0).cast("bigint"))
+    ms = entries.select(F.timestamp_millis(F.split("entry_id", "-").getItem(0).try_cast("bigint"))
                         .cast("timestamp_ntz").alias("t"))
     ref = reference_time(ms, "t", as_of)
     out = streams.select("stream").join(tips, "stream", "left")
