@@ -204,3 +204,25 @@ def resolve_references(kv: DataFrame) -> DataFrame:
     attached = att.select(F.col("prefix").alias("group"),
                           F.expr("substr(key, length(prefix) + 2)").alias("subpath"), "value")
     return nest_dotted(kv).unionByName(attached).distinct()
+
+
+def _json_text(c) -> F.Column:
+    """A string as a JSON string literal (quotes and escapes)."""
+    enc = F.to_json(F.array(c))
+    return enc.substr(F.lit(2), F.length(enc) - 2)
+
+
+def rebuild_json(tree: DataFrame) -> DataFrame:
+    """D4/D5 nested form: ``(entity, path, value)`` rows back into one JSON object
+    per entity, keys sorted. Built bottom-up, one grouping per depth level;
+    each group is one node's children (a dictionary's fan-out), never a whole
+    table. The depth is one scalar read from the data."""
+    depth = tree.select(F.max(F.size("path"))).first()[0] or 0
+    cur = tree.select("entity", "path", _json_text(F.col("value").cast("string")).alias("json"))
+    for d in range(depth, 0, -1):
+        at = cur.where(F.size("path") == d)
+        member = F.concat(_json_text(F.element_at("path", -1)), F.lit(":"), F.col("json"))
+        parent = at.groupBy("entity", F.slice("path", 1, d - 1).alias("path")).agg(
+            F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list(member)), ","), F.lit("}")).alias("json"))
+        cur = cur.where(F.size("path") != d).unionByName(parent)
+    return cur.where(F.size("path") == 0).select("entity", "json")

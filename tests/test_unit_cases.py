@@ -247,3 +247,14 @@ def test_generate_rows_is_repeatable(spark):
     a = generate_rows(spark, 1000).collect()
     b = generate_rows(spark, 1000).collect()
     assert a == b and len({r.sensor_id for r in a}) == 1000 and len({r.event_date for r in a}) == 365
+
+
+def test_rebuild_json_after_pruning(spark):
+    import json
+    rows = [("e", ["user.name"], "Alice"), ("e", ["prefs", "color"], "blue"), ("e", ["prefs", "ignore.x"], "1"),
+            ("e", ["ignore.all", "y"], "2"), ("f", ["q"], 'say "hi"')]
+    tree = spark.createDataFrame(rows, "entity string, path array<string>, value string")
+    got = {r.entity: json.loads(r.json) for r in kv.rebuild_json(kv.prune_by_glob(tree, ["ignore.*"])).collect()}
+    assert got == {"e": {"user.name": "Alice", "prefs": {"color": "blue"}}, "f": {"q": 'say "hi"'}}
+    stripped = {r.entity: json.loads(r.json) for r in kv.rebuild_json(kv.strip_prefix(tree, "user.", ["ignore.*"])).collect()}
+    assert stripped["e"] == {"name": "Alice", "prefs": {"color": "blue"}}
