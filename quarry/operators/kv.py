@@ -216,7 +216,9 @@ def rebuild_json(tree: DataFrame) -> DataFrame:
     """D4/D5 nested form: ``(entity, path, value)`` rows back into one JSON object
     per entity, keys sorted. Built bottom-up, one grouping per depth level;
     each group is one node's children (a dictionary's fan-out), never a whole
-    table. The depth is one scalar read from the data."""
+    table. The depth is one scalar read from the data. An output row holds a
+    whole dictionary, so this is for dictionaries of bounded size; the long
+    form is the representation that scales (the registered queries return it)."""
     depth = tree.select(F.max(F.size("path"))).first()[0] or 0
     cur = tree.select("entity", "path", _json_text(F.col("value").cast("string")).alias("json"))
     for d in range(depth, 0, -1):
