@@ -88,14 +88,32 @@ def skip_already_loaded(files: DataFrame, ledger: DataFrame) -> DataFrame:
     return kept.join(ledger.select("file_hash").distinct(), "file_hash", "left_anti")
 
 
+def rank_within(df: DataFrame, group: str, order: str, name: str = "_rank") -> DataFrame:
+    """Dense 1-based rank of ``order`` inside each ``group`` without putting a
+    group in one task: range-partition by (group, order) so every task holds a
+    contiguous slice, number the rows inside each slice, and add the counts of
+    the earlier slices of the same group. The slice-count table has at most
+    (partitions x groups-per-partition) rows; it is the only broadcast side."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sliced = df.repartitionByRange(n, group, order).withColumn("_slice", F.spark_partition_id())
+    counts = sliced.groupBy("_slice", group).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    local = Window.partitionBy("_slice", group).orderBy(order)
+    ranked = sliced.withColumn("_local", F.row_number().over(local))
+    return ranked.join(F.broadcast(offsets), ["_slice", group]) \
+        .withColumn(name, F.col("_off") + F.col("_local")).drop("_slice", "_off", "_local")
+
+
 def assign_version(files: DataFrame, existing: DataFrame) -> DataFrame:
     """version = previous max version of the target (0 when the target does
-    not exist) + the file's rank among the batch's files for that target.
-    One row per file: the window runs over the batch manifest, not table rows."""
-    w = Window.partitionBy("target_table").orderBy("file_order")
+    not exist) + the file's rank among the batch's files for that target. The
+    rank is computed slice by slice (``rank_within``), so a target that gets
+    most of a batch's files is still spread over all tasks."""
     prev = existing.groupBy("target_table").agg(F.max("_version_id").alias("_prev"))
-    return files.join(F.broadcast(prev), "target_table", "left").withColumn(
-        "_version_id", (F.coalesce("_prev", F.lit(0)) + F.row_number().over(w)).cast("int")).drop("_prev")
+    ranked = rank_within(files, "target_table", "file_order")
+    return ranked.join(F.broadcast(prev), "target_table", "left").withColumn(
+        "_version_id", (F.coalesce("_prev", F.lit(0)) + F.col("_rank")).cast("int")).drop("_prev", "_rank")
 
 
 def latest_flags(rows: DataFrame) -> DataFrame:

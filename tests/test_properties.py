@@ -116,3 +116,15 @@ def test_related_closure_matches_bfs(spark, d, exclude):
     rx = [glob_to_regex(g) for g in exclude]
     for s in starts_list:
         assert got.get(s, set()) == _bfs_related(d, s, rx), (s, d, exclude)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["hot", "hot", "hot", "a", "b"]), st.integers(0, 10_000)),
+                min_size=1, max_size=60, unique_by=lambda t: t[1]))
+def test_rank_within_equals_row_number(spark, rows):
+    from pyspark.sql import Window
+    df = spark.createDataFrame(rows, "g string, o long")
+    got = {(r.g, r.o): r._rank for r in ig.rank_within(df, "g", "o").collect()}
+    w = Window.partitionBy("g").orderBy("o")
+    want = {(r.g, r.o): r.rn for r in df.withColumn("rn", F.row_number().over(w)).collect()}
+    assert got == want
