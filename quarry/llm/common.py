@@ -88,10 +88,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
-def words_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+#: bytes inside a word: all but ASCII white space, and all but ASCII white space, signs and controls
+BETWEEN_SPACES = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
+LETTERS_DIGITS = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+
+
+def words_of(col: pa.Array, inner: np.ndarray = BETWEEN_SPACES) -> tuple[np.ndarray, np.ndarray]:
     """Words of lower-cased texts: (row of each word, 64-bit hash of each word).
 
-    A word is a run without ASCII white space. The hash is a polynomial over the bytes,
+    A word is a run of ``inner`` bytes. The hash is a polynomial over the bytes,
     taken from prefix sums, so the whole column is hashed without a Python loop."""
     low = pc.utf8_lower(pc.fill_null(col.cast(pa.large_string()), ""))
     if isinstance(low, pa.ChunkedArray):
@@ -103,7 +108,7 @@ def words_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, U64)
     data = np.frombuffer(low.buffers()[2], np.uint8)[first:last]
     ends_of_rows = offsets - first
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    inside = inner[data]
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]
     cut = ends_of_rows[1:-1]  # a new text begins a new word
@@ -115,7 +120,7 @@ def words_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     up, down = _powers(len(data))
     total = np.zeros(len(data) + 1, U64)
     np.cumsum(np.where(inside, data.astype(U64) + U64(1), U64(0)) * up[: len(data)], out=total[1:])
-    stop = np.append(begin[1:], len(data))  # white space between two words adds nothing
+    stop = np.append(begin[1:], len(data))  # what lies between two words adds nothing
     code = (total[stop] - total[begin]) * down[begin]
     row = np.searchsorted(ends_of_rows, begin, side="right") - 1
     return row.astype(np.int64), mix(code)

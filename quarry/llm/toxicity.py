@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import U64, mix, stored, table, text_slices, words_of
+from quarry.llm.common import LETTERS_DIGITS, U64, mix, stored, table, text_slices, words_of
 
 BITS = 20
 TRAIN_ROWS = 24_000
@@ -38,7 +38,7 @@ BIAS = 0  # place of the constant feature
 
 def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(row, place) of words, word pairs and pairs around one word; may repeat."""
-    row, word = words_of(texts)
+    row, word = words_of(texts, LETTERS_DIGITS)
     rows, codes = [row], [word]
     for gap, salt in ((1, 0xA5A5F00D), (2, 0x5EED1234)):
         same = row[gap:] == row[:-gap]
