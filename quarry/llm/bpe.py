@@ -21,7 +21,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,8 +76,6 @@ class PrefixEncoder:
         self.ids = [vocab[name] for name in names]
         self.packed = [i.to_bytes(4, "little") for i in self.ids]
         self.size = [len(t) for t in text]
-        self.specials = {t["content"]: t["id"] for t in model["added_tokens"]}
-        self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self._build(text)
         self._fits: dict[int, bool] = {}
 
@@ -186,8 +184,20 @@ class PrefixEncoder:
             out.reverse()
             yield out
 
+    def encoded(self, words: list[str]) -> list[tuple[bytes, str]]:
+        """Little-endian ids and written form of each word; sorted words are fastest."""
+        packed, names = self.packed, self.names
+        return [(b"".join([packed[t] for t in tokens]), " ".join([names[t] for t in tokens])) for tokens in self.words([w.encode() for w in words])]
+
+
+class Cutter:
+    """Cuts a chunk without white space into words and special tokens."""
+
+    def __init__(self, spec: str):
+        self.specials: dict[str, int] = {t["content"]: t["id"] for t in json.loads(spec)["added_tokens"]}
+        self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
+
     def pieces(self, raw: str) -> list[str]:
-        """Words and special tokens of a chunk without white space."""
         if raw.isascii():
             low = raw.lower()
             if low.isalpha():
@@ -207,26 +217,24 @@ class PrefixEncoder:
 class ChunkTable:
     """Encoded forms of the chunks met so far: little-endian ids, and the decoded text."""
 
-    def __init__(self, encoder: PrefixEncoder, kept: int = CHUNKS_KEPT):
-        self.encoder, self.kept = encoder, kept
+    def __init__(self, cutter: Cutter, encoded: Callable[[list[str]], list[tuple[bytes, str]]], kept: int = CHUNKS_KEPT):
+        self.cutter, self.encoded, self.kept = cutter, encoded, kept
         self.ids: dict[str, bytes] = {}
         self.written: dict[str, str] = {}
         self.words: dict[str, tuple[bytes, str]] = {}
 
     def _add(self, chunks: set[str]) -> None:
-        e, words = self.encoder, self.words
-        pieces = {raw: e.pieces(raw) for raw in chunks}
+        words, specials = self.words, self.cutter.specials
+        pieces = {raw: self.cutter.pieces(raw) for raw in chunks}
         new = {w for found in pieces.values() for w in found if w not in words}
         if len(words) + len(new) > self.kept:
             words.clear()
             new = {w for found in pieces.values() for w in found}
-        for name in new & e.specials.keys():
-            words[name] = e.specials[name].to_bytes(4, "little"), name
+        for name in new & specials.keys():
+            words[name] = specials[name].to_bytes(4, "little"), name
             new.discard(name)
-        packed, names = e.packed, e.names
         order = sorted(new)
-        for w, tokens in zip(order, e.words([w.encode() for w in order]), strict=True):
-            words[w] = b"".join([packed[t] for t in tokens]), " ".join([names[t] for t in tokens])
+        words.update(zip(order, self.encoded(order), strict=True))
         for raw, found in pieces.items():
             if len(found) == 1:
                 self.ids[raw], self.written[raw] = words[found[0]]
@@ -256,7 +264,7 @@ def chunk_table(spec: str) -> ChunkTable:
     key = hash(spec)
     if key not in _TABLES:
         _TABLES.clear()
-        _TABLES[key] = ChunkTable(PrefixEncoder(spec))
+        _TABLES[key] = ChunkTable(Cutter(spec), PrefixEncoder(spec).encoded)
     return _TABLES[key]
 
 
