@@ -204,7 +204,7 @@ def unit_for(mean_length: float) -> int:
     """Tokens per unit of width: rounding up costs a piece half a unit, under half a
     per cent of the mean document."""
     unit = 1
-    while unit < 16 and unit * 2 <= mean_length / 128:
+    while unit < 16 and unit * 2 <= mean_length / 256:
         unit *= 2
     return unit
 

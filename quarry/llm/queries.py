@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from quarry.llm.bpe import op9_bpe_prefix
+from quarry.llm.cutting_stock import op6_cutting_stock
+from quarry.llm.dart_minhash import op3_dart_minhash
 from quarry.llm.digest_index import OP10_SQL, op10_exact_dedup
 from quarry.llm.hyper_language import op7_hyper_language
 from quarry.llm.secret_scan import op1_secret_scan
@@ -12,7 +14,9 @@ from quarry.llm.url_rules import OP2_SQL, op2_url_rules
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_url_rules": op2_url_rules,
+    "op3_dart_minhash": op3_dart_minhash,
     "op4_toxicity": op4_toxicity,
+    "op6_cutting_stock": op6_cutting_stock,
     "op7_hyper_language": op7_hyper_language,
     "op9_bpe_prefix": op9_bpe_prefix,
     "op10_exact_dedup": op10_exact_dedup,
