@@ -6,6 +6,7 @@ from quarry.llm.bpe import op9_bpe_prefix
 from quarry.llm.cutting_stock import op6_cutting_stock
 from quarry.llm.dart_minhash import op3_dart_minhash
 from quarry.llm.digest_index import OP10_SQL, op10_exact_dedup
+from quarry.llm.dimension_scan import op8_dimension_scan
 from quarry.llm.hyper_language import op7_hyper_language
 from quarry.llm.secret_scan import op1_secret_scan
 from quarry.llm.toxicity import op4_toxicity
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op6_cutting_stock": op6_cutting_stock,
     "op7_hyper_language": op7_hyper_language,
+    "op8_dimension_scan": op8_dimension_scan,
     "op9_bpe_prefix": op9_bpe_prefix,
     "op10_exact_dedup": op10_exact_dedup,
 }
