@@ -98,16 +98,17 @@ def mark_duplicates(docs: DataFrame, index: DigestIndex | None = None, id_col: s
     )
 
 
-def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that stay, with all their columns: per text the row with the largest
-    id, one of them if that id is repeated."""
+def drop_duplicates(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` that stay, with all their columns: per text that the index lacks, the
+    row with the largest id, one of them if that id is repeated."""
     names = docs.columns
+    new = index.add_batch(docs, id_col, text_col).select("digest")
     whole = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at_id, at_text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
     best = whole.groupBy(digest(F.col(at_text)).alias("digest")).agg(
-        F.max_by(F.struct(*whole.columns), F.struct(F.col(at_id), F.col(at_text))).alias("row")
+        F.max_by(F.struct(*whole.columns), F.struct(at_id)).alias("row")
     )
-    return best.select("row.*").toDF(*names)
+    return best.join(new, "digest", "left_semi").select("row.*").toDF(*names)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

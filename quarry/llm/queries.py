@@ -10,6 +10,7 @@ from quarry.llm.dimension_scan import op8_dimension_scan
 from quarry.llm.hyper_language import op7_hyper_language
 from quarry.llm.secret_scan import op1_secret_scan
 from quarry.llm.toxicity import op4_toxicity
+from quarry.llm.training_order import op5_training_order
 from quarry.llm.url_rules import OP2_SQL, op2_url_rules
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_url_rules": op2_url_rules,
     "op3_dart_minhash": op3_dart_minhash,
     "op4_toxicity": op4_toxicity,
+    "op5_training_order": op5_training_order,
     "op6_cutting_stock": op6_cutting_stock,
     "op7_hyper_language": op7_hyper_language,
     "op8_dimension_scan": op8_dimension_scan,
