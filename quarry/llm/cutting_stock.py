@@ -32,8 +32,9 @@ from quarry.llm.bpe import ChunkTable, Cutter, byte_letters, tokenizer_path
 from quarry.llm.common import stored, table, text_slices
 
 END_ID = 1
-#: the linear program ends when it is this close to its bound, or after so many columns
-GAP, COLUMNS = 2e-4, 1500
+#: the linear program ends when it is this close to its bound, or after so many columns;
+#: lengths are rounded up until there are so many widths
+GAP, COLUMNS, MOST_WIDTHS = 2e-4, 300, 512
 _SLICE = 4 << 20
 
 Pattern = tuple[int, dict[int, int]]  # times used, pieces of each width
@@ -200,11 +201,11 @@ def plan_patterns(histogram: dict[int, int], room: int) -> list[Pattern]:
     return plan + best_fit({int(w): int(n) for w, n in zip(widths, left, strict=True) if n}, room)
 
 
-def unit_for(mean_length: float) -> int:
-    """Tokens per unit of width: rounding up costs a piece half a unit, under half a
-    per cent of the mean document."""
+def unit_for(lengths: dict[int, int], seq_len: int) -> int:
+    """Tokens per unit of width: the smallest power of two that leaves at most MOST_WIDTHS
+    widths. Rounding up costs a piece half a unit on average."""
     unit = 1
-    while unit < 16 and unit * 2 <= mean_length / 256:
+    while len({-(-n // unit) for n in lengths}) > MOST_WIDTHS and unit * 2 <= seq_len:
         unit *= 2
     return unit
 
@@ -212,11 +213,13 @@ def unit_for(mean_length: float) -> int:
 def pack(pieces: DataFrame, seq_len: int = 2048) -> DataFrame:
     """``pieces`` from :func:`cut_documents` with sequence_id and offset. Reads its input
     several times, so it should be a stored frame."""
-    size = pieces.agg(F.sum("length"), F.count(F.lit(1))).first()
-    unit = unit_for((size[0] or 0) / max(size[1], 1))
+    lengths = {n: times for n, times in pieces.groupBy("length").count().collect()}  # seq_len rows at most
+    unit = unit_for(lengths, seq_len)
     room = seq_len // unit
     wide = pieces.withColumn("__width", F.expr(f"cast(ceil(length / {unit}) as int)"))
-    histogram = {w: n for w, n in wide.groupBy("__width").count().collect()}  # seq_len / unit rows at most
+    histogram: Counter[int] = Counter()
+    for n, times in lengths.items():
+        histogram[-(-n // unit)] += times
     plan = plan_patterns(histogram, room)
 
     # ranges of ranks per width: first rank, first sequence, pieces per sequence
