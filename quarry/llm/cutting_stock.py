@@ -122,12 +122,12 @@ def best_knapsack(widths: np.ndarray, worth: np.ndarray, room: int) -> tuple[flo
     return float(value[room]), picked
 
 
-def first_basis(widths: np.ndarray, demand: np.ndarray, room: int) -> np.ndarray:
+def first_basis(widths: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
     """Patterns to start from, as columns. Each takes the widest pieces left and the fullest
-    filling for the rest, as often as pieces last; so each is the last to use some width,
-    and the columns are independent."""
+    filling for the rest, as often as pieces last; so each is the last to use some width:
+    with rows in the order in which widths end, the matrix is triangular. Returns its inverse too."""
     left, basis = demand.astype(float).copy(), np.zeros((len(widths), len(widths)))
-    open_widths = np.arange(len(widths))
+    open_widths, ended = np.arange(len(widths)), []
     for column in range(len(widths)):
         widest = open_widths[-1]
         _, filling = best_knapsack(widths[open_widths], widths[open_widths] * (1 + 1e-6 * widths[open_widths]), room - widths[widest])
@@ -139,29 +139,36 @@ def first_basis(widths: np.ndarray, demand: np.ndarray, room: int) -> np.ndarray
         left = np.maximum(left - pattern * lasts.min(), 0)
         basis[:, column] = pattern
         open_widths = open_widths[open_widths != ends]
-    return basis
+        ended.append(ends)
+    lower, inverse = basis[ended], np.eye(len(widths))
+    for k in range(len(widths)):
+        inverse[k] /= lower[k, k]
+        below = k + 1 + np.flatnonzero(lower[k + 1 :, k])
+        inverse[below] -= lower[below, k][:, None] * inverse[k]
+    inverse[:, ended] = inverse.copy()
+    return basis, inverse
 
 
 def column_generation(widths: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
     """(patterns as columns, times each) that cover the demand exactly with few sequences;
     the times are fractions. Revised simplex from :func:`first_basis`."""
-    basis = first_basis(widths, demand, room)
-    inverse = np.linalg.inv(basis)
-    times = np.maximum(inverse @ demand, 0)
-    least = widths @ demand / room
+    basis, inverse = first_basis(widths, demand, room)
+    times = np.maximum((inverse * demand).sum(axis=1), 0)
+    least = float((widths * demand).sum()) / room
     for _ in range(COLUMNS):
         worth = inverse.sum(axis=0)
         value, pattern = best_knapsack(widths, worth, room)
         if value <= 1 + 1e-9 or times.sum() - max(times.sum() / value, least) <= GAP * times.sum():
             break
-        step = inverse @ pattern
+        used = np.flatnonzero(pattern)
+        step = (inverse[:, used] * pattern[used]).sum(axis=1)
         limit = np.where(step > 1e-11, times / np.where(step > 1e-11, step, 1), np.inf)
         out = int(limit.argmin())
         times = np.maximum(times - limit[out] * step, 0)
         times[out] = limit[out]
         basis[:, out] = pattern
         pivot = inverse[out] / step[out]
-        inverse -= np.outer(step, pivot)
+        inverse -= step[:, None] * pivot
         inverse[out] = pivot
     return basis, times
 
@@ -190,7 +197,7 @@ def plan_patterns(histogram: dict[int, int], room: int) -> list[Pattern]:
     demand = np.array([histogram[w] for w in widths], float)
     basis, times = column_generation(widths, demand, room)
     whole = np.floor(times * (1 - 1e-12) + 1e-9)
-    left = np.rint(demand - basis @ whole).astype(np.int64)
+    left = np.rint(demand - (basis * whole).sum(axis=1)).astype(np.int64)
     for j in np.argsort(-whole):  # rounding of very large counts must not use a piece twice
         while (left < 0).any() and whole[j] > 0 and (basis[:, j] * (left < 0)).any():
             whole[j] -= 1
