@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import scratch_path
+
 # Extensions the reader handles (others become FAILED ledger rows).
 SUPPORTED_EXTENSIONS = ["csv"]
 UNSUPPORTED_MESSAGE = "Unsupported file type"
@@ -23,30 +25,29 @@ def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"[^/]+$", 0)
 
 
-MAX_INLINE_RULES = 256
+RULES_PER_EXPRESSION = 200
 
 
 def route_files(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """the first rule (by ``rule_order``) whose regex matches at the start
-    of the file's base name gives ``target_table``; no match -> NULL (skipped).
+    """the first rule (by ``rule_order``; ties by regex, then target) whose regex
+    matches at the start of the file's base name gives ``target_table``; no match -> NULL
+    (skipped).
 
-    Routing rules are a short configuration list: they are read once and
-    compiled into one ``CASE WHEN name RLIKE r1 THEN t1 WHEN … END`` column, so
-    routing is a projection (no join, no shuffle). A list longer than
-    ``MAX_INLINE_RULES`` is matched with a broadcast theta join instead."""
+    Rules are configuration: they become ``CASE WHEN name RLIKE r1 THEN t1 …`` columns of
+    ``RULES_PER_EXPRESSION`` rules each, of which the first that is not NULL counts. So
+    routing is a projection (no join, no shuffle) for any number of rules."""
     name = base_name(F.col("file_path"))
-    rows = rules.select("rule_order", "regex", "target_table").orderBy("rule_order").limit(MAX_INLINE_RULES + 1).collect()
-    if len(rows) <= MAX_INLINE_RULES:
-        target = F.lit(None).cast("string")
-        for r in reversed(rows):
-            target = F.when(name.rlike(f"^(?:{r.regex})"), F.lit(r.target_table)).otherwise(target)
-        return files.withColumn("target_table", target)
-    r = F.broadcast(rules.select("rule_order", "regex", "target_table"))
-    hit = F.regexp_like(name, F.concat(F.lit("^(?:"), F.col("regex"), F.lit(")")))
-    j = files.select("file_path").join(r, hit, "left")
-    best = j.groupBy("file_path").agg(F.min("rule_order").alias("rule_order"))
-    best = best.join(F.broadcast(rules.select("rule_order", "target_table")), "rule_order", "left")
-    return files.join(best.drop("rule_order"), "file_path", "left")
+    rows = rules.where("regex is not null and target_table is not null").select("rule_order", "regex", "target_table")
+    targets, cases, held = [], None, 0
+    for r in rows.orderBy("rule_order", "regex", "target_table").toLocalIterator():
+        hit = name.rlike(f"^(?:{r.regex})")
+        cases = F.when(hit, F.lit(r.target_table)) if cases is None else cases.when(hit, F.lit(r.target_table))
+        held += 1
+        if held == RULES_PER_EXPRESSION:
+            targets.append(cases)
+            cases, held = None, 0
+    targets += [cases] if cases is not None else []
+    return files.withColumn("target_table", F.coalesce(*targets, F.lit(None).cast("string")))
 
 
 def line_hash(line_no: Column, line: Column) -> Column:
@@ -92,16 +93,20 @@ def rank_within(df: DataFrame, group: str, order: str, name: str = "_rank") -> D
     """Dense 1-based rank of ``order`` inside each ``group`` without putting a
     group in one task: range-partition by (group, order) so every task holds a
     contiguous slice, number the rows inside each slice, and add the counts of
-    the earlier slices of the same group. The slice-count table has at most
-    (partitions x groups-per-partition) rows; it is the only broadcast side."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sliced = df.repartitionByRange(n, group, order).withColumn("_slice", F.spark_partition_id())
+    the earlier slices of the same group. The slices are written once to the
+    shared folder: range boundaries are sampled, so counts and rows must come
+    from the same partitioning."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "slices")
+    df.repartitionByRange(n, group, order).withColumn("_slice", F.spark_partition_id()).write.parquet(path)
+    sliced = spark.read.parquet(path)
     counts = sliced.groupBy("_slice", group).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     local = Window.partitionBy("_slice", group).orderBy(order)
     ranked = sliced.withColumn("_local", F.row_number().over(local))
-    return ranked.join(F.broadcast(offsets), ["_slice", group]) \
+    return ranked.join(offsets, ["_slice", group]) \
         .withColumn(name, F.col("_off") + F.col("_local")).drop("_slice", "_off", "_local")
 
 
@@ -112,15 +117,15 @@ def assign_version(files: DataFrame, existing: DataFrame) -> DataFrame:
     most of a batch's files is still spread over all tasks."""
     prev = existing.groupBy("target_table").agg(F.max("_version_id").alias("_prev"))
     ranked = rank_within(files, "target_table", "file_order")
-    return ranked.join(F.broadcast(prev), "target_table", "left").withColumn(
+    return ranked.join(prev, "target_table", "left").withColumn(
         "_version_id", (F.coalesce("_prev", F.lit(0)) + F.col("_rank")).cast("int")).drop("_prev", "_rank")
 
 
 def latest_flags(rows: DataFrame) -> DataFrame:
     """``_is_latest`` = the row's version is its target's newest. Derived,
-    no UPDATE: a grouped max (one row per target, broadcast) joined back."""
+    no UPDATE: a grouped max (one row per target) joined back."""
     mx = rows.groupBy("target_table").agg(F.max("_version_id").alias("_max"))
-    return rows.join(F.broadcast(mx), "target_table").withColumn(
+    return rows.join(mx, "target_table").withColumn(
         "_is_latest", F.col("_version_id") == F.col("_max")).drop("_max")
 
 

@@ -78,6 +78,24 @@ def _kind_sql(col: str, table: str) -> str:
             f"WHEN 'BOOLEAN' THEN 'bool' ELSE 'string' END FROM {table} LIMIT 1)")
 
 
+# fields with bounds that aren't numbers
+BOUND_KIND = {"l_shipdate": "date", "c_name": "text", "c_mktsegment": "text"}
+
+
+def _passes_sql(table: str, field: str, check: str, expected: str) -> str:
+    """Verdict over (actual, actual_text); what can't be measured does not pass."""
+    sign = {"min": ">=", "min_length": ">=", "max": "<=", "max_length": "<=", "max_nulls": "<="}.get(check)
+    if check == "type":
+        said = "actual_text = expected"
+    elif check in ("min", "max") and BOUND_KIND.get(field) == "date":
+        said = f"CAST(actual_text AS TIMESTAMP) {sign} TRY_CAST(expected AS TIMESTAMP)"
+    elif check in ("min", "max") and field in BOUND_KIND:
+        said = f"actual_text {sign} expected"
+    else:
+        said = f"actual {sign} TRY_CAST(expected AS DOUBLE)" if sign else "actual = 0"
+    return f"SELECT *, coalesce({said}, false) AS passes FROM ({_check_sql(table, field, check, expected)})"
+
+
 def _check_sql(table: str, field: str, check: str, expected: str) -> str:
     c = field
     if check == "type":
@@ -85,14 +103,20 @@ def _check_sql(table: str, field: str, check: str, expected: str) -> str:
     else:
         text = "CAST(NULL AS VARCHAR)"
         agg = {
-            "min": f"min(CAST({c} AS DOUBLE))",
-            "max": f"max(CAST({c} AS DOUBLE))",
             "max_nulls": f"count(*) FILTER (WHERE {c} IS NULL)",
             "no_duplicates": f"count({c}) - count(DISTINCT {c})",
             "min_length": f"min(length(CAST({c} AS VARCHAR)))",
             "max_length": f"max(length(CAST({c} AS VARCHAR)))",
         }.get(check)
-        if check == "sign":
+        if check in ("min", "max"):
+            kind, agg = BOUND_KIND.get(c, "number"), f"{check}({c})"
+            if kind != "number":
+                shown = f"strftime({agg}, '%Y-%m-%d %H:%M:%S')" if kind == "date" else agg
+                text = f"(SELECT {shown} FROM {table})"
+                agg = "NULL"
+        elif check == "sign" and c in BOUND_KIND:
+            agg = "NULL"
+        elif check == "sign":
             bad = {"positive": "<= 0", "non-negative": "< 0", "zero": "<> 0", "non-positive": "> 0",
                    "negative": ">= 0"}[expected]
             agg = f"count(*) FILTER (WHERE {c} {bad})"
@@ -101,23 +125,13 @@ def _check_sql(table: str, field: str, check: str, expected: str) -> str:
             agg = f"count(*) FILTER (WHERE {c} IS NOT NULL AND CAST({c} AS VARCHAR) NOT IN ({vals}))"
         elif check == "rex":
             agg = f"count(*) FILTER (WHERE {c} IS NOT NULL AND NOT regexp_matches(CAST({c} AS VARCHAR), '{expected}'))"
-        actual = f"(SELECT CAST({agg} AS DOUBLE) FROM {table})"
+        actual = f"(SELECT CAST({agg} AS DOUBLE) FROM {table})" if agg != "NULL" else "CAST(NULL AS DOUBLE)"
     return (f"SELECT '{table}' AS table_name, '{field}' AS field, '{check}' AS \"check\", '{expected}' AS expected, "
             f"{actual} AS actual, {text} AS actual_text")
 
 
 RESULTS = """
-m AS (""" + "\n  UNION ALL ".join(_check_sql(*r) for r in fx.CONSTRAINT_ROWS) + """),
-results AS (
-  SELECT table_name, field, "check", expected, actual, actual_text,
-         coalesce(CASE WHEN "check" = 'type' THEN actual_text = expected
-                       WHEN "check" = 'min' THEN actual >= TRY_CAST(expected AS DOUBLE)
-                       WHEN "check" = 'max' THEN actual <= TRY_CAST(expected AS DOUBLE)
-                       WHEN "check" = 'max_nulls' THEN actual <= TRY_CAST(expected AS DOUBLE)
-                       WHEN "check" = 'min_length' THEN actual >= TRY_CAST(expected AS DOUBLE)
-                       WHEN "check" = 'max_length' THEN actual <= TRY_CAST(expected AS DOUBLE)
-                       ELSE actual = 0 END, true) AS passes
-  FROM m)"""
+results AS (""" + "\n  UNION ALL ".join(_passes_sql(*r) for r in fx.CONSTRAINT_ROWS) + ")"
 
 
 def _results(t):
@@ -151,9 +165,8 @@ def quality_run_log(t):
     SELECT table_name, field AS field_name, "check" AS check_type, expected AS expected_value,
            coalesce(actual_text, CAST(CAST(actual AS DECIMAL(20,4)) AS VARCHAR), 'null') AS actual_value,
            CASE WHEN passes THEN 'Y' ELSE 'N' END AS passes,
-           '{"check": "' || "check" || '", "expected": "' || expected || '", "actual": "' ||
-           coalesce(actual_text, CAST(CAST(actual AS DECIMAL(20,4)) AS VARCHAR), 'null') ||
-           '", "passes": ' || CASE WHEN passes THEN 'true' ELSE 'false' END || '}' AS details_json
+           CAST(json_object('check', "check", 'expected', expected, 'actual',
+             coalesce(actual_text, CAST(CAST(actual AS DECIMAL(20,4)) AS VARCHAR), 'null'), 'passes', passes) AS VARCHAR) AS details_json
     FROM results""",
 )
 def quality_details(t):

@@ -462,6 +462,13 @@ CONSTRAINT_ROWS = [
     ("lineitem", "l_shipdate", "type", "date"),
     ("lineitem", "l_shipdate", "max_nulls", "0"),
     ("lineitem", "l_orderkey", "no_duplicates", "true"),
+    ("lineitem", "l_shipdate", "min", "1990-01-01"),
+    ("lineitem", "l_shipdate", "max", "1995-01-01"),
+    ("customer", "c_name", "min", "Customer#"),
+    ("customer", "c_mktsegment", "max", "BUILDING"),
+    ("customer", "c_name", "rex", '^"?Customer"?#'),
+    ("customer", "c_acctbal", "min", "not a number"),
+    ("customer", "c_name", "sign", "positive"),
 ]
 CONSTRAINT_FILE = "constraints/quarry_checks.yaml"
 
