@@ -23,15 +23,15 @@ def error_scan(lines: DataFrame, pattern: str = ERROR_PATTERN) -> DataFrame:
     """L1: per file, whether any line matches, and the first matching line.
     Every file is scanned (SURVEY 2.11 #20)."""
     hit = F.col("line").rlike(pattern)
-    # numeric aggregates only (hash aggregation, partial per task); the text of
-    # the first hit is joined back from the matching lines, which are few
+    # numeric aggregates only (hash aggregation, partial per task); the first hit's text
+    # comes from a group limit of one line per file and task, then one row per file
     per_file = lines.groupBy("file").agg(
         F.bool_or(hit).alias("has_error"),
         F.min(F.when(hit, F.col("line_no"))).alias("first_hit_line_no"),
     )
-    hits = lines.where(hit).select("file", F.col("line_no").alias("first_hit_line_no"),
-                                   F.col("line").alias("first_hit"))
-    return per_file.join(hits, ["file", "first_hit_line_no"], "left")
+    first = F.row_number().over(Window.partitionBy("file").orderBy("line_no"))
+    hits = lines.where(hit).withColumn("_rn", first).where(F.col("_rn") == 1).select("file", F.col("line").alias("first_hit"))
+    return per_file.join(hits, "file", "left").select("file", "first_hit_line_no", "has_error", "first_hit")
 
 
 def tail_lines(lines: DataFrame, n: int = 100) -> DataFrame:
@@ -63,7 +63,7 @@ def recent_matching_queries(audit: DataFrame, like: str, n: int = 10) -> DataFra
     return (
         audit.where(F.col("query").like(like))
         .select("event_time", "user", "address", "client_hostname", "query")
-        .orderBy(F.col("event_time").desc())
+        .orderBy(F.col("event_time").desc(), "user", "address", "client_hostname", "query")
         .limit(n)
     )
 
@@ -72,7 +72,7 @@ def recent_sessions(sessions: DataFrame, n: int = 10) -> DataFrame:
     """Newest ``n`` sessions by login time."""
     return (
         sessions.select("user", "address", "client_hostname", "login_time", "logout_time")
-        .orderBy(F.col("login_time").desc())
+        .orderBy(F.col("login_time").desc(), "user", "address", "client_hostname", "logout_time")
         .limit(n)
     )
 

@@ -23,7 +23,7 @@ def container_quantities(c: DataFrame) -> DataFrame:
 
 def pod_usage(c: DataFrame) -> DataFrame:
     """O3: container usage summed per (namespace, pod)."""
-    q = container_quantities(c)
+    q = c.select("namespace", "pod", cpu_cores(F.col("cpu_usage")).alias("cpu_usage"), memory_bytes(F.col("mem_usage")).alias("mem_usage"))
     return q.groupBy("namespace", "pod").agg(
         F.sum("cpu_usage").alias("cpu_usage"), F.sum("mem_usage").cast("bigint").alias("mem_usage")
     )
@@ -41,40 +41,32 @@ def pod_requests(c: DataFrame) -> DataFrame:
     )
 
 
-def pod_usage_join(c: DataFrame) -> DataFrame:
-    """Placed pods with their requests and usage (0 when absent) — the left
-    join of O4 and O3 on (namespace, pod). A pod runs on one node, so both
-    sides come from one grouping of the containers: one scan, one shuffle,
-    no join."""
-    q = container_quantities(c).where(F.col("node").isNotNull())
-    # node is a grouping key (a pod has one node), which keeps every buffer
-    # numeric: a hash aggregate, where max(node) would force a sort aggregate
-    g = q.groupBy("namespace", "pod", "node").agg(
-        F.sum(F.coalesce("cpu_request", F.lit(0.0))).alias("cpu_request"),
-        F.sum(F.coalesce("cpu_limit", F.lit(0.0))).alias("cpu_limit"),
-        F.sum(F.coalesce("mem_request", F.lit(0))).cast("bigint").alias("mem_request"),
-        F.sum(F.coalesce("mem_limit", F.lit(0))).cast("bigint").alias("mem_limit"),
-        F.coalesce(F.sum("cpu_usage"), F.lit(0.0)).alias("cpu_usage"),
-        F.coalesce(F.sum("mem_usage"), F.lit(0)).cast("bigint").alias("mem_usage"),
+def pod_usage_join(pods: DataFrame, usage: DataFrame) -> DataFrame:
+    """Placed pods with their requests (O4), left-joined to the usage rows summed per
+    pod (O3); a pod without usage has 0, usage without a pod is left out."""
+    used = pod_usage(usage).select("namespace", "pod", "cpu_usage", "mem_usage")
+    return pod_requests(pods).join(used, ["namespace", "pod"], "left").select(
+        "namespace", "pod", "node", "cpu_request", "cpu_limit", "mem_request", "mem_limit",
+        F.coalesce("cpu_usage", F.lit(0.0)).alias("cpu_usage"),
+        F.coalesce("mem_usage", F.lit(0)).cast("bigint").alias("mem_usage"),
     )
-    return g
 
 
-def node_pods(nodes: DataFrame, c: DataFrame) -> DataFrame:
+def node_pods(nodes: DataFrame, pods: DataFrame, usage: DataFrame) -> DataFrame:
     """O6, long form: every node with capacity and allocatable, one row per pod
     placed on it; a node without pods keeps one row with NULL pod columns."""
-    pods = pod_usage_join(c)
+    pods = pod_usage_join(pods, usage)
     return nodes.join(pods, "node", "left").select(
         "node", "cpu_capacity", "mem_capacity", "cpu_allocatable", "mem_allocatable",
         "namespace", "pod", "cpu_request", "mem_request", "cpu_usage", "mem_usage",
     )
 
 
-def node_rollup(nodes: DataFrame, c: DataFrame) -> DataFrame:
+def node_rollup(nodes: DataFrame, pods: DataFrame, usage: DataFrame) -> DataFrame:
     """O6, nested form: one row per node with the sorted list of its pods
     (``[]`` when none). The list is bounded by the scheduler's pods-per-node
     limit, so collecting it per node is safe."""
-    long = node_pods(nodes, c)
+    long = node_pods(nodes, pods, usage)
     pod = F.struct("namespace", "pod", "cpu_request", "mem_request", "cpu_usage", "mem_usage")
     return long.groupBy("node", "cpu_capacity", "mem_capacity", "cpu_allocatable", "mem_allocatable").agg(
         F.coalesce(F.sort_array(F.collect_list(F.when(F.col("pod").isNotNull(), pod))),

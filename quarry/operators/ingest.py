@@ -170,13 +170,13 @@ def quarantine(ledger: DataFrame, folder: str) -> DataFrame:
         "file_path", F.concat(F.lit(folder.rstrip("/") + "/"), base_name(F.col("file_path"))).alias("quarantine_path"))
 
 
-def write_quarantine(ledger: DataFrame, files: DataFrame, folder: str) -> None:
+def write_quarantine(ledger: DataFrame, files: DataFrame, folder: str, mode: str = "append") -> None:
     """F10 write: the content (``file_path, text``) of every failed file goes
     under ``folder/file=<base name>/``; each file is its own partition, so one
     unreadable or oversized file does not hold back the others' rows."""
     failed = ledger.where(F.col("status") == "FAILED").select("file_path")
     out = files.join(failed, "file_path", "left_semi").select(base_name(F.col("file_path")).alias("file"), "text")
-    out.write.mode("append").partitionBy("file").text(folder)
+    out.write.mode(mode).partitionBy("file").text(folder)
 
 
 def batch_outcome(ledger: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import list_literal, matches_any_glob
@@ -155,13 +155,13 @@ def strip_prefix_map(m, prefix: str, exclude: Sequence[str] | None = None):
     return F.transform_keys(kept, lambda k, v: F.when(k.startswith(prefix), k.substr(n + 1, 1 << 30)).otherwise(k))
 
 
-def prefix_to_wide(kv: DataFrame, prefix: str, names: Sequence[str]) -> DataFrame:
+def prefix_to_wide(kv: DataFrame, prefix: str, names: Sequence[str] | None = None) -> DataFrame:
     """Keys starting with ``prefix`` become one wide row per entity, the
-    prefix stripped. ``names`` (the stripped keys) is a fixed list, so the
-    pivot needs no extra job and has a stable schema."""
+    prefix stripped: every such key of the data is a column. A list of ``names``
+    (stripped keys), if given, selects some."""
     n = len(prefix)
     k = kv.where(F.col("key").startswith(prefix)).withColumn("key", F.col("key").substr(n + 1, 1 << 30))
-    return k.groupBy("entity").pivot("key", list(names)).agg(F.first("value"))
+    return k.groupBy("entity").pivot("key", list(names) if names is not None else None).agg(F.first("value"))
 
 
 def nest_dotted(kv: DataFrame) -> DataFrame:
@@ -171,20 +171,33 @@ def nest_dotted(kv: DataFrame) -> DataFrame:
                      F.coalesce(parts.getItem(1), F.lit("")).alias("subpath"), "value")
 
 
+def _proper_prefixes(key: Column) -> Column:
+    """Every proper dotted prefix of a key: ``a.b.c`` -> ``[a, a.b]``."""
+    parts = F.split(key, r"\.")
+    steps = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(steps, lambda i: F.array_join(F.slice(parts, 1, i), "."))
+
+
 def nested_json(kv: DataFrame) -> DataFrame:
-    """D8, nested form for one small dictionary: one row per group with its
-    entries as a JSON object (entries of one group are few)."""
-    long = nest_dotted(kv).withColumn("value", list_literal(F.col("value")))
-    return long.groupBy("group").agg(
-        F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("subpath", "value"))))).alias("json")
-    )
+    """D8, nested form: one row per first part of the keys, with what lies below it nested
+    to full depth as JSON (``a.b.c`` -> group ``a``, ``{"b":{"c":…}}``; a key without a dot
+    is its value). Built level by level by :func:`rebuild_json`, so a grouping holds one
+    node's children. A key that is also a prefix of others keeps its value under ``""``."""
+    inner = kv.select(F.explode(_proper_prefixes(F.col("key"))).alias("key")).distinct().withColumn("_inner", F.lit(True))
+    parts = F.split("key", r"\.")
+    path = F.when(F.coalesce("_inner", F.lit(False)), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    tree = kv.join(inner, "key", "left").select(path.getItem(0).alias("entity"), F.slice(path, 2, F.size(path)).alias("path"), "value")
+
+    def as_json(value):
+        listed = F.ltrim(value).startswith("[")
+        return F.when(listed, F.to_json(list_literal(value))).otherwise(_json_text(value))
+
+    return rebuild_json(tree, as_json).select(F.col("entity").alias("group"), "json")
 
 
 def key_prefixes(kv: DataFrame) -> DataFrame:
     """Every proper dotted prefix of every key: ``a.b.c`` -> ``a``, ``a.b``."""
-    parts = F.split("key", r"\.")
-    idx = F.sequence(F.lit(1), F.size(parts) - 1)
-    return kv.select("key", "value", F.explode(F.transform(idx, lambda i: F.array_join(F.slice(parts, 1, i), "."))).alias("prefix"))
+    return kv.select("key", "value", F.explode(_proper_prefixes(F.col("key"))).alias("prefix"))
 
 
 def resolve_references(kv: DataFrame) -> DataFrame:
@@ -212,15 +225,15 @@ def _json_text(c) -> F.Column:
     return enc.substr(F.lit(2), F.length(enc) - 2)
 
 
-def rebuild_json(tree: DataFrame) -> DataFrame:
+def rebuild_json(tree: DataFrame, as_json=_json_text) -> DataFrame:
     """D4/D5 nested form: ``(entity, path, value)`` rows back into one JSON object
     per entity, keys sorted. Built bottom-up, one grouping per depth level;
     each group is one node's children (a dictionary's fan-out), never a whole
-    table. The depth is one scalar read from the data. An output row holds a
+    table. ``as_json`` writes a value. The depth is one scalar read from the data. An output row holds a
     whole dictionary, so this is for dictionaries of bounded size; the long
     form is the representation that scales (the registered queries return it)."""
     depth = tree.select(F.max(F.size("path"))).first()[0] or 0
-    cur = tree.select("entity", "path", _json_text(F.col("value").cast("string")).alias("json"))
+    cur = tree.select("entity", "path", as_json(F.col("value").cast("string")).alias("json"))
     for d in range(depth, 0, -1):
         at = cur.where(F.size("path") == d)
         member = F.concat(_json_text(F.element_at("path", -1)), F.lit(":"), F.col("json"))

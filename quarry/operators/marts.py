@@ -12,8 +12,9 @@ import time
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.sources import sinks
 
@@ -57,12 +58,26 @@ def chunk_bounds(df: DataFrame, col: str, size: int) -> DataFrame:
         .select(F.col("chunk_id").cast("int"), "chunk_start", (F.col("chunk_start") + size).alias("chunk_end"))
 
 
+def chunk_count(df: DataFrame, col: str, size: int) -> int:
+    """Chunks of M3 (empty ones too, NULL keys in none): one aggregate of the bounds."""
+    lo, hi = df.agg(F.min(col), F.max(col)).first()
+    return 0 if lo is None else int((hi - lo) // size) + 1
+
+
+def _chunks_in(df: DataFrame, col: str, size: int, lo: Column) -> Column:
+    """Whole chunks between the least key and a row's key; integer keys divide exactly."""
+    distance = F.col(col) - lo
+    if isinstance(df.schema[col].dataType, T.IntegralType):
+        return F.call_function("div", distance.cast("bigint"), F.lit(size).cast("bigint"))
+    return F.floor(distance / F.lit(size)).cast("bigint")
+
+
 def with_chunk_id(df: DataFrame, col: str, size: int, name: str = "_chunk") -> DataFrame:
     """M4: tag rows with their chunk id ``floor((c - min) / size)``. The min is a
     scalar subquery; rows with a NULL key keep a NULL chunk and are kept
     (SURVEY 2.11 #9)."""
     lo = df.select(F.min(col)).scalar()
-    return df.withColumn(name, F.floor((F.col(col) - lo) / F.lit(size)).cast("int"))
+    return df.withColumn(name, _chunks_in(df, col, size, lo))
 
 
 def chunked_build_counts(df: DataFrame, col: str, size: int) -> DataFrame:
@@ -129,18 +144,18 @@ def run_mart(spark: SparkSession, mart: dict, base_path: str, log_path: str | No
     Returns the log row; errors are logged, then re-raised."""
     start = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     t0 = time.perf_counter()
-    status, message, chunks = "success", "", 0
+    status, message, chunks = "success", "success", 1
     target = mart["target_table"]
     try:
         df = spark.sql(mart["query"])
-        if mart.get("chunk_column"):
-            chunks = chunked_build_counts(df, mart["chunk_column"], int(mart["chunk_size"])).count()
         if mode == "append":
             sinks.append_refresh(df, target, base_path)
         else:
             sinks.full_refresh_swap(df, target, base_path)
+        if mart.get("chunk_column"):
+            chunks = chunk_count(spark.table(target), mart["chunk_column"], int(mart["chunk_size"]))
     except Exception as e:  # noqa: BLE001 - logged then re-raised
-        status, message = "failed", str(e)[:1000]
+        status, message = "failed", str(e)
         raise
     finally:
         end = start + _dt.timedelta(seconds=time.perf_counter() - t0)

@@ -102,12 +102,12 @@ def latency_trend(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("last_refresh").alias("time"), "name", "latency").orderBy("name", "time")
 
 
-def latency_heatmap(rows: DataFrame, names: Sequence[str], bucket: str = "day") -> DataFrame:
-    """Time bucket x name -> max latency. The pivot values are a fixed list,
-    so Spark runs no extra job to find them and the output schema is stable."""
+def latency_heatmap(rows: DataFrame, names: Sequence[str] | None = None, bucket: str = "day") -> DataFrame:
+    """Time bucket x name -> max latency. One column per name in the data; a list of
+    ``names``, if given, selects some."""
     return (
         rows.groupBy(F.date_trunc(bucket, "last_refresh").cast("timestamp_ntz").alias("time"))
-        .pivot("name", list(names))
+        .pivot("name", list(names) if names is not None else None)
         .agg(F.max("latency"))
     )
 

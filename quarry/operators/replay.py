@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KEY = ["topic", "partition"]
 
@@ -48,7 +49,7 @@ def replay_missing_report(log: DataFrame, at: Column) -> DataFrame:
 def replay_from(log: DataFrame, starts: DataFrame) -> DataFrame:
     """K5: records at or after the chosen start offset of their partition."""
     s = starts.select(*KEY, "start_offset").where(F.col("start_offset").isNotNull())
-    j = log.join(F.broadcast(s), KEY, "inner").where(F.col("offset") >= F.col("start_offset"))
+    j = log.join(s, KEY, "inner").where(F.col("offset") >= F.col("start_offset"))
     return j.select(*KEY, "offset", "timestamp", "key", "value")
 
 
@@ -61,9 +62,10 @@ def decode_or_skip(log: DataFrame, schema: str) -> DataFrame:
     """Decode the JSON payload; a record that does not decode is kept with
     ``decoded = false`` and NULL fields instead of failing the job, so it can be
     reported and skipped (``where("decoded")``)."""
-    parsed = F.from_json(F.col("value"), f"{schema}, _corrupt_record STRING",
-                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    fields = [f.strip().split()[0] for f in schema.split(",")]
+    wanted = T.StructType.fromDDL(schema)
+    with_bad = T.StructType([*wanted.fields, T.StructField("_corrupt_record", T.StringType())])
+    parsed = F.from_json(F.col("value"), with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    fields = wanted.names
     p = log.select(*KEY, "offset", "value", parsed.alias("_p"))
     ok = F.col("_p").isNotNull() & F.col("_p._corrupt_record").isNull()
-    return p.select(*KEY, "offset", *[F.col(f"_p.{f}").alias(f) for f in fields], ok.alias("decoded"))
+    return p.select(*KEY, "offset", *[F.col("_p").getField(f).alias(f) for f in fields], ok.alias("decoded"))

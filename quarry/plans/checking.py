@@ -269,12 +269,12 @@ docs AS (
   SELECT d.doc_id, d.source, d.text, coalesce(l.quality, 1) AS quality, coalesce(l.toxic, 0) AS toxic
   FROM documents d LEFT JOIN labels l USING (doc_id)),
 files AS (
-  SELECT '/share/' || source || '_' || doc_id || CASE WHEN doc_id % 25 = 0 THEN '.xlsx' ELSE '.csv' END AS file_path,
-         doc_id AS file_order, doc_id, text, quality, toxic
-  FROM docs),
+  SELECT '/share/' || source || '_' || doc_id || '.csv' AS file_path, doc_id AS file_order, text, toxic FROM docs
+  UNION ALL SELECT '/share/' || source || '_' || doc_id || '.xlsx', 1000000000 + doc_id, NULL, 0 FROM docs WHERE doc_id % 25 = 0
+  UNION ALL SELECT '/share/' || source || '_empty_' || doc_id || '.csv', 2000000000 + doc_id, NULL, 0 FROM docs WHERE quality = 0),
 lines AS (
   SELECT file_path, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS line_no, unnest(parts) AS line
-  FROM (SELECT file_path, string_split(text, chr(10)) AS parts FROM files WHERE quality <> 0)),
+  FROM (SELECT file_path, string_split(text, chr(10)) AS parts FROM files WHERE text IS NOT NULL)),
 fp AS (
   SELECT file_path,
          md5(CAST(count(*) AS VARCHAR) || ':' || CAST(sum(CAST(CAST(('0x' || substr(md5(CAST(line_no AS VARCHAR) || ':' || line), 1, 15)) AS BIGINT) AS DECIMAL(38,0))) AS VARCHAR)) AS file_hash,

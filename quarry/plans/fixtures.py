@@ -1,7 +1,7 @@
 """Views that map the driver's tables onto the reference's data shapes
 (FIXTURES.md part B). Each view is a lazy DataFrame over the parquet scans, so
 its work grows with the tables; the matching DuckDB text lives in
-``quarry.plans.oracle`` and must say the same thing.
+``quarry.plans.registry`` and must say the same thing.
 """
 
 from __future__ import annotations
@@ -211,6 +211,15 @@ def v_containers(t: Tables) -> DataFrame:
     )
 
 
+def v_usage(t: Tables) -> DataFrame:
+    """Usage rows of the containers: none for every 13th order's pod, and some for pods
+    that are not listed."""
+    c = v_containers(t).select("namespace", "pod", "container", "cpu_usage", "mem_usage")
+    key = F.substring("pod", 5, 20).cast("bigint")
+    gone = c.where(key % 19 == 0).withColumn("pod", F.concat(F.lit("gone-"), F.col("pod")))
+    return c.where(key % 13 != 0).unionByName(gone)
+
+
 def v_nodes(t: Tables) -> DataFrame:
     """Nodes from suppliers (s_suppkey % 12): nodes 10 and 11 get no pods."""
     n = t.supplier.groupBy(F.concat(F.lit("node-"), (F.col("s_suppkey") % 12).cast("string")).alias("node")).agg(
@@ -392,23 +401,24 @@ def v_wide_source(t: Tables) -> DataFrame:
 # --- file ingestion (F1-F11) ---------------------------------------------------------
 
 def v_files(t: Tables) -> DataFrame:
-    """One file per document: '/share/<source>_<doc_id>.csv' (every 25th is an
-    '.xlsx' the reader does not handle), in doc_id order; a document labelled
-    quality 0 is an empty file."""
+    """One '/share/<source>_<doc_id>.csv' per document, in doc_id order; after these, an
+    '.xlsx' that the reader does not handle beside every 25th document, and an empty file
+    beside each document labelled quality 0."""
     d = t.documents.join(t.labels.select("doc_id", "quality", "toxic"), "doc_id", "left")
-    ext = F.when(F.col("doc_id") % 25 == 0, F.lit(".xlsx")).otherwise(F.lit(".csv"))
-    return d.select(
-        F.concat(F.lit("/share/"), F.col("source"), F.lit("_"), _s("doc_id"), ext).alias("file_path"),
-        F.col("doc_id").alias("file_order"),
-        "doc_id", "text",
-        F.coalesce("quality", F.lit(1)).alias("quality"),
-        F.coalesce("toxic", F.lit(0)).alias("toxic"),
-    )
+
+    def entries(rows, infix, ext, first, text, toxic):
+        path = F.concat(F.lit("/share/"), F.col("source"), F.lit(infix), _s("doc_id"), F.lit(ext))
+        return rows.select(path.alias("file_path"), (F.col("doc_id") + first).alias("file_order"), text.alias("text"), toxic.alias("toxic"))
+
+    none, no = F.lit(None).cast("string"), F.lit(0)
+    return (entries(d, "_", ".csv", 0, F.col("text"), F.coalesce("toxic", no))
+            .unionByName(entries(d.where(F.col("doc_id") % 25 == 0), "_", ".xlsx", 10**9, none, no))
+            .unionByName(entries(d.where(F.col("quality") == 0), "_empty_", ".csv", 2 * 10**9, none, no)))
 
 
 def v_file_lines(files: DataFrame) -> DataFrame:
     """Lines of the non-empty files: (file_path, line_no from 0, line)."""
-    return files.where(F.col("quality") != 0).select(
+    return files.where(F.col("text").isNotNull()).select(
         "file_path", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 

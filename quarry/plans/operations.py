@@ -109,7 +109,7 @@ def latency_trend(t):
 )
 def latency_heatmap(t):
     """Day x feed -> max latency."""
-    return mo.latency_heatmap(fx.v_feeds(t), FEED_NAMES)
+    return mo.latency_heatmap(fx.v_feeds(t))
 
 
 @query("feed_names", "SELECT DISTINCT event_type AS name FROM events")
@@ -261,7 +261,7 @@ def user_address_activity(t):
     "recent_matching_queries",
     "WITH" + AUDIT + """
     SELECT event_time, "user", address, client_hostname, query FROM audit
-    WHERE query LIKE '%sample_table%' ORDER BY event_time DESC LIMIT 10""",
+    WHERE query LIKE '%sample_table%' ORDER BY event_time DESC, "user", address, client_hostname, query LIMIT 10""",
 )
 def recent_matching_queries(t):
     """Top 10 newest (the limit is the feature)."""
@@ -272,7 +272,7 @@ def recent_matching_queries(t):
     "recent_sessions",
     "WITH" + AUDIT + """
     SELECT "user", address, client_hostname, event_time AS login_time, logout_time
-    FROM audit ORDER BY login_time DESC LIMIT 10""",
+    FROM audit ORDER BY login_time DESC, "user", address, client_hostname, logout_time NULLS FIRST LIMIT 10""",
 )
 def recent_sessions(t):
     """Top 10 newest sessions."""
@@ -338,11 +338,13 @@ containers AS (
               WHEN l_linenumber % 4 = 1 THEN CAST(floor(l_quantity) AS BIGINT) * 1048576
               WHEN l_linenumber % 4 = 2 THEN CAST(floor(l_quantity) AS BIGINT) * 1073741824
               ELSE CAST(floor(l_quantity) AS BIGINT) * 1000 END AS mem_usage,
-         l_linestatus = 'F' AS ready
+         l_linestatus = 'F' AS ready, l_orderkey
   FROM lineitem),
 usage AS (
   SELECT namespace, pod, sum(cpu_usage) AS cpu_usage, CAST(sum(mem_usage) AS BIGINT) AS mem_usage
-  FROM containers GROUP BY ALL),
+  FROM (SELECT namespace, pod, cpu_usage, mem_usage FROM containers WHERE l_orderkey % 13 <> 0
+        UNION ALL SELECT namespace, 'gone-' || pod, cpu_usage, mem_usage FROM containers WHERE l_orderkey % 19 = 0)
+  GROUP BY ALL),
 requests AS (
   SELECT namespace, pod, node,
          sum(coalesce(cpu_request, 0.0)) AS cpu_request, sum(coalesce(cpu_limit, 0.0)) AS cpu_limit,
@@ -380,7 +382,7 @@ def memory_quantity(t):
 @query("pod_usage", "WITH" + CONTAINERS + " SELECT * FROM usage", ["cpu_usage"])
 def pod_usage(t):
     """O3."""
-    return cl.pod_usage(fx.v_containers(t))
+    return cl.pod_usage(fx.v_usage(t))
 
 
 @query("pod_requests", "WITH" + CONTAINERS + " SELECT * FROM requests", ["cpu_request", "cpu_limit"])
@@ -392,7 +394,7 @@ def pod_requests(t):
 @query("pod_usage_join", "WITH" + CONTAINERS + " SELECT * FROM pods", ["cpu_request", "cpu_limit", "cpu_usage"])
 def pod_usage_join(t):
     """O5."""
-    return cl.pod_usage_join(fx.v_containers(t))
+    return cl.pod_usage_join(fx.v_containers(t), fx.v_usage(t))
 
 
 @query(
@@ -406,7 +408,7 @@ def pod_usage_join(t):
 )
 def node_rollup(t):
     """O6 (long form; the nested form is ``cluster.node_rollup``)."""
-    return cl.node_pods(fx.v_nodes(t), fx.v_containers(t))
+    return cl.node_pods(fx.v_nodes(t), fx.v_containers(t), fx.v_usage(t))
 
 
 @query(

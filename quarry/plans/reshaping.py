@@ -134,7 +134,7 @@ LINES = [str(i) for i in range(1, 8)]
 )
 def prefix_to_wide(t):
     """D6: 'price_<line>' entries -> one row per order, one column per line."""
-    return kv.prefix_to_wide(fx.v_wide_source(t), "price_", LINES)
+    return kv.prefix_to_wide(fx.v_wide_source(t), "price_")
 
 
 @query("list_literal", "WITH" + KV + " SELECT key, idx, item FROM items")

@@ -18,6 +18,7 @@ from quarry.sources import sinks
 from quarry.streaming import ingest as ist
 from quarry.streaming import ticks as tst
 
+LINEITEM_DOUBLES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 CUSTOMER_TYPES = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double",
                   "c_mktsegment": "string"}
 
@@ -33,31 +34,45 @@ def read_by_extension(t):
 
 @query(
     "file_manifest",
-    "SELECT o_orderstatus AS folder, count(*) AS rows FROM orders GROUP BY 1",
+    """SELECT o_orderstatus AS folder, count(*) AS rows, true AS listed, false AS failed FROM orders GROUP BY 1
+    UNION ALL SELECT 'missing', 0, false, true""",
 )
 def file_manifest(t):
-    """S2 (+ S1): orders exported as CSV folders per status; the manifest keeps
-    '.csv' files only, and every listed file is read back and counted per folder."""
+    """S2 (+ S1): orders exported as CSV folders per status, and a folder that does not
+    exist; per folder, the rows read from the listed '.csv' files, whether they have a
+    length, and whether listing failed."""
     base = scratch_path(t.spark, "manifest")
     t.orders.write.partitionBy("o_orderstatus").option("header", "true").csv(base)
     m = fs.file_manifest(t.spark, [base, base + "_missing"], regex=r"\.csv$")
     paths = m.where(F.col("error").isNull()).select("path")
     data = t.spark.read.option("header", "true").csv(base).select(F.col("_metadata.file_path").alias("path"))
     listed = data.join(paths, "path", "left_semi")
-    return listed.groupBy(F.regexp_extract("path", "o_orderstatus=([^/]+)/", 1).alias("folder")) \
-        .agg(F.count(F.lit(1)).alias("rows"))
+    folder = F.regexp_extract("path", "o_orderstatus=([^/]+)/", 1).alias("folder")
+    counted = listed.groupBy(folder).agg(F.count(F.lit(1)).alias("rows"))
+    entries = m.groupBy(F.when(F.col("path").isNull(), "missing").otherwise(folder).alias("folder")).agg(
+        F.bool_and(F.coalesce(F.col("length") > 0, F.lit(False))).alias("listed"),
+        F.bool_or(F.col("error").isNotNull()).alias("failed"))
+    return entries.join(counted, "folder", "left").select("folder", F.coalesce("rows", F.lit(0)).alias("rows"), "listed", "failed")
 
 
-@query("import_folder", "SELECT * FROM nation")
+@query(
+    "import_folder",
+    """SELECT 'region' AS table_name, r_regionkey AS key, r_name AS name FROM region
+    UNION ALL SELECT 'nation', n_nationkey, n_name FROM nation UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier""",
+)
 def import_folder(t):
     """Region, nation and supplier exported to one folder, imported as
-    views; the 'nation' view is returned."""
+    views; the rows of all three views are returned."""
     base = scratch_path(t.spark, "dbexport")
     for name in ("region", "nation", "supplier"):
         t.read(name).write.parquet(f"{base}/{name}")
-    tables = fs.import_folder(t.spark, base)
-    assert "nation" in tables, tables
-    return t.spark.table("nation")
+    out = None
+    for name in fs.import_folder(t.spark, base):
+        rows = t.spark.table(name)
+        key, label = rows.columns[:2]
+        rows = rows.select(F.lit(name).alias("table_name"), F.col(key).cast("bigint").alias("key"), F.col(label).alias("name"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("relocate_prefix", "SELECT * FROM orders", ["o_totalprice"])
@@ -80,34 +95,34 @@ def typed_rows_source(t):
     return fs.typed_rows_source(t.spark, path, t.events.schema, **fmt)
 
 
-@query("append_autocreate", "SELECT * FROM nation UNION ALL SELECT * FROM nation")
+@query("append_autocreate", "SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem", LINEITEM_DOUBLES)
 def append_autocreate(t):
     """A missing table is created from the frame's schema, then appended to twice."""
     base = scratch_path(t.spark, "append")
-    name = "nation_copy_" + base.rsplit("-", 1)[1]
-    sinks.append_autocreate(t.nation, name, base)
-    sinks.append_autocreate(t.nation, name, base)
+    name = "lineitem_copy_" + base.rsplit("-", 1)[1]
+    sinks.append_autocreate(t.lineitem, name, base)
+    sinks.append_autocreate(t.lineitem, name, base)
     return t.spark.table(name)
 
 
-@query("append_refresh", "SELECT * FROM region UNION ALL SELECT * FROM region UNION ALL SELECT * FROM region")
+@query("append_refresh", "SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem", LINEITEM_DOUBLES)
 def append_refresh(t):
     """Three refresh runs in append mode accumulate."""
     base = scratch_path(t.spark, "appendrefresh")
-    name = "region_runs_" + base.rsplit("-", 1)[1]
+    name = "lineitem_runs_" + base.rsplit("-", 1)[1]
     for _ in range(3):
-        sinks.append_refresh(t.region, name, base)
+        sinks.append_refresh(t.lineitem, name, base)
     return t.spark.table(name)
 
 
-@query("full_refresh_swap", "SELECT r_regionkey, upper(r_name) AS r_name FROM region")
+@query("full_refresh_swap", "SELECT l_orderkey, l_linenumber, lower(l_returnflag) AS flag FROM lineitem")
 def full_refresh_swap(t):
     """The table is built, then rebuilt into a new folder and switched;
     readers see the second build only."""
     base = scratch_path(t.spark, "swap")
-    name = "region_swap_" + base.rsplit("-", 1)[1]
-    sinks.full_refresh_swap(t.region, name, base)
-    sinks.full_refresh_swap(t.region.select("r_regionkey", F.upper("r_name").alias("r_name")), name, base)
+    name = "lineitem_swap_" + base.rsplit("-", 1)[1]
+    sinks.full_refresh_swap(t.lineitem, name, base)
+    sinks.full_refresh_swap(t.lineitem.select("l_orderkey", "l_linenumber", F.lower("l_returnflag").alias("flag")), name, base)
     return t.spark.table(name)
 
 
@@ -134,7 +149,7 @@ def postprocess_inputs(t):
 
 
 def _run_arrivals(t, run_stream, waves: int = 4) -> None:
-    """Ticks land in ``waves`` time-ordered appends; after each landing the
+    """Ticks land in ``waves`` appends, the second of which comes last and so is late; after each landing the
     stream runs once (``availableNow``) and, through its checkpoint, picks up
     only the newly landed files, as a scheduled job would."""
     path = scratch_path(t.spark, "landing")
@@ -143,15 +158,15 @@ def _run_arrivals(t, run_stream, waves: int = 4) -> None:
     hi = ticks.select(F.max("timestamp")).scalar()
     span = F.timestamp_diff("SECOND", lo, hi) + 1
     wave = F.floor(F.timestamp_diff("SECOND", lo, F.col("timestamp")) * waves / span)
-    for w in range(waves):
+    for w in [0, *range(2, waves), 1]:
         ticks.where(wave == w).write.mode("append").parquet(path)
         run_stream(t.spark.readStream.schema(ticks.schema).parquet(path))
 
 
 @query("tick_minute_stream", "WITH" + MINUTE + " SELECT * FROM minute", BARS)
 def tick_minute_stream(t):
-    """Minute bars maintained by a streaming aggregation over 4 arrival
-    waves; equals the batch T2 result."""
+    """Minute bars maintained over 4 arrival waves, one of them late;
+    equals the batch T2 result."""
     base = scratch_path(t.spark, "t17")
     _run_arrivals(t, lambda s: tst.run_minute_stream(s, f"{base}/bars", f"{base}/_checkpoint"))
     return tst.current_minute_bars(t.spark, f"{base}/bars")
@@ -171,19 +186,27 @@ STREAM_RULES = [(1, "part-.*", "public.docs")]
 
 @query(
     "incremental_ingest",
-    "SELECT 'public.docs' AS target_table, unnest(string_split(text, chr(10))) AS line FROM documents",
+    """
+    WITH parts AS (SELECT doc_id % 3 AS w, doc_id, string_split(text, chr(10)) AS p FROM documents),
+    l AS (
+      SELECT w, CAST(row_number() OVER (PARTITION BY w ORDER BY doc_id, i) - 1 AS INTEGER) AS line_no, line
+      FROM (SELECT w, doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS line FROM parts)),
+    fp AS (
+      SELECT w, md5(CAST(count(*) AS VARCHAR) || ':' || CAST(sum(CAST(CAST(('0x' || substr(md5(CAST(line_no AS VARCHAR) || ':' || line), 1, 15)) AS BIGINT) AS DECIMAL(38,0))) AS VARCHAR)) AS h
+      FROM l GROUP BY w)
+    SELECT 'public.docs' AS target_table, line_no, line, CAST(w + 1 AS INTEGER) AS _version_id, w = 2 AS _is_latest,
+           h AS _file_hash, TIMESTAMP '""" + fx.RUN_TS + """' AS _load_timestamp
+    FROM l JOIN fp USING (w)""",
 )
 def incremental_ingest(t):
-    """documents land as text files in two waves (sources src0-src9, then
-    the rest); each run ingests only files it has not seen."""
+    """documents land as one text file per wave, in three waves that hit one target;
+    each run ingests only the file it has not seen, and only the last version is the latest."""
     base = scratch_path(t.spark, "f12")
     inbox, out, ckpt = f"{base}/inbox", f"{base}/out", f"{base}/_checkpoint"
     rules = t.spark.createDataFrame(STREAM_RULES, "rule_order int, regex string, target_table string")
-    docs = t.documents.select("source", "text")
-    first = F.length("source") == 4
-    docs.where(first).write.partitionBy("source").text(inbox)
-    ist.run_incremental(t.spark, inbox, rules, out, ckpt, fx.RUN_TS)
-    docs.where(~first).write.mode("append").partitionBy("source").text(inbox)
-    ist.run_incremental(t.spark, inbox, rules, out, ckpt, fx.RUN_TS)
-    return t.spark.read.parquet(f"{out}/rows").select("target_table", "line")
-
+    for wave in range(3):
+        docs = t.documents.where(F.col("doc_id") % 3 == wave).coalesce(1).sortWithinPartitions("doc_id")
+        docs.select("text").write.mode("append").text(inbox)
+        ist.run_incremental(t.spark, inbox, rules, out, ckpt, fx.RUN_TS)
+    return ist.loaded_rows(t.spark, out).select(
+        "target_table", "line_no", "line", "_version_id", "_is_latest", "_file_hash", "_load_timestamp")

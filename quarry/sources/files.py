@@ -6,6 +6,7 @@ content not selected so it is never read), and paths stay in DataFrames.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +39,7 @@ def file_manifest(spark: SparkSession, roots: Sequence[str], regex: str | None =
                           F.col("modificationTime").alias("modification_time"),
                           F.lit(None).cast("string").alias("error")))
         except AnalysisException as e:
-            df = spark.createDataFrame([(root, None, None, None, str(e).splitlines()[0][:500])], MANIFEST_SCHEMA)
+            df = spark.createDataFrame([(root, None, None, None, str(e))], MANIFEST_SCHEMA)
         if regex:
             df = df.where(F.col("path").isNull() | F.col("path").rlike(regex))
         out = df if out is None else out.unionByName(df)
@@ -52,7 +53,7 @@ def import_folder(spark: SparkSession, folder: str, fmt: str = "parquet") -> lis
     base = folder.rstrip("/")
     names = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-        .select(F.regexp_extract("path", r"^.*?" + base.split("/")[-1] + r"/([^/]+)/", 1).alias("t"))
+        .select(F.regexp_extract("path", r"^.*?/" + re.escape(base.split("/")[-1]) + r"/([^/]+)/", 1).alias("t"))
         .where(F.col("t") != "").distinct().collect()
     )
     tables = sorted(r.t for r in names if not r.t.startswith(("_", ".")))
@@ -64,9 +65,8 @@ def import_folder(spark: SparkSession, folder: str, fmt: str = "parquet") -> lis
 def relocate_keys(manifest: DataFrame, src_prefix: str, dst_prefix: str) -> DataFrame:
     """S5 key mapping: every object under ``src_prefix`` gets the same relative
     key under ``dst_prefix`` (a column expression, no driver loop)."""
-    n = len(src_prefix)
-    rel = F.expr(f"substr(path, instr(path, '{src_prefix}') + {n})")
-    return manifest.where(F.col("path").contains(src_prefix)).select(
+    rel = F.substring("path", len(src_prefix) + 1, 1 << 30)
+    return manifest.where(F.col("path").startswith(src_prefix)).select(
         "path", F.concat(F.lit(dst_prefix), rel).alias("dest_path"))
 
 

@@ -24,18 +24,36 @@ def _quote(name: str) -> str:
     return ".".join(f"`{p}`" for p in name.split("."))
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def full_refresh_swap(df: DataFrame, table: str, base_path: str) -> str:
     """Build ``<base>/<table>/v=<id>``, then switch ``table`` to it. If the
-    build fails the table still points at its previous folder. Old versions are
-    left in place (the caller's retention policy removes them)."""
+    build fails the table still points at its previous folder and the failed
+    folder is removed; after the switch the previous folder is removed. A new
+    schema replaces the table's."""
     spark = df.sparkSession
     loc = f"{base_path.rstrip('/')}/{table.replace('.', '__')}/v={uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(loc)
+    try:
+        df.write.mode("errorifexists").parquet(loc)
+    except Exception:
+        _remove(spark, loc)
+        raise
+    old = None
     if _table_exists(spark, table):
-        spark.sql(f"ALTER TABLE {_quote(table)} SET LOCATION '{loc}'")
-        spark.catalog.refreshTable(table)
+        old = spark.sql(f"DESCRIBE FORMATTED {_quote(table)}").where("col_name = 'Location'").first()["data_type"]
+        if spark.table(table).schema == df.schema:
+            spark.sql(f"ALTER TABLE {_quote(table)} SET LOCATION '{loc}'")
+            spark.catalog.refreshTable(table)
+        else:
+            spark.sql(f"DROP TABLE {_quote(table)}")
+            spark.sql(f"CREATE TABLE {_quote(table)} USING parquet LOCATION '{loc}'")
     else:
         spark.sql(f"CREATE TABLE {_quote(table)} USING parquet LOCATION '{loc}'")
+    if old and "/v=" in old:
+        _remove(spark, old)
     return loc
 
 
@@ -92,6 +110,3 @@ def archive_compressed(df: DataFrame, archive_path: str, fmt: str = "csv") -> No
     rows gzip-compressed to the archive folder."""
     df.write.mode("append").option("compression", "gzip").format(fmt).save(archive_path)
 
-
-def empty_like(spark: SparkSession, schema: T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)

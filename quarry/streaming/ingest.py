@@ -18,7 +18,7 @@ from quarry.sources.sinks import postprocess_option
 
 def incoming_files(spark: SparkSession, folder: str, postprocess: str = "none", archive_dir: str | None = None,
                    max_files_per_trigger: int | None = None) -> DataFrame:
-    """Whole-file text stream: one row per new file (``file_path``, ``text``).
+    """Whole-file text stream: one row per new file (``file_path``, ``modified``, ``text``).
     ``postprocess`` (S12) moves or deletes inputs after their batch commits."""
     r = spark.readStream.format("text").option("wholetext", "true")
     for k, v in postprocess_option(postprocess).items():
@@ -27,12 +27,13 @@ def incoming_files(spark: SparkSession, folder: str, postprocess: str = "none",
         r = r.option("sourceArchiveDir", archive_dir)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return r.load(folder).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text"))
+    return r.load(folder).select(F.col("_metadata.file_path").alias("file_path"),
+                                 F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("text"))
 
 
 LEDGER_SCHEMA = ("file_path string, file_hash string, loaded_at timestamp_ntz, target_table string, "
                  "status string, error_message string")
-ROWS_SCHEMA = ("target_table string, line_no int, line string, _version_id int, _is_latest boolean, "
+ROWS_SCHEMA = ("target_table string, line_no int, line string, _version_id int, "
                "_file_name string, _file_hash string, _load_timestamp timestamp_ntz")
 
 
@@ -59,28 +60,47 @@ def ingest_batch(spark: SparkSession, files: DataFrame, batch_id: int, rules: Da
     ledger = _written(spark, ledger_path, batch_id).where(F.col("status") == "SUCCESS").select("file_hash")
     existing = _written(spark, rows_path, batch_id).select("target_table", "_version_id")
     files = files.persist()
-    manifest = files.select("file_path", F.xxhash64("file_path").alias("file_order"))
+    # older files first; the path breaks ties
+    order = F.concat(F.date_format("modified", "yyyyMMddHHmmss.SSSSSS"), F.lit("|"), F.col("file_path"))
+    manifest = files.select("file_path", order.alias("file_order"))
     body = F.regexp_replace("text", r"\n\z", "")  # the writer's final newline ends the last line
     lines = files.select("file_path", F.posexplode(F.split(body, "\n")).alias("line_no", "line"))
     plan = ig.plan_batch(manifest, lines, rules, ledger, existing, extensions).persist()
     ts = F.lit(run_ts).cast("timestamp_ntz")
-    ig.rows_for(plan, lines, ts).withColumn("batch_id", F.lit(batch_id)) \
+    # which version is the newest changes with later batches, so it is found when reading
+    ig.rows_for(plan, lines, ts).drop("_is_latest").withColumn("batch_id", F.lit(batch_id)) \
         .write.mode("overwrite").parquet(f"{rows_path}/batch_id={batch_id}")
-    ig.ingestion_ledger(plan, ts).withColumn("batch_id", F.lit(batch_id)) \
+    entries = ig.ingestion_ledger(plan, ts)
+    entries.withColumn("batch_id", F.lit(batch_id)) \
         .write.mode("overwrite").parquet(f"{ledger_path}/batch_id={batch_id}")
+    ig.write_quarantine(entries, files, f"{out}/quarantine/batch_id={batch_id}", mode="overwrite")
     plan.unpersist()
     files.unpersist()
 
 
+def loaded_rows(spark: SparkSession, out: str) -> DataFrame:
+    """Every loaded row with ``_is_latest``: whether its version is its target's newest over
+    all batches (F6)."""
+    return ig.latest_flags(spark.read.parquet(f"{out}/rows"))
+
+
 def run_incremental(spark: SparkSession, folder: str, rules: DataFrame, out: str, checkpoint: str, run_ts,
                     max_files_per_trigger: int | None = None) -> None:
-    """process every file not seen before, then stop (``availableNow``)."""
+    """process every file not seen before, then stop (``availableNow``). Failed files are
+    quarantined (F10); a run in which files failed and none succeeded raises (F11) after its
+    ledger rows are written."""
     init_outputs(spark, out)
+    batches = []
     stream = incoming_files(spark, folder, max_files_per_trigger=max_files_per_trigger)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         ingest_batch(spark, batch, batch_id, rules, out, run_ts)
+        batches.append(batch_id)
 
     q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    if batches:
+        outcome = ig.batch_outcome(spark.read.parquet(f"{out}/ledger").where(F.col("batch_id").isin(batches))).first()
+        if outcome.run_failed:
+            raise RuntimeError(f"all {outcome.failed} files of the run failed")

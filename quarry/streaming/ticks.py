@@ -1,10 +1,8 @@
 """Streaming tick marts.
 
-T17 keeps minute bars up to date as ticks arrive: an event-time window
-aggregation with a watermark (so old windows leave the state store), emitted
-in update mode. Each micro-batch's updated bars are written under their batch
-id (a retried batch rewrites the same folder, so the sink is idempotent); the
-current bar of a key is the one from the latest batch.
+T17 keeps minute bars up to date as ticks arrive: each micro-batch writes its
+partial bars under its batch id (a retried batch rewrites the same folder, so
+the sink is idempotent), and reading merges them. Ticks may be late by any time.
 
 T18 refreshes the 5-minute, hourly and daily marts from each micro-batch:
 averages of averages cannot be merged from partial rows, so every (instrument,
@@ -22,38 +20,35 @@ from quarry.operators import ticks as tk
 NTZ = "timestamp_ntz"
 
 
-def minute_bars_stream(ticks: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """The streaming form of ``tick_minute``. Watermarks need a TIMESTAMP
-    (not NTZ) column; with the session zone at UTC the cast keeps wall-clock."""
-    ts = ticks.withColumn("_ts", F.col("timestamp").cast("timestamp")).withWatermark("_ts", watermark)
-    agg = ts.groupBy("instrument", F.window("_ts", "1 minute").alias("w"), "t_dt").agg(
+def partial_minute_bars(ticks: DataFrame) -> DataFrame:
+    """One batch's share of the minute bars: counts, sums and extremes, which add up exactly."""
+    return ticks.groupBy("instrument", F.date_trunc("minute", "timestamp").cast(NTZ).alias("ts_min"), "t_dt").agg(
         F.count(F.lit(1)).alias("trades"),
-        F.avg("price").alias("avg_price"),
         F.sum("price").alias("sum_price"),
         F.max("price").alias("max_price"),
         F.min("price").alias("min_price"),
     )
-    return agg.select("instrument", F.col("w.start").cast(NTZ).alias("ts_min"), "t_dt",
-                      "trades", "avg_price", "sum_price", "max_price", "min_price")
 
 
 def run_minute_stream(ticks: DataFrame, out: str, checkpoint: str) -> None:
-    """Run T17 over everything available now, writing updated bars per batch."""
+    """Run T17 over everything available now, writing each batch's partial bars. No state is
+    kept between batches, so a tick counts however late it arrives."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        partial_minute_bars(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    q = (minute_bars_stream(ticks).writeStream.outputMode("update").foreachBatch(sink)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q = (ticks.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
 def current_minute_bars(spark: SparkSession, out: str) -> DataFrame:
-    """The latest version of every minute bar written by ``run_minute_stream``."""
-    u = spark.read.parquet(out)
-    key = ["instrument", "ts_min", "t_dt"]
-    vals = ["trades", "avg_price", "sum_price", "max_price", "min_price"]
-    last = u.groupBy(*key).agg(F.max("batch_id").alias("batch_id"))
-    return u.join(last, key + ["batch_id"], "left_semi").select(*key, *vals)
+    """Every minute bar, merged from the partial bars that batches wrote."""
+    bars = spark.read.parquet(out).groupBy("instrument", "ts_min", "t_dt").agg(
+        F.sum("trades").alias("trades"), F.sum("sum_price").alias("sum_price"),
+        F.max("max_price").alias("max_price"), F.min("min_price").alias("min_price"),
+    )
+    return bars.select("instrument", "ts_min", "t_dt", "trades", (F.col("sum_price") / F.col("trades")).alias("avg_price"),
+                       "sum_price", "max_price", "min_price")
 
 
 def compact_minute_bars(spark: SparkSession, out: str, dest: str) -> None:

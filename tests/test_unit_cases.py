@@ -2,6 +2,7 @@
 (FIXTURES.md part C) and the SURVEY 2.11 decisions."""
 
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
 
@@ -107,7 +108,10 @@ def test_6_nesting_and_references(spark):
     df = spark.createDataFrame(list(d.items()), "key string, value string")
     nested = {r.group: r.json for r in kv.nested_json(df).collect()}
     assert set(nested) == {"user", "address", "reading", "coding", "traveling"}
-    assert '"hobbies":["reading","traveling","coding"]' in nested["user"]
+    assert json.loads(nested["user"]) == {"name": "John Doe", "age": "30", "hobbies": ["reading", "traveling", "coding"]}
+    deep = spark.createDataFrame([("user.name", "John"), ("user.addr.city", "X"), ("a", "1"), ("a.b", "2"), ("c", "3")], "key string, value string")
+    assert {r.group: json.loads(r.json) for r in kv.nested_json(deep).collect()} == {
+        "user": {"name": "John", "addr": {"city": "X"}}, "a": {"": "1", "b": "2"}, "c": "3"}
     res = kv.resolve_references(df)
     assert {r.group for r in res.collect()} == {"user", "address", "reading", "coding", "traveling"}
 
@@ -229,7 +233,7 @@ def test_node_rollup_nested_form(spark):
          ("ns", "p3", None, "c1", "100m", "200m", "1Mi", "2Mi", "50m", "1Ki", True)],
         "namespace string, pod string, node string, container string, cpu_request string, cpu_limit string, "
         "mem_request string, mem_limit string, cpu_usage string, mem_usage string, ready boolean")
-    got = {r.node: [p.pod for p in r.pods] for r in cl.node_rollup(nodes, c).collect()}
+    got = {r.node: [p.pod for p in r.pods] for r in cl.node_rollup(nodes, c, c).collect()}
     assert got == {"n1": ["p1", "p2"], "n2": []}  # sorted pods; an empty node keeps []; unplaced pod skipped
     ready = {r.pod: r.ready for r in cl.pod_readiness(c).collect()}
     assert ready == {"p1": False, "p2": True, "p3": True}
