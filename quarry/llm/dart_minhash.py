@@ -42,6 +42,8 @@ K = BANDS * R
 BLOCK = 16
 #: a pair is checked if its K coordinates agree in this share (4.5 standard errors below THRESHOLD)
 ESTIMATE = 0.62
+#: bits of the filter that spares documents outside all pairs a shuffle
+BITS = 1 << 25
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(14)])
 
 
@@ -169,22 +171,51 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.mapInArrow(near, "a bigint, b bigint")
 
 
+def _places(ids: np.ndarray) -> np.ndarray:
+    """Two places of each id in a bit table of BITS bits."""
+    codes = ids.astype(np.int64).view(U64)
+    return np.stack([mix(codes + U64(salt)) % U64(BITS) for salt in (1, 2)], axis=1).astype(np.int64)
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column ``doc_id``: BITS bits, however many ids there are. It
+    lets through all ids and some others; joins decide."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = np.unique(_places(batch.column(0).to_numpy()))
+            bit = np.left_shift(U64(1), (place & 63).astype(U64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(place >> 6), pa.array(bit)], ["word", "bits"])
+
+    merged = ids.select("doc_id").mapInArrow(words, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(BITS // 64, np.int64)
+    table[merged.column(0).to_numpy()] = merged.column(1).to_numpy()
+    return table
+
+
 def exact_links(pairs: DataFrame, docs: DataFrame, threshold: float, weights: str) -> DataFrame:
     """Pairs whose weighted Jaccard similarity reaches the threshold, from the texts."""
     need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.join(need, "doc_id", "left_semi")
+    wanted = docs.sparkSession.sparkContext.broadcast(id_filter(need))  # BITS / 8 bytes
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shingle sets as sorted 32-bit hashes; a weight of n is n hashes."""
+        held = wanted.value
         for batch in batches:
+            place = _places(batch.column(0).to_numpy())
+            maybe = ((held[place >> 6].view(U64) >> (place & 63).astype(U64)) & U64(1)).all(axis=1)
+            batch = batch.filter(pa.array(maybe))
             for start, stop in text_slices(batch.column(1)):
                 part = batch.slice(start, stop - start)
                 row, code, weight = shingle_sets(part.column(1), weights)
-                cut = np.searchsorted(row, np.arange(1, len(part)))
-                short = (code >> U64(16)).astype("<u8") << U64(16) | np.minimum(weight, 65535).astype(U64)
-                lists = [s.tobytes() for s in np.split(short, cut)]
+                again = np.repeat(np.arange(len(row)), weight)
+                nth = np.arange(len(again)) - np.repeat(np.cumsum(weight) - weight, weight)
+                short = (mix(code[again] + nth.astype(U64)) >> U64(32)).astype("<u4")
+                cut = np.searchsorted(row[again], np.arange(1, len(part)))
+                lists = [np.unique(s).tobytes() for s in np.split(short, cut)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lists, pa.binary())], ["node", "items"])
 
-    items = stored(texts.mapInArrow(sets, "node bigint, items binary"), "shingles")
+    items = stored(docs.mapInArrow(sets, "node bigint, items binary"), "shingles")
     left = items.select(F.col("node").alias("b"), F.col("items").alias("ib"))
     right = items.select(F.col("node").alias("a"), F.col("items").alias("ia"))
     both = pairs.join(left, "b").join(right, "a").select("a", "b", "ia", "ib")
@@ -193,11 +224,9 @@ def exact_links(pairs: DataFrame, docs: DataFrame, threshold: float, weights: st
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                u, v = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                _, i, j = np.intersect1d(u >> U64(16), v >> U64(16), assume_unique=True, return_indices=True)
-                shared = int(np.minimum(u[i] & U64(65535), v[j] & U64(65535)).sum())
-                whole = int((u & U64(65535)).sum()) + int((v & U64(65535)).sum()) - shared
-                keep.append(shared >= threshold * whole)
+                u, v = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
+                shared = len(np.intersect1d(u, v, assume_unique=True))
+                keep.append(shared >= threshold * (len(u) + len(v) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(similar, "a bigint, b bigint")
