@@ -7,9 +7,8 @@ exactly one can be the last token of the prefix, the one that does not merge acr
 border with the last token of the prefix before it. That test walks down the two tokens'
 splits. The last token of each prefix is stored and the ids are read off backwards.
 
-White space never lies inside a word, so a text is cut at white space and each distinct
-chunk is encoded once per worker (the table of chunks has a fixed size and is emptied when
-full). The vocabulary is broadcast (about 1.7 MB, the tokenizer file itself).
+Each distinct word is encoded once per worker (the table of words has a fixed size and is
+emptied when full). The vocabulary is broadcast (about 1.7 MB, the tokenizer file itself).
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to an
 empty text. The special tokens' own strings inside a text become their ids. Rows stand
@@ -31,15 +30,14 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import table, text_slices
 
-#: distinct chunks kept per worker, about 250 bytes each
-CHUNKS_KEPT = 400_000
+#: distinct words kept per worker, about 300 bytes each
+WORDS_KEPT = 500_000
 PAIRS_KEPT = 1_000_000
 #: bytes of text encoded at a time; new words of a slice are sorted and share their prefixes
 SLICE = 4 << 20
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: str.split() also cuts at these four, which the tokenizer takes for symbols
-_NOT_SPACE = re.compile("[\x1c-\x1f]")
-_SPACE = re.compile("[^\\S\x1c-\x1f]+")
+#: the same for lower-cased ASCII, where it is faster
+_ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 
 
 def byte_letters() -> dict[int, str]:
@@ -191,80 +189,67 @@ class PrefixEncoder:
 
 
 class Cutter:
-    """Cuts a chunk without white space into words and special tokens."""
+    """Cuts a text into lower-cased words and special tokens."""
 
     def __init__(self, spec: str):
         self.specials: dict[str, int] = {t["content"]: t["id"] for t in json.loads(spec)["added_tokens"]}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
 
-    def pieces(self, raw: str) -> list[str]:
-        if raw.isascii():
-            low = raw.lower()
-            if low.isalpha():
-                return [low]
-            if "<|" not in low:
-                return _WORD.findall(low)
-        out: list[str] = []
-        for piece in self._special.split(raw) if self._special else [raw]:
-            if piece in self.specials:
-                out.append(piece)
-            else:
-                # lower-casing letter by letter: no special form for a sigma that ends a word
-                out += _WORD.findall(unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower())
-        return out
+    def words(self, text: str) -> list[str]:
+        if self._special and "<|" in text:
+            out: list[str] = []
+            for piece in self._special.split(text):
+                out += [piece] if piece in self.specials else self._plain(piece)
+            return out
+        return self._plain(text)
+
+    def _plain(self, text: str) -> list[str]:
+        if text.isascii():
+            return _ASCII_WORD.findall(text.lower())
+        # lower-casing letter by letter: no special form for a sigma that ends a word
+        return _WORD.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
 
-class ChunkTable:
-    """Encoded forms of the chunks met so far: little-endian ids, and the decoded text."""
+class WordTable:
+    """Encoded forms of the words met so far: little-endian ids, and the decoded text."""
 
-    def __init__(self, cutter: Cutter, encoded: Callable[[list[str]], list[tuple[bytes, str]]], kept: int = CHUNKS_KEPT):
+    def __init__(self, cutter: Cutter, encoded: Callable[[list[str]], list[tuple[bytes, str]]], kept: int = WORDS_KEPT):
         self.cutter, self.encoded, self.kept = cutter, encoded, kept
         self.ids: dict[str, bytes] = {}
         self.written: dict[str, str] = {}
-        self.words: dict[str, tuple[bytes, str]] = {}
-
-    def _add(self, chunks: set[str]) -> None:
-        words, specials = self.words, self.cutter.specials
-        pieces = {raw: self.cutter.pieces(raw) for raw in chunks}
-        new = {w for found in pieces.values() for w in found if w not in words}
-        if len(words) + len(new) > self.kept:
-            words.clear()
-            new = {w for found in pieces.values() for w in found}
-        for name in new & specials.keys():
-            words[name] = specials[name].to_bytes(4, "little"), name
-            new.discard(name)
-        order = sorted(new)
-        words.update(zip(order, self.encoded(order), strict=True))
-        for raw, found in pieces.items():
-            if len(found) == 1:
-                self.ids[raw], self.written[raw] = words[found[0]]
-            else:
-                self.ids[raw] = b"".join([words[w][0] for w in found])
-                self.written[raw] = " ".join([words[w][1] for w in found])
+
+    def _add(self, words: set[str], decoded: bool) -> None:
+        for name in words & self.cutter.specials.keys():
+            self.ids[name], self.written[name] = self.cutter.specials[name].to_bytes(4, "little"), name
+            words.discard(name)
+        order = sorted(words)
+        found = self.encoded(order)
+        self.ids.update(zip(order, [i for i, _ in found], strict=True))
+        if decoded:
+            self.written.update(zip(order, [w for _, w in found], strict=True))
 
     def encode(self, texts: list[str], decoded: bool = True) -> tuple[list[bytes], list[str]]:
         """Ids and decoded form of each text."""
-        cut = [_SPACE.split(t) if _NOT_SPACE.search(t) else t.split() for t in texts]
+        cut = [self.cutter.words(t) for t in texts]
         missing = set().union(*cut).difference(self.ids)
         if len(self.ids) + len(missing) > self.kept:
             self.ids.clear()
             self.written.clear()
             missing = set().union(*cut)
-        self._add(missing)
+        self._add(missing, decoded)
         get, form = self.ids.__getitem__, self.written.__getitem__
-        ids = [b"".join(map(get, chunks)) for chunks in cut]
-        return ids, [" ".join(filter(None, map(form, chunks))) for chunks in cut] if decoded else []
+        return [b"".join(map(get, words)) for words in cut], [" ".join(map(form, words)) for words in cut] if decoded else []
 
 
-_TABLES: dict[int, ChunkTable] = {}
+_TABLES: dict[int, WordTable] = {}
 
 
-def chunk_table(spec: str) -> ChunkTable:
+def word_table(spec: str) -> WordTable:
     """One table per worker process and vocabulary."""
     key = hash(spec)
     if key not in _TABLES:
         _TABLES.clear()
-        _TABLES[key] = ChunkTable(Cutter(spec), PrefixEncoder(spec).encoded)
+        _TABLES[key] = WordTable(Cutter(spec), PrefixEncoder(spec).encoded)
     return _TABLES[key]
 
 
@@ -276,11 +261,11 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         spec = spark.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = chunk_table(spec.value)
+        words = word_table(spec.value)
         for batch in batches:
             for start, stop in text_slices(batch.column(1), SLICE):
                 part = batch.slice(start, stop - start)
-                ids, written = chunks.encode([t or "" for t in part.column(1).to_pylist()], decoded)
+                ids, written = words.encode([t or "" for t in part.column(1).to_pylist()], decoded)
                 texts = pa.array(written, pa.string()) if decoded else pa.nulls(len(ids), pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), texts], ["doc_id", "ids", "decoded"])
 

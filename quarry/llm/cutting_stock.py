@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarry.llm.bpe import ChunkTable, Cutter, byte_letters, tokenizer_path
+from quarry.llm.bpe import WordTable, Cutter, byte_letters, tokenizer_path
 from quarry.llm.common import stored, table, text_slices
 
 END_ID = 1
@@ -54,14 +54,14 @@ def library_words(spec: str):
     return encoded
 
 
-_TABLES: dict[int, ChunkTable] = {}
+_TABLES: dict[int, WordTable] = {}
 
 
-def token_table(spec: str) -> ChunkTable:
+def token_table(spec: str) -> WordTable:
     key = hash(spec)
     if key not in _TABLES:
         _TABLES.clear()
-        _TABLES[key] = ChunkTable(Cutter(spec), library_words(spec))
+        _TABLES[key] = WordTable(Cutter(spec), library_words(spec))
     return _TABLES[key]
 
 
@@ -74,12 +74,12 @@ def cut_documents(docs: DataFrame, tokenizer: str, seq_len: int = 2048, id_col:
     end = END_ID.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = token_table(spec.value)
+        words = token_table(spec.value)
         for batch in batches:
             for first, stop in text_slices(batch.column(1), _SLICE):
                 part = batch.slice(first, stop - first)
                 row, start, length, crc, total, ids = [], [], [], [], [], []
-                for i, data in enumerate(chunks.encode([t or "" for t in part.column(1).to_pylist()], False)[0]):
+                for i, data in enumerate(words.encode([t or "" for t in part.column(1).to_pylist()], False)[0]):
                     data += end
                     n = len(data) // 4
                     for at in range(0, n, seq_len):
