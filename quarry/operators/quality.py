@@ -61,7 +61,8 @@ def _kind_of(dt: T.DataType) -> str:
 
 
 def _measure(check: str, expected: str, field: T.StructField):
-    """(aggregate, and functions of its value: measured number, measured text, verdict).
+    """(aggregate, or a function of the table that gives a subquery, and functions of its
+    value: measured number, measured text, verdict).
 
     Bounds compare in the field's own type: numbers as numbers, dates as dates, other values
     as text. Counts of misses must be 0 (``max_nulls``: within the limit)."""
@@ -94,7 +95,9 @@ def _measure(check: str, expected: str, field: T.StructField):
             bound = F.lit(expected).try_cast("timestamp_ntz")
             return (best, no_number, lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss"),
                     within(lambda x: x.cast("timestamp_ntz"), bound, low))
-        return best, no_number, text, within(text, F.lit(expected), low)
+        # the least or greatest text: a take-ordered subquery, as an aggregate over text can't hash
+        first = c.asc() if low else c.desc()
+        return (lambda df: df.where(c.isNotNull()).select(c).orderBy(first).limit(1).scalar()), no_number, text, within(text, F.lit(expected), low)
     if check in ("min_length", "max_length"):
         low, size = check == "min_length", F.length(c.cast("string"))
         return F.min(size) if low else F.max(size), number, no_text, within(number, limit, low)
@@ -122,7 +125,9 @@ RESULT_SCHEMA = "table_name string, field string, check string, expected string,
 
 def _one_pass(df: DataFrame, group: list, fields: dict, table: str) -> DataFrame:
     made = [_measure(r["check"], r["expected"], fields[r["field"]]) for r in group]
-    stats = df.agg(*[m[0].alias(f"a{i}") for i, m in enumerate(made)])
+    plain = [m[0].alias(f"a{i}") for i, m in enumerate(made) if not callable(m[0])]
+    stats = df.agg(F.count(F.lit(1)).alias("rows"), *plain)
+    stats = stats.withColumns({f"a{i}": m[0](df) for i, m in enumerate(made) if callable(m[0])})
     entries = [
         F.struct(F.lit(r["field"]).alias("field"), F.lit(r["check"]).alias("check"), F.lit(r["expected"]).alias("expected"),
                  number(F.col(f"a{i}")).alias("actual"), text(F.col(f"a{i}")).alias("actual_text"),
