@@ -53,6 +53,22 @@ def slots(index: np.ndarray, n: int, key: int = KEY, rounds: int = 6) -> np.ndar
     return out.astype(np.int64)
 
 
+def _binaries(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Binary column over an array's bytes, cut into pieces of the given sizes."""
+    offsets = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _bytes_of(column: pa.Array) -> memoryview:
+    """All bytes of a binary column, one value after the other."""
+    if not len(column):
+        return memoryview(b"")
+    first = column.offset
+    ends = np.frombuffer(column.buffers()[1], np.int32)[first : first + len(column) + 1]
+    return memoryview(column.buffers()[2])[ends[0] : ends[-1]]
+
+
 def record_type(seq_len: int) -> np.dtype:
     return np.dtype([*HEADER.descr, ("ids", "<u2", (seq_len,))])
 
@@ -66,13 +82,13 @@ def write_shards(docs: DataFrame, tokenizer: str, out: str, seq_len: int = SEQ_L
     end = END_ID.to_bytes(4, "little")
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, part, made = token_table(spec.value), TaskContext.get().partitionId(), 0
+        words, part, made = token_table(spec.value), TaskContext.get().partitionId(), 0
         for batch in batches:
             for first, stop in text_slices(batch.column(1), 4 << 20):
                 rows = batch.slice(first, stop - first)
                 ids = rows.column(0).fill_null(-1).to_pylist()
                 found = []
-                for doc, data in zip(ids, chunks.encode([t or "" for t in rows.column(1).to_pylist()], False)[0], strict=True):
+                for doc, data in zip(ids, words.encode([t or "" for t in rows.column(1).to_pylist()], False)[0], strict=True):
                     tokens = np.frombuffer(data + end, "<u4")
                     cut = np.zeros(-(-len(tokens) // seq_len), kind)
                     cut["doc_id"], cut["start"] = doc, np.arange(len(cut)) * seq_len
@@ -83,9 +99,7 @@ def write_shards(docs: DataFrame, tokenizer: str, out: str, seq_len: int = SEQ_L
                     found.append(cut)
                 records = np.concatenate(found)
                 n = len(records)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, part)), pa.array(np.arange(made, made + n)), pa.array([r.tobytes() for r in records], pa.binary())], ["part", "place", "record"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.array(np.arange(made, made + n)), _binaries(records, np.full(n, kind.itemsize))], ["part", "place", "record"])
                 made += n
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -119,12 +133,17 @@ def write_shards(docs: DataFrame, tokenizer: str, out: str, seq_len: int = SEQ_L
             )
 
         for batch in batches:
-            for slot, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if slot // per_shard != number:
+            own = batch.column(0).to_numpy() // per_shard
+            data = _bytes_of(batch.column(1))
+            cuts = np.flatnonzero(np.diff(own)) + 1
+            for lo, hi in zip(np.append(0, cuts).tolist(), np.append(cuts, len(own)).tolist(), strict=True):
+                if lo == hi:
+                    continue
+                if own[lo] != number:
                     if payload:
                         yield done()
-                    number, payload = slot // per_shard, bytearray()
-                payload += record
+                    number, payload = int(own[lo]), bytearray()
+                payload += data[lo * kind.itemsize : hi * kind.itemsize]
         if payload:
             yield done()
 
@@ -150,7 +169,7 @@ def read_sequences(spark: SparkSession, out: str, from_slot: int = 0, seq_len: i
                 place = np.arange(skip, skip + len(records))
                 columns = [pa.array(first + place), pa.array(np.full(len(records), shard)), pa.array(place * kind.itemsize)]
                 columns += [pa.array(records[c].astype(np.int64)) for c in ("doc_id", "start", "length")]
-                ids = pa.array([i[:n].tobytes() for i, n in zip(records["ids"], records["length"], strict=True)], pa.binary())
+                ids = _binaries(records["ids"][np.arange(seq_len) < records["length"][:, None]], 2 * records["length"])
                 yield pa.RecordBatch.from_arrays([*columns, ids], ["slot", "shard", "byte_offset", "doc_id", "start", "length", "ids"])
 
     later = shards.where(F.col("shard") >= from_slot // per_shard).select("shard", "first_slot", "payload")
