@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -197,8 +198,7 @@ def test_oracles(spark, duck, name, sf_dir):
 
 
 def test_index_over_batches(spark, odd_documents, no_documents):
-    index = digest_index.DigestIndex(spark, "digest_index_test", buckets=4)
-    index.drop()
+    index = digest_index.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", buckets=4)
     first = {(r.doc_id, r.kept, r.group_size) for r in digest_index.mark_duplicates(odd_documents, index).collect()}
     assert {(2, True, 3), (1, False, 3), (4, True, 3), (3, False, 3), (None, False, 3), (7, True, 2), (6, False, 2)} <= first
     assert index.read().count() == index.read().select("digest").distinct().count() == 10
@@ -213,8 +213,7 @@ def test_index_over_batches(spark, odd_documents, no_documents):
 
 
 def test_drop_duplicates_keeps_one_row_of_each_text(spark, odd_documents):
-    index = digest_index.DigestIndex(spark, "digest_index_drop_test", buckets=4)
-    index.drop()
+    index = digest_index.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", buckets=4)
     kept = digest_index.drop_duplicates(odd_documents, index)
     assert kept.columns == odd_documents.columns
     assert sorted((r.doc_id for r in kept.collect()), key=lambda i: (i is None, i)) == [-5, 2, 4, 5, 7, 8, 9, 10, 11, None]
