@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarry.llm.bpe import WordTable, Cutter, byte_letters, tokenizer_path
+from quarry.llm.bpe import WORDS_KEPT, Cutter, WordTable, byte_letters, tokenizer_path
 from quarry.llm.common import stored, table, text_slices
 
 END_ID = 1
@@ -36,6 +36,8 @@ END_ID = 1
 #: lengths are rounded up until there are so many widths
 GAP, COLUMNS, MOST_WIDTHS = 2e-4, 300, 512
 _SLICE = 4 << 20
+#: words kept per worker while packing
+PACKING_WORDS = 250_000
 
 Pattern = tuple[int, dict[int, int]]  # times used, pieces of each width
 
@@ -57,11 +59,12 @@ def library_words(spec: str):
 _TABLES: dict[int, WordTable] = {}
 
 
-def token_table(spec: str) -> WordTable:
-    key = hash(spec)
+def token_table(spec: str, kept: int = WORDS_KEPT) -> WordTable:
+    """One table per worker process, vocabulary and size."""
+    key = hash((spec, kept))
     if key not in _TABLES:
         _TABLES.clear()
-        _TABLES[key] = WordTable(Cutter(spec), library_words(spec))
+        _TABLES[key] = WordTable(Cutter(spec), library_words(spec), kept)
     return _TABLES[key]
 
 
@@ -74,7 +77,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, seq_len: int = 2048, id_col:
     end = END_ID.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = token_table(spec.value)
+        words = token_table(spec.value, PACKING_WORDS)
         for batch in batches:
             for first, stop in text_slices(batch.column(1), _SLICE):
                 part = batch.slice(first, stop - first)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import LETTERS_DIGITS, U64, mix, stored, table, text_slices, words_of
 
 BITS = 20
-TRAIN_ROWS = 24_000
+TRAIN_ROWS = 10_000
 #: features of fewer sample rows are left out: they could only learn single texts by heart
 LEAST_ROWS = 3
 EPOCHS = 4
