@@ -9,13 +9,14 @@ signature is its dart of least rank. Two texts agree in a coordinate with the pr
 their weighted Jaccard similarity. Texts with an empty coordinate throw again, twice as far.
 
 Bands of R coordinates are join keys. Texts with the same shingle set are one node. In each
-bucket every node is paired with the bucket's least node; where nodes of a bucket are then
-still in different classes, the bucket is dealt into blocks of about BLOCK nodes by a hash,
-and nodes of one block and different classes are paired (all pairs, if the bucket is no
-larger than a block). A node has a different block in each band, so the pairs tried grow in
-proportion to the nodes, never with the square of a bucket. Pairs whose signatures agree
-too little to reach the threshold are left out; the rest are checked exactly on their
-shingle sets. Classes are the connected components of the links.
+bucket every node is paired with the bucket's least node. Where a bucket's nodes are then
+still in different classes, they are grouped by the bucket's key and by that and a further
+band's, which brings the most similar together; groups are dealt into blocks of about BLOCK
+nodes by a hash, and nodes of one block and different classes are paired (all pairs, if a
+bucket is no larger than a block). So the pairs tried grow in proportion to the nodes, never
+with the square of a bucket. Pairs whose signatures agree too little to reach the threshold
+are left out; the rest are checked exactly on their shingle sets. Classes are the connected
+components of the links.
 
 Defined results: a text without words (null, empty, blank) is a class of its own. A row
 with a null id has a null class and is kept. Rows that repeat an id are one document. An
@@ -40,6 +41,8 @@ THRESHOLD = 0.8
 BANDS, R = 20, 5
 K = BANDS * R
 BLOCK = 16
+#: rounds of pairs within buckets; in each, the bands whose keys split a bucket further
+STEPS = ((1, 2, 3), (4, 5, 6))
 #: a pair is checked if its K coordinates agree in this share (4.5 standard errors below THRESHOLD)
 ESTIMATE = 0.62
 #: bits of the filter that spares documents outside all pairs a shuffle
@@ -249,6 +252,33 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _block_pairs(shared: DataFrame, nodes: DataFrame, classes: DataFrame, steps: tuple[int, ...]) -> DataFrame:
+    """Pairs (a, b) to try in buckets that hold more than one class.
+
+    The nodes of such a bucket are grouped by the bucket's own key, and by it and the key of
+    the band some ``steps`` on, which brings the most similar together. A group is dealt into
+    blocks of about BLOCK nodes by a hash; nodes of one block and two classes are a pair."""
+    classed = stored(shared.select("key", "node").join(classes, "node"), "classed")
+    mixed = stored(classed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key"), "mixed")
+    own = nodes.select("node", "bands", F.posexplode("bands").alias("at", "key")).join(mixed, "key").join(classes, "node")
+    next_keys = [F.xxhash64("key", F.element_at("bands", (F.col("at") + d) % BANDS + 1)) for d in steps]
+    grouped = stored(own.select("node", "class", F.explode(F.array(F.xxhash64("key", F.lit(steps[0])), *next_keys)).alias("group")), "groups")
+    sizes = stored(grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("group", "n"), "sizes")
+    block = F.expr(f"xxhash64(group, pmod(xxhash64(node, group), cast(ceil(n / {BLOCK}) as bigint)))").alias("block")
+    blocks = stored(grouped.join(sizes, "group").select(block, "node", "class"), "blocks")
+    other = blocks.select("block", F.col("node").alias("b"), F.col("class").alias("class_b"))
+    return blocks.join(other, "block").where("node < b and class <> class_b").select(F.col("node").alias("a"), "b").distinct()
+
+
+def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, class) after links join classes; a class is named by its least node."""
+    of_a = classes.select(F.col("node").alias("a"), F.col("class").alias("ca"))
+    of_b = classes.select(F.col("node").alias("b"), F.col("class").alias("cb"))
+    between = links.join(of_a, "a").join(of_b, "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    joined = components(between).select(F.col("node").alias("class"), F.col("label").alias("final"))
+    return stored(classes.join(joined, "class", "left").select("node", F.coalesce("final", "class").alias("class")), "classes")
+
+
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "set", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (the class's least id), kept (whether
     this is the class's document)."""
@@ -267,30 +297,17 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "
     )
     rows = stored(nodes.select("node", F.explode("bands").alias("key")), "bands")
     buckets = stored(rows.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    shared = stored(rows.join(buckets, "key").select("key", "least", "node"), "shared-bands")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return stored(exact_links(stored(_agreeing(pairs, nodes), "pairs"), named, threshold, weights), "links")
 
-    shared = stored(rows.join(buckets, "key"), "shared-bands")
     first = shared.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    found = stored(exact_links(stored(_agreeing(first, nodes), "pairs"), named, threshold, weights), "links")
-    labels = components(found)
+    classes = _merged(nodes.select("node", F.col("node").alias("class")), linked(first))
+    for steps in STEPS:
+        classes = _merged(classes, linked(_block_pairs(shared, nodes, classes, steps)))
 
-    classed = shared.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
-    classed = stored(classed.select("key", "n", "node", "class"), "classed")
-    mixed = stored(classed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key"), "mixed")
-    blocks = classed.join(mixed, "key").withColumn("block", F.expr(f"pmod(xxhash64(node, key), cast(ceil(n / {BLOCK}) as bigint))"))
-    blocks = stored(blocks.select("key", "block", "node", "class"), "blocks")
-    other = blocks.select("key", "block", F.col("node").alias("b"), F.col("class").alias("class_b"))
-    second = blocks.join(other, ["key", "block"]).where("node < b and class <> class_b").select(F.col("node").alias("a"), "b").distinct()
-    more = stored(exact_links(stored(_agreeing(second, nodes), "pairs"), named, threshold, weights), "links")
-
-    # the second round's links join whole classes
-    of_a = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
-    of_b = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    between = more.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).distinct()
-    joined = components(between).select(F.col("node").alias("label"), F.col("label").alias("final"))
-
-    of_node = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    of_node = of_node.join(joined, "label", "left").select("node", F.coalesce("final", "label").alias("class_id"))
-    of_doc = stored(members.join(stored(of_node, "classes"), "node").groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "classes")
+    of_doc = stored(members.join(classes, "node").groupBy("doc_id").agg(F.min("class").alias("class_id")), "classes")
     ids = plain.select("doc_id").join(of_doc, "doc_id", "left")
     class_id = F.coalesce("class_id", "doc_id")
     return ids.select("doc_id", class_id.alias("class_id"), class_id.eqNullSafe(F.col("doc_id")).alias("kept"))
