@@ -8,10 +8,12 @@ compares the partial distance with the query's 20th best so far, and candidates
 be near only by an unlikely chance (EPSILON) are abandoned. What stays is scored exactly, in
 double precision, on the original vectors.
 
-Candidates are dealt into blocks of about BLOCK rows along the lists, and queries into
-blocks by their own list; a list with a third of all rows is split by a hash. Each pair of
-blocks with a probed list is one small task group. ``share`` is the part of the lists that a
-query probes: vectors without clusters need a large one for a recall of 0.9 (README).
+Queries are dealt into parts of about QUERIES by their own list, candidates into STRIPES by
+their list; a list with a third of all rows is spread over the stripes by a hash. A part
+reads each stripe as a sorted stream, keeps its k best so far, and returns k rows per query
+and stripe, so the result grows with the queries only and memory holds one part and one
+batch. ``share`` is the share of the lists that a query probes: vectors without clusters need a
+large one for a recall of 0.9 (README).
 
 Defined results: vectors that are null, zero, hold a null or non-finite component, or are
 not of the most frequent length (ties: the longest) take no part, neither as query nor as
@@ -36,7 +38,8 @@ SAMPLE_ROWS, ROUNDS = 20_000, 8
 ROWS_PER_LIST, MOST_LISTS = 48, 4096
 SHARE = 0.75
 LEAST_PROBED = 1000
-BLOCK, QUERIES = 512, 512
+STRIPES, QUERIES, STREAM, SPREAD = 8, 512, 1024, 512
+HELD = 100_000
 COLUMNS, EPSILON = 16, 2.1
 
 
@@ -82,62 +85,90 @@ class Space:
             self.centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], sample[rng.integers(0, len(sample), len(n))])
 
 
-def block_table(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First block and number of blocks of each list: short lists share a block, a long one
-    has several."""
+def parts_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First part and number of parts of each list's queries: short lists share a part, a
+    long one has several."""
     first, many = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64)
-    block, held = 0, 0
+    part, held = 0, 0
     for i, n in enumerate(counts.tolist()):
-        if held and held + n > BLOCK:
-            block, held = block + 1, 0
-        first[i] = block
-        if n > BLOCK:
-            many[i] = -(-n // BLOCK)
-            block, held = block + int(many[i]), 0
+        if held and held + n > QUERIES:
+            part, held = part + 1, 0
+        first[i] = part
+        if n > QUERIES:
+            many[i] = -(-n // QUERIES)
+            part, held = part + int(many[i]), 0
         else:
             held += n
     return first, many
 
 
-def scan(lists: np.ndarray, rows: np.ndarray, asks: np.ndarray, probed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, candidate) index pairs that may be among the k nearest of a block.
-    ``rows`` are candidates sorted by list; ``probed`` says which lists each query probes."""
-    dim = rows.shape[1]
-    best = np.full((len(asks), k), np.inf)
-    pairs = []
-    names, begin = np.unique(lists, return_index=True)
-    ask_size, row_size = asks**2, rows**2
-    for at, lo, hi in zip(range(len(names)), begin, np.append(begin[1:], len(lists)), strict=False):
-        who = np.flatnonzero(probed[:, at])
+class Part:
+    """A part's queries and their k best candidates so far."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, rotated: np.ndarray, probed: list[np.ndarray], k: int):
+        self.ids, self.v, self.rotated, self.k = ids, v, rotated, k
+        asked, names = np.repeat(np.arange(len(ids)), [len(p) for p in probed]), np.concatenate(probed)
+        order = np.argsort(names, kind="stable")
+        self.asked, self.names = asked[order], names[order]  # queries that probe each list
+        self.near = np.full((len(ids), k + 1), np.inf)  # least distances: one more for the query itself
+        self.found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # query, candidate id, score
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+        self.size = rotated**2
+
+    def scan(self, name: int, ids: np.ndarray, v: np.ndarray, rows: np.ndarray) -> None:
+        """Candidates of one list: column block after column block, then exact scores."""
+        lo, hi = np.searchsorted(self.names, (name, name + 1))
+        who = self.asked[lo:hi]
         if not len(who):
-            continue
-        limit = best[who, -1]
-        partial = np.zeros((len(who), hi - lo))
+            return
+        dim, row_size = rows.shape[1], rows**2
+        limit = self.near[who, -1]
+        partial = np.zeros((len(who), len(rows)))
         alive = np.ones(partial.shape, bool)
-        live_rows = np.arange(lo, hi)
+        live = np.arange(len(rows))
         for c in range(0, dim, COLUMNS):
             d = min(c + COLUMNS, dim)
-            a, b = asks[who, c:d], rows[live_rows, c:d]
-            step = ask_size[who, c:d].sum(axis=1)[:, None] + row_size[live_rows, c:d].sum(axis=1) - 2 * a @ b.T
-            partial[:, live_rows - lo] += step
+            step = self.size[who, c:d].sum(axis=1)[:, None] + row_size[live, c:d].sum(axis=1) - 2 * self.rotated[who, c:d] @ rows[live, c:d].T
+            partial[:, live] += step
             # a partial distance above this is unlikely if the whole one is within the limit
-            bound = limit * (d / dim) * ((1 + EPSILON / d**0.5) ** 2 if d < dim else 1 + 1e-6) + 1e-9
+            bound = limit * (d / dim) * ((1 + EPSILON / d**0.5) ** 2 if d < dim else 1 + 1e-6) + 1e-6
             alive &= partial <= bound[:, None]
-            live_rows = lo + np.flatnonzero(alive.any(axis=0))
-            if not len(live_rows):
-                break
-        if not len(live_rows):
-            continue
-        found = np.where(alive, partial, np.inf)
+            live = np.flatnonzero(alive.any(axis=0))
+            if not len(live):
+                return
+        merged = np.concatenate([self.near[who], np.where(alive, partial, np.inf)], axis=1)
+        self.near[who] = np.sort(np.partition(merged, self.k, axis=1)[:, : self.k + 1], axis=1)
+        alive &= partial <= self.near[who, -1][:, None] * (1 + 1e-6) + 1e-6
         q, c = np.nonzero(alive)
-        pairs.append((who[q], c + lo, partial[q, c]))
-        merged = np.concatenate([best[who], found], axis=1)
-        best[who] = np.sort(np.partition(merged, k - 1, axis=1)[:, :k], axis=1)
-    if not pairs:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    q, c, d = (np.concatenate(p) for p in zip(*pairs, strict=True))
-    keep = d <= best[q, -1] * (1 + 1e-6) + 1e-6
-    return q[keep], c[keep]
+        q = who[q]
+        other = ids[c] != self.ids[q]
+        q, c = q[other], c[other]
+        score = np.zeros(len(q))
+        for j in range(v.shape[1]):  # one order of summation for every pair, so equal vectors tie
+            score += v[c, j] * self.v[q, j]
+        self.waiting.append((q, ids[c], score))
+        self.held += len(q)
+        if self.held > HELD:
+            self._keep()
+
+    def _keep(self) -> None:
+        q, ids, score = (np.concatenate(x) for x in zip(self.found, *self.waiting, strict=True))
+        self.waiting, self.held = [], 0
+        order = np.lexsort((-score, ids, q))
+        q, ids, score = q[order], ids[order], score[order]
+        once = np.ones(len(q), bool)
+        once[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])
+        q, ids, score = q[once], ids[once], score[once]
+        order = np.lexsort((ids, -score, q))
+        q, ids, score = q[order], ids[order], score[order]
+        top = np.arange(len(q)) - np.searchsorted(q, q) < self.k
+        self.found = q[top], ids[top], score[top]
+
+    def result(self) -> pa.RecordBatch:
+        self._keep()
+        q, ids, score = self.found
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(ids), pa.array(score)], ["query_id", "vec_id", "score"])
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, share: float = SHARE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -172,23 +203,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, share: fl
 
     index = stored(good.mapInArrow(assign, "id bigint, v binary, asks boolean, list bigint, rotated binary"), "lists")
     counts = np.zeros(lists, np.int64)
-    for at, n in index.groupBy("list").count().collect():  # one row per list
-        counts[at] = n
-    first, many = block_table(counts)
-    spark = vectors.sparkSession
-    plan = spark.createDataFrame([(i, int(f), int(m)) for i, (f, m) in enumerate(zip(first, many, strict=True))], "list bigint, first bigint, many bigint")
-    dealt = index.join(F.broadcast(plan), "list").withColumn("block", F.expr("first + pmod(xxhash64(id), many)"))
-    candidates = stored(dealt.select("id", "v", "list", "rotated", "block"), "candidates")
-
-    asked = index.where("asks").select("id", "v", "list")
     per_list = np.zeros(lists, np.int64)
-    for at, n in asked.groupBy("list").count().collect():
-        per_list[at] = n
-    q_first, q_many = block_table(per_list * (BLOCK // QUERIES))
+    for at, n, asking in index.groupBy("list").agg(F.count(F.lit(1)), F.count_if("asks")).collect():  # one row per list
+        counts[at], per_list[at] = n, asking
+    spread = np.minimum(-(-counts // SPREAD), STRIPES)  # stripes of each list
+    first, many = parts_of(per_list)
     probes = max(1, int(np.ceil(share * lists)))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per query and block of candidates that holds a list it probes."""
+        """A row per query and stripe, with the lists that it probes there."""
+        names = np.arange(lists)
+        held = [np.array([(s - n) % STRIPES < spread[n] for n in names]) for s in range(STRIPES)]
         for whole in batches:
             for at in range(0, len(whole), 512):
                 batch = whole.slice(at, 512)
@@ -198,57 +223,64 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, share: fl
                 # enough lists that the nearest can be among them, however short the lists are
                 reach = np.cumsum(counts[order], axis=1)
                 need = np.maximum(probes, (reach < LEAST_PROBED).sum(axis=1) + 1)
-                own = batch.column(2).to_numpy()
-                part = q_first[own] + batch.column(0).to_numpy() // QUERIES % q_many[own]
-                row, block, wanted = [], [], []
+                own, ids = batch.column(2).to_numpy(), batch.column(0).to_numpy()
+                part = first[own] + ids // QUERIES % many[own]
+                row, key, wanted = [], [], []
                 for i in range(len(batch)):
                     mine = np.sort(order[i, : need[i]])
-                    spread = np.repeat(mine, many[mine])
-                    ends = np.cumsum(many[mine])
-                    spots = first[spread] + np.arange(len(spread)) - np.repeat(ends - many[mine], many[mine])
-                    cuts = np.flatnonzero(np.diff(spots)) + 1
-                    for got, lists_in in zip(spots[np.append(0, cuts)], np.split(spread, cuts), strict=True):
+                    for stripe in range(STRIPES):
                         row.append(i)
-                        block.append(int(got))
-                        wanted.append(lists_in.astype("<i8").tobytes())
+                        key.append(int(part[i]) * STRIPES + stripe)
+                        wanted.append(mine[held[stripe][mine]].astype("<i8").tobytes())
                 take = pa.array(row, pa.int64())
                 turned = pa.array([r.tobytes() for r in rotated.astype(np.float32)], pa.binary())
+                nothing = pa.array(np.full(len(row), -1))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), turned.take(take), pa.array(part[row], pa.int64()), pa.array(block, pa.int64()), pa.array(wanted, pa.binary())],
-                    ["id", "v", "rotated", "part", "block", "lists"],
+                    [pa.array(key, pa.int64()), nothing, batch.column(0).take(take), batch.column(1).take(take), turned.take(take), pa.array(wanted, pa.binary())],
+                    ["key", "list", "id", "v", "rotated", "lists"],
                 )
 
-    queries = stored(asked.mapInArrow(probe, "id bigint, v binary, rotated binary, part bigint, block bigint, lists binary"), "queries")
-    grid = queries.select(F.col("block").alias("b"), F.col("part").alias("p")).distinct()
-    copies = candidates.join(grid, F.col("block") == F.col("b")).select("id", "v", "list", "rotated", "b", "p")
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-        if not left.num_rows or not right.num_rows:
-            return out.empty_table()
-        left = left.sort_by([("list", "ascending"), ("id", "ascending")])
-
-        def numbers(t, name, kind):
-            return np.frombuffer(b"".join(t[name].to_pylist()), kind).reshape(t.num_rows, -1)
-
-        lists_in = left["list"].to_numpy()
-        names = np.unique(lists_in)
-        probed = np.stack([np.isin(names, np.frombuffer(w, "<i8")) for w in right["lists"].to_pylist()])
-        q, c = scan(lists_in, numbers(left, "rotated", np.float32).astype(np.float64), numbers(right, "rotated", np.float32).astype(np.float64), probed, k + 1)
-        cand, ask = left["id"].to_numpy(), right["id"].to_numpy()
-        other = cand[c] != ask[q]
-        q, c = q[other], c[other]
-        x, y = numbers(left, "v", np.float64), numbers(right, "v", np.float64)
-        score = np.zeros(len(q))
-        for j in range(x.shape[1]):  # one order of summation for every pair, so equal vectors tie
-            score += x[c, j] * y[q, j]
-        order = np.lexsort((cand[c], -score, q))
-        q, c, score = q[order], c[order], score[order]
-        place = np.arange(len(q)) - np.searchsorted(q, q)
-        keep = place < k
-        return pa.table([ask[q[keep]], cand[c[keep]], score[keep]], schema=out)
-
-    found = copies.groupBy("b", "p").cogroup(queries.groupBy("block", "part")).applyInArrow(search, "query_id bigint, vec_id bigint, score double")
+    fields = "key bigint, list bigint, id bigint, v binary, rotated binary, lists binary"
+    queries = index.where("asks").select("id", "v", "list").mapInArrow(probe, fields)
+    n_parts = int((first + many).max())
+    table_of = vectors.sparkSession.createDataFrame([(i, int(n)) for i, n in enumerate(spread)], "list bigint, spread bigint")
+    striped = index.join(F.broadcast(table_of), "list").withColumn("stripe", F.expr(f"pmod(list + pmod(xxhash64(id), spread), {STRIPES})"))
+    copies = striped.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1)))).select(
+        (F.col("part") * STRIPES + F.col("stripe")).alias("key"), "list", "id", "v", "rotated", F.lit(None).cast("binary").alias("lists")
+    )
+    spark = vectors.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_parts * STRIPES)
+    stream = queries.unionByName(copies).repartition(tasks, "key").sortWithinPartitions("key", "list", "id")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def numbers(column: pa.Array, kind) -> np.ndarray:
+            return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1).astype(np.float64)
+
+        part, key, waiting = None, None, []
+        for whole in batches:
+            for at in range(0, len(whole), STREAM):
+                batch = whole.slice(at, STREAM)
+                where, names = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                cuts = np.flatnonzero(np.diff(where) | np.diff(names)) + 1
+                for lo, hi in zip(np.append(0, cuts).tolist(), np.append(cuts, len(batch)).tolist(), strict=True):
+                    if where[lo] != key:
+                        if part is not None:
+                            yield part.result()
+                        part, key, waiting = None, where[lo], []
+                    rows = batch.slice(lo, hi - lo)
+                    if names[lo] < 0:
+                        waiting.append(rows)
+                        continue
+                    if part is None and waiting:
+                        asked = pa.Table.from_batches(waiting)
+                        part = Part(asked["id"].to_numpy(), numbers(asked["v"], np.float64), numbers(asked["rotated"], np.float32),
+                                    [np.frombuffer(x, "<i8") for x in asked["lists"].to_pylist()], k)
+                    if part is not None:
+                        part.scan(int(names[lo]), rows.column(2).to_numpy(), numbers(rows.column(3), np.float64), numbers(rows.column(4), np.float32))
+        if part is not None:
+            yield part.result()
+
+    found = stream.mapInArrow(search, "query_id bigint, vec_id bigint, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
