@@ -63,11 +63,11 @@ def import_folder(spark: SparkSession, folder: str, fmt: str = "parquet") -> lis
 
 
 def relocate_keys(manifest: DataFrame, src_prefix: str, dst_prefix: str) -> DataFrame:
-    """S5 key mapping: every object under ``src_prefix`` gets the same relative
-    key under ``dst_prefix`` (a column expression, no driver loop)."""
-    rel = F.substring("path", len(src_prefix) + 1, 1 << 30)
-    return manifest.where(F.col("path").startswith(src_prefix)).select(
-        "path", F.concat(F.lit(dst_prefix), rel).alias("dest_path"))
+    """S5 key mapping: every object whose path, or key inside its bucket, starts with
+    ``src_prefix`` gets the same relative key under ``dst_prefix`` (a column expression, no driver loop)."""
+    key = F.when(F.col("path").startswith(src_prefix), F.col("path")).otherwise(F.regexp_replace("path", "^[A-Za-z0-9]+://[^/]*/", ""))
+    rel = F.substring(key, len(src_prefix) + 1, 1 << 30)
+    return manifest.where(key.startswith(src_prefix)).select("path", F.concat(F.lit(dst_prefix), rel).alias("dest_path"))
 
 
 def relocate_table(spark: SparkSession, src: str, dst: str, partition_by: Sequence[str] = (),
