@@ -13,10 +13,14 @@ bucket every node is paired with the bucket's least node. Where a bucket's nodes
 still in different classes, they are grouped by the bucket's key and by that and a further
 band's, which brings the most similar together; groups are dealt into blocks of about BLOCK
 nodes by a hash, and nodes of one block and different classes are paired (all pairs, if a
-bucket is no larger than a block). So the pairs tried grow in proportion to the nodes, never
-with the square of a bucket. Pairs whose signatures agree too little to reach the threshold
-are left out; the rest are checked exactly on their shingle sets. Classes are the connected
-components of the links.
+bucket is no larger than a block). These rounds join most of a family cheaply. What is left,
+the nodes of larger buckets that still hold several classes, is joined on its rarest
+shingles: two texts of the threshold's similarity share one among the first of each in the
+order of frequency, with as many shingles left as they need. So no bucket's pair goes
+untried, and shingles that a whole family shares are not join keys unless its texts are near
+the threshold. Pairs whose signatures agree too little to reach the threshold are left out;
+the rest are checked exactly on their shingle sets. Classes are the connected components of
+the links.
 
 Defined results: a text without words (null, empty, blank) is a class of its own. A row
 with a null id has a null class and is kept. Rows that repeat an id are one document. An
@@ -31,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import U64, mix, stored, table, text_slices, words_of
@@ -45,6 +49,8 @@ BLOCK = 16
 STEPS = ((1, 2, 3), (4, 5, 6))
 #: a pair is checked if its K coordinates agree in this share (4.5 standard errors below THRESHOLD)
 ESTIMATE = 0.62
+#: texts that stand by one rare shingle in a salt; a shingle with more has several
+SALTED = 512
 #: bits of the filter that spares documents outside all pairs a shuffle
 BITS = 1 << 25
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(14)])
@@ -196,9 +202,8 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return table
 
 
-def exact_links(pairs: DataFrame, docs: DataFrame, threshold: float, weights: str) -> DataFrame:
-    """Pairs whose weighted Jaccard similarity reaches the threshold, from the texts."""
-    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def _items(need: DataFrame, docs: DataFrame, weights: str) -> DataFrame:
+    """(node, items) of the documents in the column ``doc_id`` of ``need``, and of some others."""
     wanted = docs.sparkSession.sparkContext.broadcast(id_filter(need))  # BITS / 8 bytes
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +223,12 @@ def exact_links(pairs: DataFrame, docs: DataFrame, threshold: float, weights: st
                 lists = [np.unique(s).tobytes() for s in np.split(short, cut)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lists, pa.binary())], ["node", "items"])
 
-    items = stored(docs.mapInArrow(sets, "node bigint, items binary"), "shingles")
+    return stored(docs.mapInArrow(sets, "node bigint, items binary"), "shingles")
+
+
+def exact_links(pairs: DataFrame, docs: DataFrame, threshold: float, weights: str) -> DataFrame:
+    """Pairs whose weighted Jaccard similarity reaches the threshold, from the texts."""
+    items = _items(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), docs, weights)
     left = items.select(F.col("node").alias("b"), F.col("items").alias("ib"))
     right = items.select(F.col("node").alias("a"), F.col("items").alias("ia"))
     both = pairs.join(left, "b").join(right, "a").select("a", "b", "ia", "ib")
@@ -270,6 +280,48 @@ def _block_pairs(shared: DataFrame, nodes: DataFrame, classes: DataFrame, steps:
     return blocks.join(other, "block").where("node < b and class <> class_b").select(F.col("node").alias("a"), "b").distinct()
 
 
+def _rare_pairs(shared: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float, weights: str) -> DataFrame | None:
+    """Pairs (a, b) of different classes that can reach the threshold, among all nodes of
+    buckets larger than a block that hold more than one class; None without such buckets.
+
+    Sets of x <= y items with a similarity of t share at least t / (1 + t) * (x + y) of them.
+    So, in any one order of the items, the first that both hold has that many places from it
+    on in either set: it is among the first x - 2t / (1 + t) * x + 1 of the shorter set and
+    the first y - t * y + 1 of the longer. The order is by frequency, the rarest first."""
+    classed = shared.select("key", "node").join(classes, "node")
+    mixed = stored(classed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n")).where(f"lo <> hi and n > {BLOCK}").select("key"), "untested")
+    crowd = stored(shared.select("key", "node").join(mixed, "key").select("node").distinct().join(classes, "node"), "crowd")
+    if not crowd.limit(1).count():
+        return None
+    items = _items(crowd.select(F.col("node").alias("doc_id")), docs, weights).join(crowd, "node")
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per item; rows that repeat an id are texts of their own."""
+        for batch in batches:
+            for i in range(len(batch)):
+                item = np.frombuffer(batch.column(1)[i].as_buffer(), "<u4").astype(np.int64)
+                text = int(mix(np.array([mix(item.astype(U64) + U64(1)).sum(dtype=U64)])).view(np.int64)[0])
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(np.full(len(item), x, np.int64)) for x in (text, batch.column(0)[i].as_py(), batch.column(2)[i].as_py(), len(item))), pa.array(item)],
+                    ["text", "node", "class", "size", "item"],
+                )
+
+    fields = "text bigint, node bigint, class bigint, size bigint, item bigint"
+    rows = stored(items.select("node", "items", "class").mapInArrow(spelled, fields), "items")
+    often = stored(rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")), "frequencies")
+    place = F.row_number().over(Window.partitionBy("node", "text").orderBy("n", "item"))
+    # a little lower than the bounds, so that rounding loses nothing
+    first = rows.join(often, "item").withColumn("place", place).where(f"n > 1 and place <= size - ceil({threshold} * size - 1e-6) + 1")
+    first = stored(first.withColumn("salts", F.expr(f"cast(ceil(n / {SALTED}) as int)")).drop("n"), "rare")
+    short = first.where(f"place <= size - ceil({2 * threshold / (1 + threshold)} * size - 1e-6) + 1").select(
+        "item", F.expr("pmod(xxhash64(node, item), salts)").alias("salt"), F.col("node").alias("a"), F.col("class").alias("ca"), F.col("size").alias("x"), F.col("place").alias("i"))
+    long = first.withColumn("salt", F.explode(F.expr("sequence(0L, cast(salts - 1 as bigint))"))).select(
+        "item", "salt", F.col("node").alias("b"), F.col("class").alias("cb"), F.col("size").alias("y"), F.col("place").alias("j"))
+    share = f"ceil({threshold / (1 + threshold)} * (x + y) - 1e-6)"
+    both = long.join(short, ["item", "salt"]).where(f"ca <> cb and x <= y and (x < y or a < b) and x >= {threshold} * y - 1e-6 and x - i + 1 >= {share} and y - j + 1 >= {share}")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, class) after links join classes; a class is named by its least node."""
     of_a = classes.select(F.col("node").alias("a"), F.col("class").alias("ca"))
@@ -306,6 +358,9 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "
     classes = _merged(nodes.select("node", F.col("node").alias("class")), linked(first))
     for steps in STEPS:
         classes = _merged(classes, linked(_block_pairs(shared, nodes, classes, steps)))
+    rare = _rare_pairs(shared, classes, named, threshold, weights)
+    if rare is not None:
+        classes = _merged(classes, linked(rare))
 
     of_doc = stored(members.join(classes, "node").groupBy("doc_id").agg(F.min("class").alias("class_id")), "classes")
     ids = plain.select("doc_id").join(of_doc, "doc_id", "left")

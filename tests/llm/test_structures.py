@@ -108,6 +108,27 @@ def test_large_group_of_near_copies_is_one_class(spark):
     assert got == brute_classes(texts)
 
 
+def test_pairs_inside_a_family_below_the_threshold(spark):
+    """Texts at about 0.75 of each other share buckets; planted pairs reach 0.8."""
+    n, planted, shared = 1500, 150, " ".join(f"s{i}" for i in range(177))
+    texts = {}
+    for i in range(n):
+        tail = [f"u{i}x{j}" for j in range(29)]
+        if i < 2 * planted:
+            tail[:8] = [f"p{i % planted}x{j}" for j in range(8)]
+        texts[i] = shared + " " + " ".join(tail)
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    top = {i: i for i in texts}
+    for i in range(n):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                top[i] = min(top[i], top[j])
+    assert sum(top[i] != i for i in texts) == planted
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
+    assert {r.doc_id: r.class_id for r in dart_minhash.near_classes(docs).collect()} == top
+
+
 def test_near_classes_defined_cases(odd_documents, no_documents):
     got = sorted({(r.doc_id, r.class_id, r.kept) for r in dart_minhash.near_classes(odd_documents).collect()}, key=str)
     classes = {i: c for i, c, _ in got}
