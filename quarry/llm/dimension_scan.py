@@ -18,7 +18,8 @@ large one for a recall of 0.9 (README).
 Defined results: vectors that are null, zero, hold a null or non-finite component, or are
 not of the most frequent length (ties: the longest) take no part, neither as query nor as
 candidate, nor do rows with a null id. A candidate with the query's id is the query itself;
-rows that repeat an id are ranked by their best score, once. Ties go to the smaller id. A
+rows that repeat an id are ranked by their best score, once, and hold one of the k places
+that set the limit for abandoning. Ties go to the smaller id. A
 query gets all candidates if they are fewer than ``k``. Extra columns are ignored.
 """
 
@@ -110,7 +111,8 @@ class Part:
         asked, names = np.repeat(np.arange(len(ids)), [len(p) for p in probed]), np.concatenate(probed)
         order = np.argsort(names, kind="stable")
         self.asked, self.names = asked[order], names[order]  # queries that probe each list
-        self.near = np.full((len(ids), k + 1), np.inf)  # least distances: one more for the query itself
+        self.near = np.full((len(ids), k), np.inf)  # least distances of k different ids, none the query's own
+        self.owner = np.zeros((len(ids), k), np.int64)  # the ids; of no meaning where the distance is infinite
         self.found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # query, candidate id, score
         self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.held = 0
@@ -137,13 +139,12 @@ class Part:
             live = np.flatnonzero(alive.any(axis=0))
             if not len(live):
                 return
-        merged = np.concatenate([self.near[who], np.where(alive, partial, np.inf)], axis=1)
-        self.near[who] = np.sort(np.partition(merged, self.k, axis=1)[:, : self.k + 1], axis=1)
+        alive &= ids[None, :] != self.ids[who][:, None]
+        some = alive.any(axis=1)
+        self._closest(who[some], ids, np.where(alive[some], partial[some], np.inf))
         alive &= partial <= self.near[who, -1][:, None] * (1 + 1e-6) + 1e-6
         q, c = np.nonzero(alive)
         q = who[q]
-        other = ids[c] != self.ids[q]
-        q, c = q[other], c[other]
         score = np.zeros(len(q))
         for j in range(v.shape[1]):  # one order of summation for every pair, so equal vectors tie
             score += v[c, j] * self.v[q, j]
@@ -152,6 +153,26 @@ class Part:
         if self.held > HELD:
             self._keep()
 
+    def _closest(self, who: np.ndarray, ids: np.ndarray, distance: np.ndarray) -> None:
+        """Least distance of each id, then the k least."""
+        near = np.concatenate([self.near[who], distance], axis=1)
+        owner = np.concatenate([self.owner[who], np.broadcast_to(ids, distance.shape)], axis=1)
+        q, c = np.nonzero(np.isfinite(near))
+        value, name = near[q, c], owner[q, c]
+        order = np.lexsort((value, name, q))
+        q, name, value = q[order], name[order], value[order]
+        once = np.ones(len(q), bool)
+        once[1:] = (q[1:] != q[:-1]) | (name[1:] != name[:-1])
+        q, name, value = q[once], name[once], value[once]
+        order = np.lexsort((value, q))
+        q, name, value = q[order], name[order], value[order]
+        at = np.arange(len(q)) - np.searchsorted(q, q)
+        top = at < self.k
+        q, at = q[top], at[top]
+        least, names = np.full((len(who), self.k), np.inf), np.zeros((len(who), self.k), np.int64)
+        least[q, at], names[q, at] = value[top], name[top]
+        self.near[who], self.owner[who] = least, names
+
     def _keep(self) -> None:
         q, ids, score = (np.concatenate(x) for x in zip(self.found, *self.waiting, strict=True))
         self.waiting, self.held = [], 0
@@ -201,6 +222,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, share: fl
                     ["id", "v", "asks", "list", "rotated"],
                 )
 
+    good = good.groupBy("id", "v").agg(F.bool_or("asks").alias("asks"))
     index = stored(good.mapInArrow(assign, "id bigint, v binary, asks boolean, list bigint, rotated binary"), "lists")
     counts = np.zeros(lists, np.int64)
     per_list = np.zeros(lists, np.int64)

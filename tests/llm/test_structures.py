@@ -280,6 +280,18 @@ def test_neighbours_defined_cases(spark):
     assert ties.count() == 120
 
 
+@pytest.mark.parametrize("apart", [0.0, 1e-6])
+def test_rows_that_repeat_an_id_hold_one_place(spark, apart):
+    """50 rows of one id, equal or nearly so, leave the other ids of a single list their places."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [1.0, *rng.normal(0, 0.3, 7).tolist()]) for i in range(40)]
+    rows += [(7, [2 * x + j * apart for x in rows[0][1]]) for j in range(50)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    best = {i: max(float(np.dot(rows[0][1], v)) for n, v in rows if n == i) for i in range(1, 40)}
+    found = {r["rank"]: r.vec_id for r in dimension_scan.nearest(frame, F.col("vec_id") == 0).collect()}
+    assert [found.get(i) for i in range(1, 21)] == sorted(best, key=lambda i: -best[i])[:20]
+
+
 # ---- pipeline
 
 def test_pipeline_stages_against_brute_force(spark, documents):
