@@ -141,7 +141,7 @@ def run_load(spark: SparkSession, supplier: Callable[[SparkSession], DataFrame],
         rows = int(obs.get.get("rows", 0))
         log = load_log_row(spark, load_id, ts, table, rows, "success")
     except Exception as e:
-        log = load_log_row(spark, load_id, ts, table, 0, "failed", str(e)[:1000])
+        log = load_log_row(spark, load_id, ts, table, 0, "failed", str(e))
         if log_path:
             log.write.mode("append").parquet(log_path)
         raise

@@ -42,6 +42,18 @@ def test_run_load_type_error_is_logged(spark):
     assert (log.status, log.row_count) == ("failed", 0)
 
 
+def test_run_load_logs_the_whole_error(spark):
+    base = scratch_path(spark, "loadlong")
+
+    def supplier(s):
+        raise ValueError("x" * 5000 + "end")
+
+    with pytest.raises(ValueError):
+        pf.run_load(spark, supplier, _name(base, "t"), base, log_path=f"{base}/_log")
+    message = spark.read.parquet(f"{base}/_log").first().error_message
+    assert message == "x" * 5000 + "end"
+
+
 def test_run_load_empty_frame_logs_zero(spark):
     base = scratch_path(spark, "loadempty")
     log = pf.run_load(spark, lambda s: s.range(0), _name(base, "t"), base).first()
