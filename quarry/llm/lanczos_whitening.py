@@ -28,7 +28,7 @@ no rows. Rows that repeat an id, and rows with a null id, each count. Components
 variance (singular values at rounding level) can't be whitened and are left out; so a table
 of equal rows gives no rows, nor does an empty one. Extra columns are ignored.
 
-To the driver come, per pass, one row of some hundred to thousand sums from each of FAN tasks.
+To the driver come, per pass, as many sums as a vector has entries and steps were made.
 """
 
 from __future__ import annotations
@@ -45,7 +45,6 @@ from quarry.llm.common import stored, table
 
 COMPONENTS, SCALE, SHIFT = 8, 1024, 100_000
 LARGEST = float(2**40)
-FAN = 8
 #: of the largest singular value: what counts as nothing, and as settled
 NOTHING, SETTLED = 1e-13, 1e-17
 
@@ -66,27 +65,21 @@ def _matrix(batch: pa.RecordBatch, column: int, dim: int) -> np.ndarray:
 
 
 def _summed(rows: DataFrame, work: Callable[[pa.RecordBatch], np.ndarray], kind: str) -> np.ndarray:
-    """The sum of ``work`` over all batches: added up in each task, then in FAN tasks, then here."""
+    """The sum of ``work`` over all batches: each task adds up its own, Spark adds by place."""
     dtype = np.int64 if kind == "bigint" else np.float64
 
-    def adding(of_batch: Callable[[pa.RecordBatch], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
-            for batch in batches:
-                if len(batch):
-                    part = of_batch(batch)
-                    total = part if total is None else total + part
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.from_numpy_dtype(dtype)))], ["sums"])
-
-        return run
-
-    def rows_of(batch: pa.RecordBatch) -> np.ndarray:
-        return np.asarray(batch.column(0).flatten(), dtype).reshape(len(batch), -1).sum(axis=0)
-
-    field = f"sums array<{kind}>"
-    few = rows.mapInArrow(adding(work), field).repartition(FAN).mapInArrow(adding(rows_of), field).collect()
-    return np.sum([np.array(r.sums, dtype) for r in few], axis=0) if few else np.zeros(0, dtype)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if len(batch):
+                part = work(batch)
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.from_numpy_dtype(dtype)))], ["sums"])
+
+    sums = rows.mapInArrow(run, f"sums array<{kind}>").select(F.posexplode("sums").alias("place", "value"))
+    places = sums.groupBy("place").agg(F.sum("value").alias("value")).collect()
+    return np.array([r.value for r in sorted(places)], dtype)
 
 
 @dataclass
