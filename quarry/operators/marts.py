@@ -1,13 +1,14 @@
 """Mart building (M1-M9): config filtering, dependency readiness, chunk
 arithmetic, composite grids, run logs and the mart runner.
 
-Chunks are a reporting notion here: Spark splits the work into tasks itself,
-so a chunked build is one job with a chunk id column, not one job per chunk.
+A chunked insert (M4) is one distributed job with a folder per chunk, not one job per chunk,
+and its ledger says which chunks are committed, so a failed run goes on where it stopped.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import math
 import time
 import uuid
 from collections.abc import Sequence
@@ -50,17 +51,31 @@ def mart_readiness(config: DataFrame, log: DataFrame) -> DataFrame:
     )
 
 
+def _bounds(df: DataFrame, cols: Sequence[str]) -> list[tuple]:
+    """(least, largest) of each column, NULLs aside: one aggregate."""
+    row = df.agg(*[f(c) for c in cols for f in (F.min, F.max)]).first()
+    return [(row[2 * i], row[2 * i + 1]) for i in range(len(cols))]
+
+
+def _starts(spark: SparkSession, df: DataFrame, col: str, size: int, lo, first: int, count: int) -> DataFrame:
+    """``count`` chunks (chunk_id, chunk_start, chunk_end) from chunk ``first`` on, made by
+    ``spark.range``, so that no task holds the list."""
+    kind = df.schema[col].dataType
+    start = (F.lit(lo) + F.col("id") * size).cast(kind)
+    return spark.range(first, first + count).select(F.col("id").alias("chunk_id"), start.alias("chunk_start"), (start + size).cast(kind).alias("chunk_end"))
+
+
 def chunk_bounds(df: DataFrame, col: str, size: int) -> DataFrame:
     """M3: half-open chunks ``[s, s + size)`` from ``min(col)`` until past
     ``max(col)``; no rows -> no chunks."""
-    b = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
-    return b.select(F.posexplode(F.sequence("lo", "hi", F.lit(size).cast(df.schema[col].dataType))).alias("chunk_id", "chunk_start")) \
-        .select(F.col("chunk_id").cast("int"), "chunk_start", (F.col("chunk_start") + size).alias("chunk_end"))
+    lo, hi = _bounds(df, [col])[0]
+    count = 0 if lo is None else int((hi - lo) // size) + 1
+    return _starts(df.sparkSession, df, col, size, 0 if lo is None else lo, 0, count).withColumn("chunk_id", F.col("chunk_id").cast("int"))
 
 
 def chunk_count(df: DataFrame, col: str, size: int) -> int:
     """Chunks of M3 (empty ones too, NULL keys in none): one aggregate of the bounds."""
-    lo, hi = df.agg(F.min(col), F.max(col)).first()
+    lo, hi = _bounds(df, [col])[0]
     return 0 if lo is None else int((hi - lo) // size) + 1
 
 
@@ -68,7 +83,8 @@ def _chunks_in(df: DataFrame, col: str, size: int, lo: Column) -> Column:
     """Whole chunks between the least key and a row's key; integer keys divide exactly."""
     distance = F.col(col) - lo
     if isinstance(df.schema[col].dataType, T.IntegralType):
-        return F.call_function("div", distance.cast("bigint"), F.lit(size).cast("bigint"))
+        whole, step = distance.cast("bigint"), F.lit(size).cast("bigint")
+        return F.call_function("div", whole - F.pmod(whole, step), step)  # rounds down below zero, too
     return F.floor(distance / F.lit(size)).cast("bigint")
 
 
@@ -92,37 +108,137 @@ def chunked_build_counts(df: DataFrame, col: str, size: int) -> DataFrame:
     )
 
 
+class ChunkedInsert:
+    """M4: a mart's rows inserted chunk by chunk into ``folder``, resumable.
+
+    One job writes all chunks that are not committed yet, one folder per chunk; AQE splits a
+    chunk that holds many rows over several tasks and gives small ones one task together
+    (``rebalance``). Tasks commit their files by themselves (committer version 2), so a
+    failed run leaves what its finished tasks wrote. The next run compares every chunk's
+    rows in the source and in the folder (count and sum of row hashes): equal chunks are
+    committed and not written again, others are cleared and written. Nothing is needed of
+    the failed run, so a lost driver is no special case, and a chunk whose source rows have
+    changed since is written anew.
+
+    The ledger has a row per chunk of the range, empty ones too, and one with a NULL id for
+    rows whose key is NULL: the rows, and the attempt that wrote them. Chunks are counted
+    from the least key that the first attempt met."""
+
+    KEY = "_chunk"
+    LEDGER = "chunk_id bigint, rows bigint, attempt int"
+
+    def __init__(self, spark: SparkSession, folder: str, col: str, size: int):
+        self.spark, self.folder, self.col, self.size = spark, folder.rstrip("/"), col, size
+        self.data = f"{self.folder}/data"
+
+    def _plans(self) -> list:
+        """The attempts so far: attempt, lo."""
+        path = f"{self.folder}/attempts"
+        return self.spark.read.parquet(path).orderBy("attempt").collect() if sinks.exists(self.spark, path) else []
+
+    def _held(self, schema: T.StructType) -> DataFrame:
+        return self.spark.read.schema(T.StructType([*schema.fields, T.StructField(self.KEY, T.LongType())])).parquet(self.data)
+
+    def _content(self, df: DataFrame, names: Sequence[str]) -> DataFrame:
+        row = F.xxhash64(*[F.col(f"`{n}`") for n in names]).cast("decimal(38,0)")
+        return df.groupBy(self.KEY).agg(F.count(F.lit(1)).alias("rows"), F.sum(row).alias("hash_sum"))
+
+    def _old_ledger(self, attempt: int) -> DataFrame:
+        path = f"{self.folder}/ledger/v={attempt}"
+        return self.spark.read.schema(self.LEDGER).parquet(path) if sinks.exists(self.spark, path) else self.spark.createDataFrame([], self.LEDGER)
+
+    def _write_ledger(self, rows: DataFrame, attempt: int) -> None:
+        rows.select("chunk_id", "rows", "attempt").write.mode("overwrite").parquet(f"{self.folder}/ledger/v={attempt}")
+
+    def settle(self, tagged: DataFrame, names: Sequence[str], schema: T.StructType, attempt: int) -> DataFrame:
+        """The chunks that earlier attempts finished; what they left of others is cleared.
+        The ledger says so before anything is written."""
+        source, held = self._content(tagged, names), self._content(self._held(schema), names)
+        same = (source[self.KEY].eqNullSafe(held[self.KEY])) & (source.rows == held.rows) & (source.hash_sum == held.hash_sum)
+        finished = held.join(source, same, "left_semi").select(F.col(self.KEY).alias("chunk_id"), "rows")
+        before = self._old_ledger(attempt - 1).select(F.col("chunk_id").alias("old"), F.col("attempt").alias("by"))
+        self._write_ledger(finished.join(before, F.col("chunk_id").eqNullSafe(F.col("old")), "left")
+                           .select("chunk_id", "rows", F.coalesce("by", F.lit(attempt - 1)).alias("attempt")), attempt)
+        done = self._old_ledger(attempt)
+        partial = held.select(self.KEY).join(done, held[self.KEY].eqNullSafe(done.chunk_id), "left_anti")
+        for r in partial.toLocalIterator():
+            sinks._remove(self.spark, f"{self.data}/{self.KEY}={'__HIVE_DEFAULT_PARTITION__' if r[0] is None else r[0]}")
+        return done
+
+    def run(self, df: DataFrame) -> DataFrame:
+        """Insert all rows of ``df``; returns the ledger. A failure is raised after the tasks
+        that finished have kept their files."""
+        names, plans = df.columns, self._plans()
+        attempt = len(plans) + 1
+        if self.KEY in names:
+            raise ValueError(f"a mart can't have a column {self.KEY}")
+        lo = plans[0].lo if plans and plans[0].lo is not None else _bounds(df, [self.col])[0][0]
+        kind = df.schema[self.col].dataType.simpleString()
+        self.spark.createDataFrame([(attempt, lo)], f"attempt int, lo {kind}").write.mode("append").parquet(f"{self.folder}/attempts")
+        tagged = df.withColumn(self.KEY, _chunks_in(df, self.col, self.size, F.lit(lo).cast(kind)))
+        todo, done = tagged, None
+        if plans and sinks.exists(self.spark, self.data):
+            done = self.settle(tagged, names, df.schema, attempt)
+            todo = tagged.join(done.select("chunk_id"), F.col(self.KEY).eqNullSafe(F.col("chunk_id")), "left_anti")
+        (todo.hint("rebalance", self.KEY).write.mode("append").partitionBy(self.KEY)
+         .option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(self.data))
+        return self._commit(df, lo, done, attempt)
+
+    def _commit(self, df: DataFrame, lo, done: DataFrame | None, attempt: int) -> DataFrame:
+        """All chunks are written: the ledger of them, empty ones included."""
+        rows = self._held(df.schema).groupBy(F.col(self.KEY).alias("chunk_id")).agg(F.count(F.lit(1)).alias("rows"))
+        before = done if done is not None else self.spark.createDataFrame([], self.LEDGER)
+        before = before.select(F.col("chunk_id").alias("old"), F.col("attempt").alias("by"))
+        counted = rows.join(before, F.col("chunk_id").eqNullSafe(F.col("old")), "left").select("chunk_id", "rows", F.coalesce("by", F.lit(attempt)).alias("attempt"))
+        path = f"{self.folder}/counted/v={attempt}"
+        counted.write.mode("overwrite").parquet(path)
+        counted = self.spark.read.schema(self.LEDGER).parquet(path)
+        first, last = counted.agg(F.min("chunk_id"), F.max("chunk_id")).first()
+        ids = self.spark.range(first or 0, (first or 0) if last is None else last + 1).withColumnRenamed("id", "chunk_id")
+        empty = ids.join(counted, "chunk_id", "left_anti").select("chunk_id", F.lit(0).cast("bigint").alias("rows"), F.lit(attempt).alias("attempt"))
+        self._write_ledger(counted.unionByName(empty), attempt)
+        start = F.lit(lo) + F.col("chunk_id") * self.size
+        kind = df.schema[self.col].dataType
+        return self._old_ledger(attempt).select("chunk_id", start.cast(kind).alias("chunk_start"), (start + self.size).cast(kind).alias("chunk_end"), "rows", "attempt")
+
+    def rows(self, schema: T.StructType) -> DataFrame:
+        """The inserted rows, as they were before the chunk id was added."""
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(self.data)
+
+
 def parse_columns(spec: str) -> list[str]:
     """M5: ``"a, b,c"`` -> ``["a", "b", "c"]``."""
     return [c.strip() for c in spec.split(",") if c.strip()]
 
 
 def chunk_grid(df: DataFrame, cols: Sequence[str], size: int) -> DataFrame:
-    """M5: bounds of every column in one aggregation, then the product of the
-    per-column chunk starts, generated from that single row (no join). A cell
-    is ``[start_i, start_i + size)`` on every column (SURVEY 2.11 #8)."""
-    b = df.agg(*[F.min(c).alias(f"{c}__lo") for c in cols], *[F.max(c).alias(f"{c}__hi") for c in cols])
-    out = b
-    for c in cols:
-        seq = F.sequence(F.col(f"{c}__lo"), F.col(f"{c}__hi"), F.lit(size).cast(df.schema[c].dataType))
-        out = out.withColumn(f"{c}_start", F.explode(seq))
-    sel = []
-    for c in cols:
-        sel += [F.col(f"{c}_start"), (F.col(f"{c}_start") + size).alias(f"{c}_end")]
-    return out.select(*sel)
+    """M5: bounds of every column in one aggregation, then the product of the per-column
+    chunk starts: cell numbers from ``spark.range``, written in mixed radix. A cell is
+    ``[start_i, start_i + size)`` on every column (SURVEY 2.11 #8)."""
+    bounds = _bounds(df, cols)
+    counts = [0 if lo is None else int((hi - lo) // size) + 1 for lo, hi in bounds]
+    cells = math.prod(counts)
+    out, below = df.sparkSession.range(cells), cells
+    for c, (lo, _), n in zip(cols, bounds, counts, strict=True):
+        below //= max(n, 1)
+        at = F.expr(f"id div {max(below, 1)} % {max(n, 1)}")
+        kind = df.schema[c].dataType
+        start = (F.lit(0 if lo is None else lo) + at * size).cast(kind)
+        out = out.withColumns({f"{c}_start": start, f"{c}_end": (start + size).cast(kind)})
+    return out.drop("id")
 
 
 def grid_build_counts(df: DataFrame, cols: Sequence[str], size: int) -> DataFrame:
-    """M6: rows per grid cell, empty cells included with 0. Each row gets its
-    cell from one ``floor`` per column (mins as scalar subqueries), then a
-    grouped count is left-joined from the cell list."""
+    """M6: rows per grid cell, empty cells included with 0. Each row gets its cell from one
+    ``floor`` per column (bounds from one aggregate), then a grouped count is left-joined
+    from the cell list."""
     tagged = df
-    for c in cols:
-        lo = df.select(F.min(c)).scalar()
-        tagged = tagged.withColumn(f"{c}_start", lo + F.floor((F.col(c) - lo) / F.lit(size)) * size)
-    counts = tagged.groupBy(*[f"{c}_start" for c in cols]).agg(F.count(F.lit(1)).alias("rows"))
-    grid = chunk_grid(df, cols, size)
+    for c, (lo, _) in zip(cols, _bounds(df, cols), strict=True):
+        low = F.lit(lo).cast(df.schema[c].dataType)
+        tagged = tagged.withColumn(f"{c}_start", (low + _chunks_in(df, c, size, low) * size).cast(df.schema[c].dataType))
     keys = [f"{c}_start" for c in cols]
+    counts = tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    grid = chunk_grid(df, cols, size)
     return grid.join(counts, keys, "left").select(
         *grid.columns, F.coalesce(F.col("rows"), F.lit(0)).cast("bigint").alias("rows")
     )
@@ -137,25 +253,57 @@ def run_log_row(spark: SparkSession, *, run_id: str, name: str, target: str, sta
     )
 
 
+def open_build(spark: SparkSession, mart: dict, base_path: str) -> str:
+    """The folder of the mart's unfinished build, if one with the same query and chunks is
+    there; else a new one."""
+    base = f"{base_path.rstrip('/')}/{mart['target_table'].replace('.', '__')}__builds"  # beside what an append target holds
+    path, schema = f"{base}/_open", "folder string, query string, chunk_column string, chunk_size bigint"
+    wanted = (mart["query"], mart["chunk_column"], int(mart["chunk_size"]))
+    if sinks.exists(spark, path):
+        was = spark.read.schema(schema).parquet(path).first()
+        if was and tuple(was)[1:] == wanted:
+            return was.folder
+    folder = f"{base}/v={uuid.uuid4().hex}"
+    spark.createDataFrame([(folder, *wanted)], schema).coalesce(1).write.mode("overwrite").parquet(path)
+    return folder
+
+
+def chunked_refresh(spark: SparkSession, df: DataFrame, mart: dict, base_path: str, mode: str) -> int:
+    """M4 inside M9: insert the mart's rows chunk by chunk (going on with an unfinished
+    build), then switch the target to them (S9) or append them to it (S10). Returns the
+    ledger's chunks. The target changes only when all chunks are committed."""
+    folder = open_build(spark, mart, base_path)
+    insert = ChunkedInsert(spark, folder, mart["chunk_column"], int(mart["chunk_size"]))
+    chunks = insert.run(df).where("chunk_id is not null").count()
+    if mode == "append":
+        sinks.append_refresh(insert.rows(df.schema), mart["target_table"], base_path)
+        sinks._remove(spark, folder)
+    else:
+        sinks.switch_table(spark, mart["target_table"], insert.data, df.schema)
+    sinks._remove(spark, f"{folder.rsplit('/', 1)[0]}/_open")
+    return chunks
+
+
 def run_mart(spark: SparkSession, mart: dict, base_path: str, log_path: str | None = None,
              mode: str = "full_refresh") -> DataFrame:
     """M9: run the mart's SQL (held in config) over the session's views, refresh
-    the target (S9 swap or S10 append), and append one M7 log row in all cases.
-    Returns the log row; errors are logged, then re-raised."""
+    the target (S9 swap or S10 append; by chunks, M4, if the config names a chunk column),
+    and append one M7 log row in all cases. Returns the log row; errors are logged, then
+    re-raised, and the next run of a chunked mart goes on with the chunks not yet committed."""
     start = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     t0 = time.perf_counter()
     status, message, chunks = "success", "success", 1
     target = mart["target_table"]
     try:
         df = spark.sql(mart["query"])
-        if mode == "append":
+        if mart.get("chunk_column"):
+            chunks = chunked_refresh(spark, df, mart, base_path, mode)
+        elif mode == "append":
             sinks.append_refresh(df, target, base_path)
         else:
             sinks.full_refresh_swap(df, target, base_path)
-        if mart.get("chunk_column"):
-            chunks = chunk_count(spark.table(target), mart["chunk_column"], int(mart["chunk_size"]))
     except Exception as e:  # noqa: BLE001 - logged then re-raised
-        status, message = "failed", str(e)
+        status, message, chunks = "failed", str(e), 0
         raise
     finally:
         end = start + _dt.timedelta(seconds=time.perf_counter() - t0)

@@ -1,5 +1,5 @@
-"""Sinks (S8-S12): append with auto-create, atomic full refresh, append
-refresh, partitioned layout writes, post-processing of inputs.
+"""Sinks (S8-S11): append with auto-create, atomic full refresh, append
+refresh, partitioned layout writes.
 
 Tables are parquet folders registered in the session catalog. A full refresh
 writes a new versioned folder and then points the table at it, so readers
@@ -8,6 +8,7 @@ never see a half-written target and a failed build leaves it untouched.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Sequence
 
@@ -29,6 +30,11 @@ def _remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def full_refresh_swap(df: DataFrame, table: str, base_path: str) -> str:
     """Build ``<base>/<table>/v=<id>``, then switch ``table`` to it. If the
     build fails the table still points at its previous folder and the failed
@@ -41,20 +47,25 @@ def full_refresh_swap(df: DataFrame, table: str, base_path: str) -> str:
     except Exception:
         _remove(spark, loc)
         raise
+    switch_table(spark, table, loc, df.schema)
+    return loc
+
+
+def switch_table(spark: SparkSession, table: str, loc: str, schema: T.StructType) -> None:
+    """Point ``table`` (made if missing) at the parquet files below ``loc``, whatever
+    folders they lie in; a previous versioned folder (``…/v=<id>…``) is removed."""
     old = None
     if _table_exists(spark, table):
         old = spark.sql(f"DESCRIBE FORMATTED {_quote(table)}").where("col_name = 'Location'").first()["data_type"]
-        if spark.table(table).schema == df.schema:
+        if [(f.name, f.dataType) for f in spark.table(table).schema] == [(f.name, f.dataType) for f in schema]:
             spark.sql(f"ALTER TABLE {_quote(table)} SET LOCATION '{loc}'")
             spark.catalog.refreshTable(table)
         else:
             spark.sql(f"DROP TABLE {_quote(table)}")
-            spark.sql(f"CREATE TABLE {_quote(table)} USING parquet LOCATION '{loc}'")
-    else:
-        spark.sql(f"CREATE TABLE {_quote(table)} USING parquet LOCATION '{loc}'")
+    if not _table_exists(spark, table):
+        spark.catalog.createTable(table, path=loc, source="parquet", schema=schema, recursiveFileLookup="true")
     if old and "/v=" in old:
-        _remove(spark, old)
-    return loc
+        _remove(spark, re.sub(r"(/v=[^/]+).*", r"\1", old))
 
 
 def append_autocreate(df: DataFrame, table: str, base_path: str) -> None:
@@ -88,25 +99,3 @@ def partitioned_write(df: DataFrame, path: str, partition_by: Sequence[str], ord
         .partitionBy(*partition_by)
         .parquet(path)
     )
-
-
-POSTPROCESS = ("none", "compress", "move", "move_and_compress", "delete")
-
-
-def postprocess_option(strategy: str) -> dict[str, str]:
-    """S12 for file streams: the file-source options for a post-processing
-    strategy after a successful batch; an unknown strategy raises."""
-    if strategy not in POSTPROCESS:
-        raise ValueError(f"Unknown post-processing strategy: {strategy}")
-    if strategy == "none":
-        return {}
-    if strategy == "delete":
-        return {"cleanSource": "delete"}
-    return {"cleanSource": "archive"}
-
-
-def archive_compressed(df: DataFrame, archive_path: str, fmt: str = "csv") -> None:
-    """S12 batch form of ``compress`` / ``move_and_compress``: write the loaded
-    rows gzip-compressed to the archive folder."""
-    df.write.mode("append").option("compression", "gzip").format(fmt).save(archive_path)
-
