@@ -94,8 +94,13 @@ def chunk_bounds(t):
     FROM orders, b GROUP BY ALL""",
 )
 def chunked_build(t):
-    """M4: rows per chunk of orders on o_orderkey, size 1000."""
-    return mt.chunked_build_counts(t.orders, "o_orderkey", 1000)
+    """M4: orders inserted in chunks of o_orderkey, size 1000; the ledger's chunks that hold
+    rows, and the rows that the target really has in them."""
+    insert = mt.ChunkedInsert(t.spark, scratch_path(t.spark, "chunked"), "o_orderkey", 1000)
+    ledger = insert.run(t.orders).where("rows > 0").drop("rows", "attempt")
+    lo = t.orders.select(F.min("o_orderkey")).scalar()
+    there = insert.rows(t.orders.schema).groupBy(((F.col("o_orderkey") - lo) / 1000).cast("bigint").alias("chunk_id")).agg(F.count(F.lit(1)).alias("rows"))
+    return ledger.join(there, "chunk_id").select("chunk_id", "chunk_start", "chunk_end", "rows")
 
 
 GRID_COLS = ["l_orderkey", "l_partkey"]

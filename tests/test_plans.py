@@ -8,7 +8,7 @@ from quarry.plans.registry import REGISTRY
 
 # queries that write files while being built (their plans are read-backs)
 SIDE_EFFECTS = {
-    "layout_range_counts", "run_mart", "mart_run_log", "load_delimited", "run_load", "load_log",
+    "layout_range_counts", "run_mart", "chunked_build", "mart_run_log", "load_delimited", "run_load", "load_log",
     "read_by_extension", "file_manifest", "import_folder", "relocate_prefix", "typed_rows_source",
     "append_autocreate", "append_refresh", "full_refresh_swap", "partitioned_write", "postprocess_inputs",
     "tick_minute_stream", "tick_cascade_stream", "incremental_ingest", "related_closure", "reference_closure",
