@@ -170,15 +170,6 @@ def quarantine(ledger: DataFrame, folder: str) -> DataFrame:
         "file_path", F.concat(F.lit(folder.rstrip("/") + "/"), base_name(F.col("file_path"))).alias("quarantine_path"))
 
 
-def write_quarantine(ledger: DataFrame, files: DataFrame, folder: str, mode: str = "append") -> None:
-    """F10 write: the content (``file_path, text``) of every failed file goes
-    under ``folder/file=<base name>/``; each file is its own partition, so one
-    unreadable or oversized file does not hold back the others' rows."""
-    failed = ledger.where(F.col("status") == "FAILED").select("file_path")
-    out = files.join(failed, "file_path", "left_semi").select(base_name(F.col("file_path")).alias("file"), "text")
-    out.write.mode(mode).partitionBy("file").text(folder)
-
-
 def batch_outcome(ledger: DataFrame) -> DataFrame:
     """success and failure counts; the run fails iff nothing succeeded and
     something failed."""
@@ -189,13 +180,19 @@ def batch_outcome(ledger: DataFrame) -> DataFrame:
 
 
 def plan_batch(files: DataFrame, lines: DataFrame, rules: DataFrame, ledger: DataFrame,
-               existing: DataFrame, extensions: Sequence[str] = SUPPORTED_EXTENSIONS) -> DataFrame:
+               existing: DataFrame, extensions: Sequence[str] = SUPPORTED_EXTENSIONS,
+               broken: DataFrame | None = None) -> DataFrame:
     """F1 -> S1 -> F8 -> F2 -> F4 -> F5 on a manifest: the files that will load,
-    with target, hash and version; plus FAILED rows for unreadable files.
+    with target, hash and version; plus FAILED rows for files of other extensions and for
+    those in ``broken`` (``file_path, error_message``).
     Columns: file_path, file_order, target_table, file_hash, rows, status,
     error_message, _version_id."""
     routed = route_files(files, rules).where(F.col("target_table").isNotNull())
     st = extension_status(routed, extensions)
+    if broken is not None:
+        st = st.join(broken.withColumnRenamed("error_message", "_broken"), "file_path", "left").withColumns({
+            "status": F.when(F.col("_broken").isNull(), F.col("status")).otherwise("FAILED"),
+            "error_message": F.coalesce("error_message", "_broken")}).drop("_broken")
     bad = st.where(F.col("status") == "FAILED")
     fp = content_fingerprint(lines)
     good = st.where(F.col("status") == "SUCCESS").join(fp, "file_path", "left") \

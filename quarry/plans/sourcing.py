@@ -14,7 +14,7 @@ from quarry.plans.registry import query
 from quarry.plans.tick_marts import BARS, DAILY, MINUTE
 from quarry.session import scratch_path
 from quarry.sources import files as fs
-from quarry.sources import sinks
+from quarry.sources import objects, sinks
 from quarry.streaming import ingest as ist
 from quarry.streaming import ticks as tst
 
@@ -34,25 +34,25 @@ def read_by_extension(t):
 
 @query(
     "file_manifest",
-    """SELECT o_orderstatus AS folder, count(*) AS rows, true AS listed, false AS failed FROM orders GROUP BY 1
-    UNION ALL SELECT 'missing', 0, false, true""",
+    """SELECT o_orderstatus AS folder, count(*) AS rows,
+              CAST(sum(length(CAST(o_orderkey AS VARCHAR)) + length(CAST(o_custkey AS VARCHAR)) + 2) AS BIGINT) AS bytes,
+              true AS timed, CAST(NULL AS VARCHAR) AS error FROM orders GROUP BY 1
+    UNION ALL SELECT 'missing', 0, 0, false, 'PATH_NOT_FOUND'""",
 )
 def file_manifest(t):
     """S2 (+ S1): orders exported as CSV folders per status, and a folder that does not
-    exist; per folder, the rows read from the listed '.csv' files, whether they have a
-    length, and whether listing failed."""
+    exist. The manifest's lengths, times and errors, added up per folder, with the rows read
+    from the listed files."""
     base = scratch_path(t.spark, "manifest")
-    t.orders.write.partitionBy("o_orderstatus").option("header", "true").csv(base)
+    t.orders.select("o_orderkey", "o_custkey", "o_orderstatus").write.partitionBy("o_orderstatus").csv(base)
     m = fs.file_manifest(t.spark, [base, base + "_missing"], regex=r"\.csv$")
-    paths = m.where(F.col("error").isNull()).select("path")
-    data = t.spark.read.option("header", "true").csv(base).select(F.col("_metadata.file_path").alias("path"))
-    listed = data.join(paths, "path", "left_semi")
-    folder = F.regexp_extract("path", "o_orderstatus=([^/]+)/", 1).alias("folder")
-    counted = listed.groupBy(folder).agg(F.count(F.lit(1)).alias("rows"))
-    entries = m.groupBy(F.when(F.col("path").isNull(), "missing").otherwise(folder).alias("folder")).agg(
-        F.bool_and(F.coalesce(F.col("length") > 0, F.lit(False))).alias("listed"),
-        F.bool_or(F.col("error").isNotNull()).alias("failed"))
-    return entries.join(counted, "folder", "left").select("folder", F.coalesce("rows", F.lit(0)).alias("rows"), "listed", "failed")
+    data = t.spark.read.schema("o_orderkey bigint, o_custkey bigint").csv(base).select(F.regexp_extract("_metadata.file_path", "[^/]+/[^/]+$", 0).alias("file"))
+    in_file = data.groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
+    name = F.when(F.col("path").isNull(), "missing").otherwise(F.regexp_extract("path", "o_orderstatus=([^/]+)/", 1))
+    entries = m.select(name.alias("folder"), F.regexp_extract("error", r"\[([A-Z_]+)", 1).alias("error"), F.regexp_extract("path", "[^/]+/[^/]+$", 0).alias("file"), "length", "modification_time")
+    return entries.join(in_file, "file", "left").groupBy("folder", "error").agg(
+            F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"),
+            F.bool_and(F.col("modification_time").isNotNull()).alias("timed"))
 
 
 @query(
@@ -77,13 +77,13 @@ def import_folder(t):
 
 @query("relocate_prefix", "SELECT * FROM orders", ["o_totalprice"])
 def relocate_prefix(t):
-    """Orders (partitioned by status) copied from one prefix to another with
-    the relative keys kept, read back from the new prefix."""
+    """The files of orders (partitioned by status) copied as objects from one prefix to
+    another with the relative keys kept, read back from the new prefix."""
     base = scratch_path(t.spark, "relocate")
     src, dst = f"{base}/src/orders", f"{base}/dst/orders"
     t.orders.write.partitionBy("o_orderstatus").parquet(src)
-    back = fs.relocate_table(t.spark, src, dst, ["o_orderstatus"])
-    return back.select(*t.orders.columns)
+    fs.relocate_objects(t.spark, src, dst)
+    return t.spark.read.schema(t.orders.schema).parquet(dst).select(*t.orders.columns)
 
 
 @query("typed_rows_source", "SELECT * FROM events", ["value"])
@@ -140,12 +140,30 @@ def partitioned_write(t):
     return t.spark.read.parquet(path).select(*df.columns)
 
 
-@query("postprocess_inputs", "SELECT * FROM customer", ["c_acctbal"])
+# Where each strategy leaves the rows.
+PLACES = [("none", "inbox"), ("compress", "inbox"), ("compress", "inbox gz"), ("move", "archive"),
+          ("move_and_compress", "inbox"), ("move_and_compress", "archive gz")]
+
+
+@query(
+    "postprocess_inputs",
+    "SELECT strategy, place, customer.* FROM customer, (VALUES " + ", ".join(f"('{s}', '{p}')" for s, p in PLACES) + ") AS v(strategy, place)",
+    ["c_acctbal"],
+)
 def postprocess_inputs(t):
-    """S12 'compress': loaded rows archived gzip-compressed, read back."""
-    path = scratch_path(t.spark, "archive")
-    sinks.archive_compressed(t.customer, path, fmt="json")
-    return t.spark.read.schema(t.customer.schema).json(path)
+    """Customer lands as JSON files once per strategy, the strategy runs on them; the rows
+    found afterwards in inbox and archive, plain and compressed."""
+    base = scratch_path(t.spark, "postprocess")
+    out = None
+    for strategy in objects.STRATEGIES:
+        inbox, archive = f"{base}/{strategy}/inbox", f"{base}/{strategy}/archive"
+        t.customer.write.json(inbox)
+        objects.postprocess(fs.file_manifest(t.spark, [inbox]).select("path", "length"), strategy, archive)
+        for place, folder, glob in (("inbox", inbox, "*.json"), ("inbox gz", inbox, "*.gz"), ("archive", archive, "*.json"), ("archive gz", archive, "*.gz")):
+            if sinks.exists(t.spark, folder):
+                found = t.spark.read.schema(t.customer.schema).option("pathGlobFilter", glob).json(folder).select(F.lit(strategy).alias("strategy"), F.lit(place).alias("place"), "*")
+                out = found if out is None else out.unionByName(found)
+    return out
 
 
 def _run_arrivals(t, run_stream, waves: int = 4) -> None:
@@ -174,39 +192,47 @@ def tick_minute_stream(t):
 
 @query("tick_cascade_stream", "WITH" + DAILY + " SELECT * FROM daily", ["avg_price", "sum_price", "wavg_price"])
 def tick_cascade_stream(t):
-    """Daily marts refreshed from each of 4 arrival waves; equals T5."""
+    """Daily marts refreshed level by level from each of 4 arrival waves; equals T5."""
     base = scratch_path(t.spark, "t18")
-    _run_arrivals(t, lambda s: tst.run_cascade_stream(s, f"{base}/ticks", f"{base}/marts", f"{base}/_checkpoint"))
-    return t.spark.read.parquet(f"{base}/marts/daily").drop("_day")
+    _run_arrivals(t, lambda s: tst.run_cascade_stream(s, f"{base}/marts", f"{base}/_checkpoint"))
+    return tst.current_mart(t.spark, f"{base}/marts", "daily")
 
 
-# Routing rule for the Spark-written part files of F12.
+# Routing rule for the Spark-written part files of F12, files per wave.
 STREAM_RULES = [(1, "part-.*", "public.docs")]
+FILES = 16
 
 
 @query(
     "incremental_ingest",
-    """
-    WITH parts AS (SELECT doc_id % 3 AS w, doc_id, string_split(text, chr(10)) AS p FROM documents),
+    f"""
+    WITH parts AS (SELECT doc_id % 3 AS w, doc_id // 3 % {FILES} AS f, doc_id, string_split(text, chr(10)) AS p FROM documents),
     l AS (
-      SELECT w, CAST(row_number() OVER (PARTITION BY w ORDER BY doc_id, i) - 1 AS INTEGER) AS line_no, line
-      FROM (SELECT w, doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS line FROM parts)),
+      SELECT w, f, row_number() OVER (PARTITION BY w, f ORDER BY doc_id, i) - 1 AS line_no, line
+      FROM (SELECT w, f, doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS line FROM parts)),
     fp AS (
-      SELECT w, md5(CAST(count(*) AS VARCHAR) || ':' || CAST(sum(CAST(CAST(('0x' || substr(md5(CAST(line_no AS VARCHAR) || ':' || line), 1, 15)) AS BIGINT) AS DECIMAL(38,0))) AS VARCHAR)) AS h
-      FROM l GROUP BY w)
-    SELECT 'public.docs' AS target_table, line_no, line, CAST(w + 1 AS INTEGER) AS _version_id, w = 2 AS _is_latest,
-           h AS _file_hash, TIMESTAMP '""" + fx.RUN_TS + """' AS _load_timestamp
-    FROM l JOIN fp USING (w)""",
+      SELECT w, f, md5(CAST(count(*) AS VARCHAR) || ':' || CAST(sum(CAST(CAST(('0x' || substr(md5(CAST(line_no AS VARCHAR) || ':' || line), 1, 15)) AS BIGINT) AS DECIMAL(38,0))) AS VARCHAR)) AS h
+      FROM l GROUP BY w, f)
+    SELECT 'public.docs' AS target_table, line_no, line, CAST(w AS INTEGER) AS wave, h AS _file_hash, 1 AS versions, w = 2 AS newest_wave,
+           TIMESTAMP '""" + fx.RUN_TS + """' AS _load_timestamp
+    FROM l JOIN fp USING (w, f)""",
 )
 def incremental_ingest(t):
-    """documents land as one text file per wave, in three waves that hit one target;
-    each run ingests only the file it has not seen, and only the last version is the latest."""
+    """documents land as several text files per wave, in three waves that hit one target;
+    each run ingests only the files it has not seen. Files of one wave have no order of their
+    own, so their versions are given as the wave they fall in and the number of versions that
+    a file's lines have; the latest version lies in the last wave."""
     base = scratch_path(t.spark, "f12")
     inbox, out, ckpt = f"{base}/inbox", f"{base}/out", f"{base}/_checkpoint"
     rules = t.spark.createDataFrame(STREAM_RULES, "rule_order int, regex string, target_table string")
     for wave in range(3):
-        docs = t.documents.where(F.col("doc_id") % 3 == wave).coalesce(1).sortWithinPartitions("doc_id")
-        docs.select("text").write.mode("append").text(inbox)
+        docs = t.documents.where(F.col("doc_id") % 3 == wave).withColumn("part", F.expr(f"doc_id div 3 % {FILES}"))
+        files = docs.repartition(FILES, "part").sortWithinPartitions("part", "doc_id")
+        files.select("part", "text").write.mode("append").partitionBy("part").text(inbox)
         ist.run_incremental(t.spark, inbox, rules, out, ckpt, fx.RUN_TS)
-    return ist.loaded_rows(t.spark, out).select(
-        "target_table", "line_no", "line", "_version_id", "_is_latest", "_file_hash", "_load_timestamp")
+    rows = ist.loaded_rows(t.spark, out)
+    of_file = rows.groupBy("_file_hash").agg(F.count_distinct("_version_id").cast("int").alias("versions"))
+    newest = rows.where("_is_latest").select(F.expr(f"max(_version_id - 1) div {FILES}")).scalar()
+    wave = F.expr(f"(_version_id - 1) div {FILES}")
+    return rows.join(of_file, "_file_hash").select("target_table", "line_no", "line", wave.cast("int").alias("wave"), "_file_hash", "versions",
+                                                   (wave == newest).alias("newest_wave"), "_load_timestamp")

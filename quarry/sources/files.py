@@ -9,11 +9,13 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
+from quarry.sources.objects import process_objects
+
 MANIFEST_SCHEMA = "root string, path string, length bigint, modification_time timestamp, error string"
 
 
@@ -27,17 +29,32 @@ def read_by_extension(spark: SparkSession, path: str, **options) -> DataFrame:
     raise ValueError(f"Unsupported file type: {ext}")
 
 
+def _empty_files(spark: SparkSession, listed: DataFrame) -> DataFrame:
+    """The files of a listing that hold nothing, which a scan leaves out: names that the
+    listing knows and its rows don't have."""
+    def spelled(uri: str) -> Column:  # local paths come with one slash or three
+        return F.regexp_replace(uri, "^file:/+", "file:/")
+
+    names = spark.createDataFrame([(n,) for n in listed.inputFiles()], "uri string")
+    rows = []
+    for r in names.join(listed.select(spelled("uri").alias("known")), spelled("uri") == F.col("known"), "left_anti").toLocalIterator():
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(r.uri))
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        rows.append((path.toString(), status.getLen(), status.getModificationTime()))
+    return spark.createDataFrame(rows, "path string, length bigint, millis bigint").select("path", "length", F.timestamp_millis("millis").alias("modification_time"))
+
+
 def file_manifest(spark: SparkSession, roots: Sequence[str], regex: str | None = None) -> DataFrame:
-    """Every file under each root (recursively), optionally kept when the
-    full path matches ``regex``. A root that cannot be listed gives one row
-    with its error instead of failing the manifest."""
+    """Every file under each root (recursively; names that begin with ``_`` or ``.`` are
+    not listed), empty ones too, optionally kept when the full path matches ``regex``. A
+    root that cannot be listed gives one row with its error instead of failing the manifest."""
     out = None
     for root in roots:
         try:
-            df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-                  .select(F.lit(root).alias("root"), "path", "length",
-                          F.col("modificationTime").alias("modification_time"),
-                          F.lit(None).cast("string").alias("error")))
+            listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+                      .select("path", "length", F.col("modificationTime").alias("modification_time"), F.col("_metadata.file_path").alias("uri")))
+            df = listed.drop("uri").unionByName(_empty_files(spark, listed)).select(
+                F.lit(root).alias("root"), "path", "length", "modification_time", F.lit(None).cast("string").alias("error"))
         except AnalysisException as e:
             df = spark.createDataFrame([(root, None, None, None, str(e))], MANIFEST_SCHEMA)
         if regex:
@@ -70,16 +87,14 @@ def relocate_keys(manifest: DataFrame, src_prefix: str, dst_prefix: str) -> Data
     return manifest.where(key.startswith(src_prefix)).select("path", F.concat(F.lit(dst_prefix), rel).alias("dest_path"))
 
 
-def relocate_table(spark: SparkSession, src: str, dst: str, partition_by: Sequence[str] = (),
-                   fmt: str = "parquet") -> DataFrame:
-    """S5 data copy: read the table under ``src`` and write it under ``dst``
-    with the same partition layout, in parallel tasks."""
-    df = spark.read.format(fmt).load(src)
-    w = df.write.mode("overwrite").format(fmt)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.save(dst)
-    return spark.read.format(fmt).load(dst)
+def relocate_objects(spark: SparkSession, src: str, dst: str) -> DataFrame:
+    """Every object under ``src`` copied byte for byte under ``dst``, relative keys kept
+    (``process_objects``: balanced by size, one row per object with its outcome)."""
+    listed = file_manifest(spark, [src]).where("error is null").select("path", "length")
+    root = src.rstrip("/") + "/"
+    prefixes = listed.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))  # one spelling of local paths
+    keys = relocate_keys(prefixes, root.removeprefix("file://"), dst.rstrip("/") + "/").join(prefixes, "path")
+    return process_objects(keys.select("path", "dest_path", "length"))
 
 
 def typed_rows_source(spark: SparkSession, path: str, schema: str | T.StructType, **options) -> DataFrame:

@@ -86,27 +86,9 @@ def test_strict_replay_raises_when_nothing_left(spark):
         rp.replay_offsets_strict(log, F.lit("2025-01-01").cast("timestamp_ntz"))
 
 
-def test_unknown_postprocess_strategy_raises():
-    assert sinks.postprocess_option("delete") == {"cleanSource": "delete"}
-    with pytest.raises(ValueError):
-        sinks.postprocess_option("shred")
-
-
 def test_append_autocreate_then_append(spark):
     base = scratch_path(spark, "appendtest")
     name = _name(base, "t")
     sinks.append_autocreate(spark.range(2), name, base)
     sinks.append_refresh(spark.range(3), name, base)
     assert spark.table(name).count() == 5
-
-
-def test_quarantine_writes_failed_files(spark):
-    from quarry.operators import ingest as ig
-    base = scratch_path(spark, "quarantine")
-    files = spark.createDataFrame([("/share/a.xlsx", "bad content"), ("/share/b.csv", "ok")],
-                                  "file_path string, text string")
-    ledger = ig.ingestion_ledger(ig.extension_status(files.withColumn("file_hash", F.lit("h"))
-                                                     .withColumn("target_table", F.lit("t"))), F.current_timestamp())
-    ig.write_quarantine(ledger, files, base)
-    back = spark.read.text(base).collect()
-    assert [(r.file, r.value) for r in back] == [("a.xlsx", "bad content")]
