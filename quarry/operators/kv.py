@@ -7,9 +7,9 @@ Nested dictionaries are rows ``(entity, path, value)`` with ``path`` the list
 of keys from the root.
 
 The two closures are fixpoint loops of joins over the distinct values met
-(not over every start): each round joins the newest pairs to the key index,
-drops pairs already reached (``left_anti``), and checkpoints them into the
-shared checkpoint folder so the plan stays short. The loop ends when a round adds nothing; it always ends because
+(not over every start): each hop joins the newest pairs to the edges, drops
+repeats and pairs already reached (``left_anti``), and each round checkpoints what it found
+into the shared checkpoint folder so the plan stays short. The loop ends when a round adds nothing; it always ends because
 the reached set only grows and is finite, so there is no round cap that could
 cut results short.
 """
@@ -34,65 +34,73 @@ def first_segment(c) -> F.Column:
     return F.split(c, r"\.", 2).getItem(0)
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
 HOPS_PER_ROUND = 3
-
-
-def _fixpoint(spark, start: DataFrame, step, max_rounds: int | None, hops: int = HOPS_PER_ROUND) -> DataFrame:
-    """Semi-naive loop: each round expands only the pairs found in the round
-    before, minus everything reached so far. Every round's new pairs are
-    checkpointed once (reliable checkpoint, so a lost executor does not send
-    the job back to round one) and the reached set is the union of those short
-    checkpointed pieces, so no round rewrites what earlier rounds found.
-
-    A round follows ``hops`` steps before removing what was already reached:
-    the lookup relations are broadcast once per round and reused by every hop
-    (exchange reuse), so fewer rounds cost less fixed overhead, and the result
-    is the same because every pair met on the way is kept."""
-    shared_dir(spark)  # makes sure a checkpoint folder is set
-    deltas = [start.distinct().checkpoint()]
-    rounds = 0
+RUNS_PER_TIER = 4
+PAIR = ["seed", "node"]
+
+
+class Reached:
+    """Pairs reached so far, in checkpointed runs. A tier that has RUNS_PER_TIER runs becomes
+    one run of the next, so what a hop is compared with are a few runs, however many
+    rounds there were, and a pair is rewritten only as often as tiers grow."""
+
+    def __init__(self):
+        self.runs: list[tuple[int, DataFrame]] = []
+
+    def add(self, pairs: DataFrame) -> None:
+        self.runs.append((0, pairs))
+        tier = 0
+        while sum(t == tier for t, _ in self.runs) >= RUNS_PER_TIER:
+            merged = self._union([f for t, f in self.runs if t == tier]).repartition(*PAIR).checkpoint()
+            self.runs = [r for r in self.runs if r[0] != tier] + [(tier + 1, merged)]
+            tier += 1
+
+    @staticmethod
+    def _union(frames: list[DataFrame]) -> DataFrame:
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.unionByName(f)
+        return out
+
+    def all(self) -> DataFrame:
+        return self._union([f for _, f in self.runs])
+
+    def minus(self, pairs: DataFrame) -> DataFrame:
+        """What of ``pairs`` is new."""
+        return pairs.join(self.all(), PAIR, "left_anti")
+
+
+def _fixpoint(seeds: DataFrame, edges: DataFrame, max_rounds: int | None = None, hops: int = HOPS_PER_ROUND) -> DataFrame:
+    """Pairs (seed, node) of all nodes that edges ``(node, next)`` lead to from each seed, the
+    seed itself included.
+
+    Semi-naive: every hop follows the pairs that the hop before found, without repeats and
+    without those reached in earlier rounds, so a hop makes at most new pairs x a node's edges.
+    A round is ``hops`` hops in one job, whose new pairs are checkpointed (reliably, so a lost
+    executor does not send the job back to round one); it ends when a round finds nothing.
+    A node that many seeds reach and that has many edges is split by AQE's skew join."""
+    frontier = seeds.select(F.col("node").alias("seed"), "node").distinct().checkpoint()
+    reached, rounds = Reached(), 0
+    reached.add(frontier)
     while True:
-        frontier, found = deltas[-1], []
+        found, at = [], frontier
         for _ in range(hops):
-            frontier = step(frontier)
-            found.append(frontier)
-        new = _union(found).distinct().join(_union(deltas), ["start_key", "key"], "left_anti").checkpoint()
-        if new.isEmpty():
-            return _union(deltas)
+            at = reached.minus(at.join(edges, "node").select("seed", F.col("next").alias("node")).distinct())
+            found.append(at)
+        frontier = Reached._union(found).distinct().checkpoint()
+        if frontier.isEmpty():
+            return reached.all()
         rounds += 1
         if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError(f"closure did not converge in {max_rounds} rounds")
-        deltas.append(new)
-
-
-def _closure_via_values(kv: DataFrame, starts: DataFrame, start_ok: DataFrame, items: DataFrame,
-                        first_hop, max_rounds: int | None) -> DataFrame:
-    """What a start reaches is the start itself plus what its values reach, and
-    what a value reaches does not depend on which start it came from. So the
-    fixpoint runs over the distinct values of the start keys (few, however many
-    starts there are), and the starts are joined to those per-value closures
-    once at the end. ``first_hop(values)`` -> ``(start_key = value, key)``."""
-    s = starts.select("start_key").join(start_ok, "start_key", "left_semi")
-    start_vals = s.join(items.withColumnRenamed("key", "start_key"), "start_key") \
-        .select("start_key", F.col("item").alias("seed"))
-    seeds = start_vals.select(F.col("seed").alias("value")).distinct()
+        reached.add(frontier)
 
-    def step(frontier: DataFrame) -> DataFrame:
-        nxt = frontier.join(items, "key").select("start_key", F.col("item").alias("value"))
-        return first_hop(nxt)
 
-    per_value = _fixpoint(kv.sparkSession, first_hop(seeds.select(F.col("value").alias("start_key"), "value")),
-                          step, max_rounds).withColumnRenamed("start_key", "seed")
-    reached = start_vals.join(per_value, "seed").select("start_key", "key") \
-        .unionByName(s.select("start_key", F.col("start_key").alias("key"))).distinct()
-    return reached.join(kv, "key").select("start_key", "key", "value")
+def _start_nodes(starts: DataFrame, keys: DataFrame, items: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(starts that are keys, the nodes ``(start_key, node)`` that their own values name)."""
+    known = starts.select("start_key").distinct().join(keys.select(F.col("key").alias("start_key")).distinct(), "start_key", "left_semi")
+    first = known.join(items.select(F.col("key").alias("start_key"), F.col("item").alias("node")), "start_key")
+    return known, first.join(nodes, "node", "left_semi").distinct().checkpoint()
 
 
 def related_closure(kv: DataFrame, starts: DataFrame, exclude: Sequence[str] | None = None,
@@ -102,35 +110,39 @@ def related_closure(kv: DataFrame, starts: DataFrame, exclude: Sequence[str] | N
     keys are neither kept nor followed; a start that is not a key reaches
     nothing. Returns ``(start_key, key, value)``.
 
-    A hub value (reached from many starts) is a hot key only in the final join
-    of starts to per-value closures; AQE's skew join splits that partition."""
-    kv = kv.select("key", "value")
-    allowed = kv.where(~matches_any_glob(F.col("key"), exclude))
-    shared_dir(kv.sparkSession)
-    # both join inputs are reused every round: materialise them once
-    index = allowed.select(first_segment(F.col("key")).alias("prefix"), "key").checkpoint()
-    items = list_items(kv).select("key", "item").checkpoint()
-
-    def first_hop(vals: DataFrame) -> DataFrame:  # (start_key, value) -> keys with that prefix
-        return vals.join(index, vals["value"] == index["prefix"]).select("start_key", "key")
-
-    ok = index.select(F.col("key").alias("start_key"))
-    return _closure_via_values(kv, starts, ok, items, first_hop, max_rounds)
+    The walk goes over first segments, not keys: a segment leads to the segments that the
+    values of its keys name. So a segment with a million keys is one node, what a value reaches
+    is found once for all starts that hold it, and keys are joined once at the end."""
+    shared_dir(kv.sparkSession)  # makes sure a checkpoint folder is set
+    allowed = kv.select("key", "value").where(~matches_any_glob(F.col("key"), exclude))
+    index = allowed.select(first_segment(F.col("key")).alias("node"), "key", "value").checkpoint()
+    items = list_items(index).select("key", "item").where("item is not null")
+    nodes = index.select("node").distinct()
+    named = items.join(nodes.withColumnRenamed("node", "item"), "item", "left_semi")
+    edges = named.select(first_segment(F.col("key")).alias("node"), F.col("item").alias("next")).distinct().checkpoint()
+    known, first = _start_nodes(starts, index, items, nodes)
+    per_node = _fixpoint(first.select("node"), edges, max_rounds)
+    reached = first.withColumnRenamed("node", "seed").join(per_node, "seed").select("start_key", "node").distinct()
+    # a start is among its own keys; it is added where no reached segment brings it
+    own = known.withColumn("node", first_segment(F.col("start_key"))).join(reached, ["start_key", "node"], "left_anti")
+    own_rows = own.join(index.drop("node"), F.col("start_key") == F.col("key")).select("start_key", "key", "value")
+    return reached.join(index, "node").select("start_key", "key", "value").unionByName(own_rows)
 
 
 def reference_closure(kv: DataFrame, starts: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """D3: for every start key, the keys whose whole name equals a value (or list
     item) reached from it, recursively. Returns ``(start_key, key, value)``."""
-    kv = kv.select("key", "value")
     shared_dir(kv.sparkSession)
-    keys = kv.select("key").checkpoint()
-    items = list_items(kv).select("key", "item").checkpoint()
-
-    def first_hop(vals: DataFrame) -> DataFrame:  # (start_key, value) -> the key named value
-        return vals.join(keys, vals["value"] == keys["key"]).select("start_key", "key")
-
-    ok = keys.select(F.col("key").alias("start_key"))
-    return _closure_via_values(kv, starts, ok, items, first_hop, max_rounds)
+    rows = kv.select("key", "value").checkpoint()
+    items = list_items(rows).select("key", "item").where("item is not null")
+    nodes = rows.select(F.col("key").alias("node")).distinct()
+    edges = items.select(F.col("key").alias("node"), F.col("item").alias("next")).join(
+        nodes.withColumnRenamed("node", "next"), "next", "left_semi").distinct().checkpoint()
+    known, first = _start_nodes(starts, rows, items, nodes)
+    per_node = _fixpoint(first.select("node"), edges, max_rounds)
+    reached = first.withColumnRenamed("node", "seed").join(per_node, "seed").select("start_key", F.col("node").alias("key"))
+    own = known.select("start_key", F.col("start_key").alias("key"))
+    return reached.unionByName(own).distinct().join(rows, "key").select("start_key", "key", "value")
 
 
 def prune_by_glob(tree: DataFrame, exclude: Sequence[str]) -> DataFrame:
