@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.operators.distinct import distinct_counts
 from quarry.sources import sinks
 
 LOAD_LOG_SCHEMA = ("load_id string, load_timestamp timestamp_ntz, table_name string, row_count bigint, "
@@ -58,44 +59,47 @@ def suggest_types(df: DataFrame, table: str, exact: bool = True) -> DataFrame:
     """Q6: per column, on its non-NULL values: none -> String; text whose
     distinct/count ratio is below 0.5 -> LowCardinality(String); integers ->
     narrowest width for min and max; floats with sample stddev below 1e-3 ->
-    Float32, else Float64; booleans -> UInt8; dates/times -> DateTime.
+    Float32, else Float64; booleans -> UInt8; dates/times -> DateTime; others -> String.
     Also returns the plain inferred type (Q7) next to it.
 
-    Exact distinct counts of many text columns make Spark copy each row once per
-    such column (Expand); ``exact=False`` uses HyperLogLog sketches instead
-    (1 % relative error), one pass with no copies, for very wide tables."""
+    Counts, bounds and deviations are one aggregate; exact distinct counts of all text columns
+    are one shuffle of their distinct values (``distinct_counts``). ``exact=False`` uses
+    HyperLogLog sketches in the aggregate instead (1 % relative error)."""
     fams = {f.name: _family(f.dataType) for f in df.schema.fields}
+    texts = [c for c, fam in fams.items() if fam == "string"]
     aggs = []
-    for c, fam in fams.items():
-        col = F.col(c)
-        aggs.append(F.count(col).alias(f"{c}__n"))
-        if fam == "string":
-            d = F.count_distinct(col) if exact else F.approx_count_distinct(col, 0.01)
-            aggs.append(d.alias(f"{c}__d"))
-        elif fam == "int":
-            aggs += [F.min(col).alias(f"{c}__lo"), F.max(col).alias(f"{c}__hi")]
+    for i, (c, fam) in enumerate(fams.items()):
+        col = F.col(f"`{c}`")
+        aggs.append(F.count(col).alias(f"n{i}"))
+        if fam == "int":
+            aggs += [F.min(col).cast("bigint").alias(f"lo{i}"), F.max(col).cast("bigint").alias(f"hi{i}")]
         elif fam == "float":
-            aggs.append(F.stddev_samp(col.cast("double")).alias(f"{c}__sd"))
+            aggs.append(F.stddev_samp(col.cast("double")).alias(f"sd{i}"))
+        elif fam == "string" and not exact:
+            aggs.append(F.approx_count_distinct(col, 0.01).alias(f"d{i}"))
     stats = df.agg(*aggs)
-    entries = []
-    for c, fam in fams.items():
-        n = F.col(f"{c}__n")
-        if fam == "string":
-            t = F.when(F.try_divide(F.col(f"{c}__d"), n) < 0.5, "LowCardinality(String)").otherwise("String")
-        elif fam == "int":
-            t = _int_type(F.col(f"{c}__lo"), F.col(f"{c}__hi"))
-        elif fam == "float":
-            t = F.when(F.col(f"{c}__sd") < 1e-3, "Float32").otherwise("Float64")
-        elif fam == "bool":
-            t = F.lit("UInt8")
-        elif fam == "datetime":
-            t = F.lit("DateTime")
-        else:
-            t = F.lit("String")
-        t = F.when(n == 0, "String").otherwise(t)
-        entries.append(F.struct(F.lit(c).alias("column_name"), F.lit(INFERRED[fam]).alias("inferred_type"),
-                                t.alias("suggested_type"), n.alias("non_null")))
-    return stats.select(F.lit(table).alias("table_name"), F.inline(F.array(*entries)))
+
+    def of(name: str, kind: str) -> Column:
+        return F.col(name).cast(kind) if name in stats.columns else F.lit(None).cast(kind)
+
+    entries = [
+        F.struct(F.lit(c).alias("column_name"), F.lit(fam).alias("family"), F.lit(INFERRED[fam]).alias("inferred_type"), F.col(f"n{i}").alias("non_null"),
+                 of(f"lo{i}", "bigint").alias("lo"), of(f"hi{i}", "bigint").alias("hi"), of(f"sd{i}", "double").alias("sd"), of(f"d{i}", "bigint").alias("d"))
+        for i, (c, fam) in enumerate(fams.items())
+    ]
+    rows = stats.select(F.inline(F.array(*entries)))
+    if exact and texts:
+        names = F.element_at(F.array(*[F.lit(c) for c in texts]), F.col("column_no") + 1)
+        counts = distinct_counts(df, texts).select(names.alias("column_name"), F.col("distinct_count"))
+        rows = rows.join(counts, "column_name", "left").withColumn("d", F.coalesce("d", "distinct_count"))
+    suggested = (
+        F.when(F.col("non_null") == 0, "String")
+        .when(F.col("family") == "string", F.when(F.try_divide("d", "non_null") < 0.5, "LowCardinality(String)").otherwise("String"))
+        .when(F.col("family") == "int", _int_type(F.col("lo"), F.col("hi")))
+        .when(F.col("family") == "float", F.when(F.col("sd") < 1e-3, "Float32").otherwise("Float64"))
+        .when(F.col("family") == "bool", "UInt8").when(F.col("family") == "datetime", "DateTime").otherwise("String")
+    )
+    return rows.select(F.lit(table).alias("table_name"), "column_name", "inferred_type", suggested.alias("suggested_type"), "non_null")
 
 
 def apply_schema(df: DataFrame, schema: dict[str, str] | None = None, safe: bool = False) -> DataFrame:

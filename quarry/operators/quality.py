@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.operators.distinct import distinct_counts
+
 # The control grammar's two clauses.
 _SEP = r"(?i)FIELDS\s+TERMINATED\s+BY\s+'([^']+)'"
 _QUOTE = r"(?i)OPTIONALLY\s+ENCLOSED\s+BY\s+'([^']+)'"
@@ -104,7 +106,7 @@ def _measure(check: str, expected: str, field: T.StructField):
     if check == "max_nulls":
         return F.count_if(c.isNull()), number, no_text, within(number, limit, False)
     if check == "no_duplicates":
-        misses = F.count(c) - F.count_distinct(c)
+        misses = F.count(c)  # less the distinct values, which one shuffle counts for all such checks
     elif check == "sign":
         if kind not in ("int", "real"):  # has no sign: not measured
             return F.count(F.lit(1)), no_number, no_text, lambda x: F.lit(False)
@@ -129,12 +131,22 @@ def _one_pass(df: DataFrame, group: list, fields: dict, table: str) -> DataFrame
     stats = df.agg(F.count(F.lit(1)).alias("rows"), *plain)
     stats = stats.withColumns({f"a{i}": m[0](df) for i, m in enumerate(made) if callable(m[0])})
     entries = [
-        F.struct(F.lit(r["field"]).alias("field"), F.lit(r["check"]).alias("check"), F.lit(r["expected"]).alias("expected"),
+        F.struct(F.lit(i).alias("entry"), F.lit(r["field"]).alias("field"), F.lit(r["check"]).alias("check"), F.lit(r["expected"]).alias("expected"),
                  number(F.col(f"a{i}")).alias("actual"), text(F.col(f"a{i}")).alias("actual_text"),
                  F.coalesce(passes(F.col(f"a{i}")), F.lit(False)).alias("passes"))
         for i, (r, (_, number, text, passes)) in enumerate(zip(group, made, strict=True))
     ]
-    return stats.select(F.lit(table).alias("table_name"), F.inline(F.array(*entries)))
+    rows = stats.select(F.lit(table).alias("table_name"), F.inline(F.array(*entries)))
+    once = [i for i, r in enumerate(group) if r["check"] == "no_duplicates"]
+    if once:
+        columns = list(dict.fromkeys(group[i]["field"] for i in once))
+        of_entry = F.element_at(F.create_map(*[F.lit(x) for i in once for x in (i, columns.index(group[i]["field"]))]), F.col("entry"))
+        counts = distinct_counts(df, columns)
+        rows = rows.join(counts, F.when(F.col("entry").isin(once), of_entry) == F.col("column_no"), "left")
+        left = F.col("actual") - F.coalesce("distinct_count", F.lit(0))
+        rows = rows.withColumns({"actual": F.when(F.col("entry").isin(once), left).otherwise(F.col("actual")),
+                                 "passes": F.when(F.col("entry").isin(once), left == 0).otherwise(F.col("passes"))})
+    return rows.select("table_name", "field", "check", "expected", "actual", "actual_text", "passes")
 
 
 def verify_constraints(df: DataFrame, constraints: DataFrame, table: str) -> DataFrame:

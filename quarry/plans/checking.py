@@ -177,13 +177,22 @@ def quality_details(t):
 
 # --- Q6-Q10 ---------------------------------------------------------------------------
 
+# The columns of the given tables and the family of their types.
 PROFILE_TABLES = {
-    "customer": [("c_custkey", "int"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "float"),
-                 ("c_mktsegment", "string")],
-    "part": [("p_partkey", "int"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"),
-             ("p_size", "int"), ("p_retailprice", "float")],
-    "orders": [("o_orderkey", "int"), ("o_custkey", "int"), ("o_orderstatus", "string"), ("o_totalprice", "float"),
-               ("o_orderdate", "datetime"), ("o_orderpriority", "string")],
+    "region": "r_regionkey:int r_name:string",
+    "nation": "n_nationkey:int n_name:string n_regionkey:int",
+    "customer": "c_custkey:int c_name:string c_nationkey:int c_acctbal:float c_mktsegment:string",
+    "supplier": "s_suppkey:int s_name:string s_nationkey:int s_acctbal:float",
+    "part": "p_partkey:int p_name:string p_brand:string p_type:string p_size:int p_retailprice:float",
+    "orders": "o_orderkey:int o_custkey:int o_orderstatus:string o_totalprice:float o_orderdate:datetime o_orderpriority:string",
+    "lineitem": "l_orderkey:int l_partkey:int l_suppkey:int l_linenumber:int l_quantity:float l_extendedprice:float l_discount:float l_tax:float l_returnflag:string l_linestatus:string l_shipdate:datetime",
+    "events": "event_id:int ts:datetime user_id:int event_type:string value:float props:string",
+    "documents": "doc_id:int text:string lang:string source:string n_chars:int",
+    "embeddings": "vec_id:int embedding:other label:int",
+    "pages": "page_id:int url:string html:string",
+    "benchmark": "item_id:int text:string",
+    "labels": "doc_id:int quality:int toxic:int",
+    "conversations": "conv_id:int turn:int role:string text:string",
 }
 
 
@@ -200,13 +209,13 @@ def _suggest_sql(table: str, col: str, fam: str) -> str:
     elif fam == "float":
         s = f"CASE WHEN stddev_samp({col}) < 1e-3 THEN 'Float32' ELSE 'Float64' END"
     else:
-        s = "'DateTime'"
+        s = {"datetime": "'DateTime'", "bool": "'UInt8'"}.get(fam, "'String'")
     return (f"SELECT '{table}' AS table_name, '{col}' AS column_name, '{inferred}' AS inferred_type, "
             f"CASE WHEN count({col}) = 0 THEN 'String' ELSE {s} END AS suggested_type, count({col}) AS non_null "
             f"FROM {table}")
 
 
-SUGGEST_SQL = "\nUNION ALL ".join(_suggest_sql(tb, c, k) for tb, cols in PROFILE_TABLES.items() for c, k in cols)
+SUGGEST_SQL = "\nUNION ALL ".join(_suggest_sql(tb, *c.split(":")) for tb, cols in PROFILE_TABLES.items() for c in cols.split())
 
 
 def _suggest(t):
@@ -219,7 +228,7 @@ def _suggest(t):
 
 @query("suggest_types", SUGGEST_SQL)
 def suggest_types(t):
-    """Q6 on customer, part and orders (one aggregation pass per table)."""
+    """Q6 on every table (one aggregate and one shuffle of distinct text values per table)."""
     return _suggest(t)
 
 
