@@ -9,18 +9,13 @@ signature is its dart of least rank. Two texts agree in a coordinate with the pr
 their weighted Jaccard similarity. Texts with an empty coordinate throw again, twice as far.
 
 Bands of R coordinates are join keys. Texts with the same shingle set are one node. In each
-bucket every node is paired with the bucket's least node. Where a bucket's nodes are then
-still in different classes, they are grouped by the bucket's key and by that and a further
-band's, which brings the most similar together; groups are dealt into blocks of about BLOCK
-nodes by a hash, and nodes of one block and different classes are paired (all pairs, if a
-bucket is no larger than a block). These rounds join most of a family cheaply. What is left,
-the nodes of larger buckets that still hold several classes, is joined on its rarest
-shingles: two texts of the threshold's similarity share one among the first of each in the
-order of frequency, with as many shingles left as they need. So no bucket's pair goes
-untried, and shingles that a whole family shares are not join keys unless its texts are near
-the threshold. Pairs whose signatures agree too little to reach the threshold are left out;
-the rest are checked exactly on their shingle sets. Classes are the connected components of
-the links.
+bucket every node is paired with the bucket's least node; pairs whose signatures agree too
+little to reach the threshold are left out, the rest are checked exactly on their shingle
+sets. That joins most copies. Where a bucket's nodes are then still in different classes, all
+its pairs are tried inside tasks, which get every node once with its signature and set, skip
+pairs that are in one class already, and give links only. So no pair of a bucket goes untried,
+and no more rows are made than a bucket has nodes, but for buckets beyond a task's size, whose
+blocks meet two by two. Classes are the connected components of the links.
 
 Defined results: a text without words (null, empty, blank) is a class of its own. A row
 with a null id has a null class and is kept. Rows that repeat an id are one document. An
@@ -35,22 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import U64, mix, stored, table, text_slices, words_of
+from quarry.llm.common import U64, drop_stored, mix, stored, table, text_slices, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, R = 20, 5
 K = BANDS * R
-BLOCK = 16
-#: rounds of pairs within buckets; in each, the bands whose keys split a bucket further
-STEPS = ((1, 2, 3), (4, 5, 6))
+#: nodes and bytes of shingle sets of a block; larger buckets are compared two blocks a task
+GROUP, GROUP_BYTES = 1024, 16 << 20
 #: a pair is checked if its K coordinates agree in this share (4.5 standard errors below THRESHOLD)
 ESTIMATE = 0.62
-#: texts that stand by one rare shingle in a salt; a shingle with more has several
-SALTED = 512
 #: bits of the filter that spares documents outside all pairs a shuffle
 BITS = 1 << 25
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(14)])
@@ -262,64 +254,92 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _block_pairs(shared: DataFrame, nodes: DataFrame, classes: DataFrame, steps: tuple[int, ...]) -> DataFrame:
-    """Pairs (a, b) to try in buckets that hold more than one class.
-
-    The nodes of such a bucket are grouped by the bucket's own key, and by it and the key of
-    the band some ``steps`` on, which brings the most similar together. A group is dealt into
-    blocks of about BLOCK nodes by a hash; nodes of one block and two classes are a pair."""
-    classed = stored(shared.select("key", "node").join(classes, "node"), "classed")
-    mixed = stored(classed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key"), "mixed")
-    own = nodes.select("node", "bands", F.posexplode("bands").alias("at", "key")).join(mixed, "key").join(classes, "node")
-    next_keys = [F.xxhash64("key", F.element_at("bands", (F.col("at") + d) % BANDS + 1)) for d in steps]
-    grouped = stored(own.select("node", "class", F.explode(F.array(F.xxhash64("key", F.lit(steps[0])), *next_keys)).alias("group")), "groups")
-    sizes = stored(grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("group", "n"), "sizes")
-    block = F.expr(f"xxhash64(group, pmod(xxhash64(node, group), cast(ceil(n / {BLOCK}) as bigint)))").alias("block")
-    blocks = stored(grouped.join(sizes, "group").select(block, "node", "class"), "blocks")
-    other = blocks.select("block", F.col("node").alias("b"), F.col("class").alias("class_b"))
-    return blocks.join(other, "block").where("node < b and class <> class_b").select(F.col("node").alias("a"), "b").distinct()
-
-
-def _rare_pairs(shared: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float, weights: str) -> DataFrame | None:
-    """Pairs (a, b) of different classes that can reach the threshold, among all nodes of
-    buckets larger than a block that hold more than one class; None without such buckets.
-
-    Sets of x <= y items with a similarity of t share at least t / (1 + t) * (x + y) of them.
-    So, in any one order of the items, the first that both hold has that many places from it
-    on in either set: it is among the first x - 2t / (1 + t) * x + 1 of the shorter set and
-    the first y - t * y + 1 of the longer. The order is by frequency, the rarest first."""
-    classed = shared.select("key", "node").join(classes, "node")
-    mixed = stored(classed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n")).where(f"lo <> hi and n > {BLOCK}").select("key"), "untested")
-    crowd = stored(shared.select("key", "node").join(mixed, "key").select("node").distinct().join(classes, "node"), "crowd")
-    if not crowd.limit(1).count():
-        return None
-    items = _items(crowd.select(F.col("node").alias("doc_id")), docs, weights).join(crowd, "node")
-
-    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per item; rows that repeat an id are texts of their own."""
-        for batch in batches:
-            for i in range(len(batch)):
-                item = np.frombuffer(batch.column(1)[i].as_buffer(), "<u4").astype(np.int64)
-                text = int(mix(np.array([mix(item.astype(U64) + U64(1)).sum(dtype=U64)])).view(np.int64)[0])
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(np.full(len(item), x, np.int64)) for x in (text, batch.column(0)[i].as_py(), batch.column(2)[i].as_py(), len(item))), pa.array(item)],
-                    ["text", "node", "class", "size", "item"],
-                )
+class Group:
+    """Nodes of one bucket (or of two of its blocks), compared here: links come out, not pairs."""
+
+    def __init__(self, band: int, node: np.ndarray, cls: np.ndarray, side: np.ndarray, signature: np.ndarray, items: list[np.ndarray], threshold: float):
+        self.band, self.node, self.cls, self.side, self.threshold = band, node, cls.copy(), side, threshold
+        self.signature, self.items = signature, items
+        self.size = np.array([len(i) for i in items])
+
+    def _similar(self, x: int, y: int) -> bool:
+        u, v = self.items[x], self.items[y]
+        shared = len(np.intersect1d(u, v, assume_unique=True))
+        return shared >= self.threshold * (len(u) + len(v) - shared)
+
+    def links(self) -> list[tuple[int, int]]:
+        """Links (a, b) that join all classes which the exact check joins; a pair already in one
+        class isn't tried, nor one whose first common bucket is another."""
+        found = []
+        for x in range(len(self.node) - 1):
+            rest = np.arange(x + 1, len(self.node))
+            rest = rest[self.cls[rest] != self.cls[x]]
+            if (self.side != self.side[0]).any():
+                rest = rest[self.side[rest] != self.side[x]]
+            rest = rest[np.minimum(self.size[rest], self.size[x]) >= self.threshold * np.maximum(self.size[rest], self.size[x])]
+            if not len(rest):
+                continue
+            same = self.signature[rest] == self.signature[x]
+            close = same.mean(axis=1)
+            ours = same.reshape(-1, BANDS, R).all(axis=2).argmax(axis=1) == self.band
+            order = np.flatnonzero((close >= ESTIMATE) & ours)
+            for y in rest[order[np.argsort(-close[order], kind="stable")]].tolist():
+                if self.cls[y] != self.cls[x] and self._similar(x, y):
+                    found.append((int(self.node[x]), int(self.node[y])))
+                    self.cls[self.cls == self.cls[y]] = self.cls[x]
+        return found
+
+
+def _bucket_links(shared: DataFrame, nodes: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float, weights: str, held: list[DataFrame]) -> DataFrame:
+    """Links between nodes of different classes that share a bucket, all its pairs tried.
+
+    A bucket whose nodes are still in several classes goes to a task with each node's signature
+    and shingle set. A bucket of more than GROUP nodes, or GROUP_BYTES of sets, is dealt into
+    blocks by a hash, and every two blocks meet in a task of their own: no task holds more than
+    two blocks, and no row is made per pair. (In a bucket of two, the first round has tried
+    the only pair.)"""
+    classed = shared.select("key", "band", "node").join(classes, "node")
+    mixed = classed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("key")
+    crowd = stored(classed.join(mixed, "key"), "crowd")
+    items = _items(crowd.select(F.col("node").alias("doc_id")).distinct(), docs, weights)
+    held += [crowd, items]
+    size = items.groupBy("node").agg(F.sum(F.octet_length("items")).alias("bytes"))
+    blocks = crowd.join(size, "node").groupBy("key").agg(F.expr(f"greatest(ceil(count(1) / {GROUP}), ceil(sum(bytes) / {GROUP_BYTES}))").alias("m"))
+    dealt = crowd.join(blocks, "key").withColumn("own", F.expr("pmod(xxhash64(node, key), m)"))
+    met = dealt.withColumn("other", F.explode(F.expr("sequence(0L, m - 1)"))).select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "node", "class", (F.col("own") > F.col("other")).alias("side"))
+    rows = met.join(nodes.select("node", "signature"), "node").join(items, "node")
+    grouped = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
 
-    fields = "text bigint, node bigint, class bigint, size bigint, item bigint"
-    rows = stored(items.select("node", "items", "class").mapInArrow(spelled, fields), "items")
-    often = stored(rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")), "frequencies")
-    place = F.row_number().over(Window.partitionBy("node", "text").orderBy("n", "item"))
-    # a little lower than the bounds, so that rounding loses nothing
-    first = rows.join(often, "item").withColumn("place", place).where(f"n > 1 and place <= size - ceil({threshold} * size - 1e-6) + 1")
-    first = stored(first.withColumn("salts", F.expr(f"cast(ceil(n / {SALTED}) as int)")).drop("n"), "rare")
-    short = first.where(f"place <= size - ceil({2 * threshold / (1 + threshold)} * size - 1e-6) + 1").select(
-        "item", F.expr("pmod(xxhash64(node, item), salts)").alias("salt"), F.col("node").alias("a"), F.col("class").alias("ca"), F.col("size").alias("x"), F.col("place").alias("i"))
-    long = first.withColumn("salt", F.explode(F.expr("sequence(0L, cast(salts - 1 as bigint))"))).select(
-        "item", "salt", F.col("node").alias("b"), F.col("class").alias("cb"), F.col("size").alias("y"), F.col("place").alias("j"))
-    share = f"ceil({threshold / (1 + threshold)} * (x + y) - 1e-6)"
-    both = long.join(short, ["item", "salt"]).where(f"ca <> cb and x <= y and (x < y or a < b) and x >= {threshold} * y - 1e-6 and x - i + 1 >= {share} and y - j + 1 >= {share}")
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+        last: tuple | None = None
+
+        def done() -> pa.RecordBatch:
+            t = pa.Table.from_batches(parts)
+            column = {n: t.column(n).combine_chunks() for n in ("band", "node", "class", "side", "signature", "items")}
+            signature = np.frombuffer(b"".join(column["signature"].to_pylist()), "<u2").reshape(-1, K)
+            sets = [np.frombuffer(x, "<u4") for x in column["items"].to_pylist()]
+            group = Group(column["band"][0].as_py(), column["node"].to_numpy(), column["class"].to_numpy(), column["side"].to_numpy(zero_copy_only=False), signature, sets, threshold)
+            links = group.links()
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = np.stack([batch.column(n).to_numpy() for n in ("key", "i", "j")], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+            for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                own = tuple(keys[start].tolist())
+                if last is not None and own != last:
+                    yield done()
+                    parts.clear()
+                last = own
+                parts.append(batch.slice(start, stop - start))
+        if parts:
+            yield done()
+
+    return grouped.mapInArrow(run, "a bigint, b bigint")
 
 
 def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -347,22 +367,23 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "
         .groupBy("node").agg(F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature")),
         "nodes",
     )
-    rows = stored(nodes.select("node", F.explode("bands").alias("key")), "bands")
+    rows = stored(nodes.select("node", F.posexplode("bands").alias("band", "key")), "bands")
     buckets = stored(rows.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    shared = stored(rows.join(buckets, "key").select("key", "least", "node"), "shared-bands")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        return stored(exact_links(stored(_agreeing(pairs, nodes), "pairs"), named, threshold, weights), "links")
+    shared = stored(rows.join(buckets, "key").select("key", "band", "least", "node"), "shared-bands")
+    held = [sketched, heads, members, nodes, rows, buckets, shared]
 
     first = shared.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    classes = _merged(nodes.select("node", F.col("node").alias("class")), linked(first))
-    for steps in STEPS:
-        classes = _merged(classes, linked(_block_pairs(shared, nodes, classes, steps)))
-    rare = _rare_pairs(shared, classes, named, threshold, weights)
-    if rare is not None:
-        classes = _merged(classes, linked(rare))
+    agreeing = stored(_agreeing(first, nodes), "pairs")
+    links = stored(exact_links(agreeing, named, threshold, weights), "links")
+    classes = _merged(nodes.select("node", F.col("node").alias("class")), links)
+    more = stored(_bucket_links(shared, nodes, classes, named, threshold, weights, held), "links")
+    held += [agreeing, links, classes, more]
+    classes = _merged(classes, more)
+    held.append(classes)
 
     of_doc = stored(members.join(classes, "node").groupBy("doc_id").agg(F.min("class").alias("class_id")), "classes")
+    for frame in held:  # the result needs none of them
+        drop_stored(frame)
     ids = plain.select("doc_id").join(of_doc, "doc_id", "left")
     class_id = F.coalesce("class_id", "doc_id")
     return ids.select("doc_id", class_id.alias("class_id"), class_id.eqNullSafe(F.col("doc_id")).alias("kept"))
