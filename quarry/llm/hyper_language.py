@@ -31,6 +31,8 @@ from quarry.llm.toxicity import held_out
 DIMENSIONS = 1024
 #: bytes, rows and distinct trigrams worked on at a time
 SLICE, ROWS, KINDS = 1 << 20, 128, 8192
+#: letters whose vectors are kept between batches
+HELD = 4096
 _LETTERS: list[np.ndarray] = []
 
 
@@ -49,17 +51,22 @@ class Trigrams:
 
     def __init__(self, dimensions: int):
         self.dimensions = dimensions
-        self.rolled: dict[int, list[np.ndarray]] = {}
-
-    def _letters(self, codes: np.ndarray, turn: int) -> np.ndarray:
-        for code in codes.tolist():
-            if code not in self.rolled:
-                if len(self.rolled) >= 4096:
-                    self.rolled.clear()
-                    return self._letters(codes, turn)
+        self.known: dict[int, np.ndarray] = {}
+
+    def _letters(self, codes: np.ndarray) -> np.ndarray:
+        """Vectors of some letters, a row each. Those of earlier batches are kept while they
+        are few; a batch with very many letters needs only room for its own."""
+        if len(self.known) > HELD:
+            self.known.clear()
+        out = np.empty((len(codes), self.dimensions), np.int8)
+        for i, code in enumerate(codes.tolist()):
+            v = self.known.get(code)
+            if v is None:
                 v = letter_vector(code, self.dimensions)
-                self.rolled[code] = [v, np.roll(v, 1), np.roll(v, 2)]
-        return np.stack([self.rolled[code][turn] for code in codes.tolist()])
+                if len(self.known) <= HELD:
+                    self.known[code] = v
+            out[i] = v
+        return out
 
     def documents(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(sums of trigram vectors, whether the text has a letter), one row per text."""
@@ -88,7 +95,9 @@ class Trigrams:
             lo, hi = np.searchsorted(which, (first, first + KINDS))
             counts = np.bincount(rows[lo:hi] * len(some) + which[lo:hi] - first, minlength=len(strings) * len(some))
             a, b, c = some // (width * width), some // width % width, some % width
-            vectors = self._letters(letters, 2)[a] * self._letters(letters, 1)[b] * self._letters(letters, 0)[c]
+            used, at = np.unique(np.concatenate((a, b, c)), return_inverse=True)  # at most three letters a trigram
+            plain, (a, b, c) = self._letters(letters[used]), at.reshape(3, -1)
+            vectors = np.roll(plain, 2, axis=1)[a] * np.roll(plain, 1, axis=1)[b] * plain[c]
             # whole numbers below 2**24 are exact in single precision
             sums += counts.reshape(len(strings), len(some)).astype(np.float32) @ vectors.astype(np.float32)
         return sums, has
