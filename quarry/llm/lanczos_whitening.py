@@ -13,8 +13,8 @@ the driver holds, so X p stands orthogonal to all u's once p is corrected by the
 coefficients are (Xᵀ u_j)·p, known from earlier steps, and are taken once more from inner
 products measured in the pass itself.
 
-The steps end when the wanted singular triplets have settled to rounding, or the v's span the
-space. A start vector can miss a further direction of a repeated singular value. So if the v's
+The steps end when the wanted singular triplets have settled to rounding in the first half of
+the space, or the v's span it. A start vector can miss a further direction of a repeated singular value. So if the v's
 don't span the space, a second run from a new start, orthogonal to what was found, must find
 nothing larger; what it finds is taken in, and another run follows.
 
@@ -181,7 +181,8 @@ def bidiagonalise(products: Callable[[np.ndarray, np.ndarray], tuple[float, np.n
         if spanned:
             return values[:wanted], vectors[:wanted], True
         settled = residual <= SETTLED * max(values[0], floor)
-        if not ended and len(values) >= wanted and (settled[:wanted].all() or (settled[0] and values[0] < floor)):
+        early = len(locked) > 0 or 2 * len(steps.v) <= room  # later, spanning the space is cheaper than another run
+        if early and not ended and len(values) >= wanted and (settled[:wanted].all() or (settled[0] and values[0] < floor)):
             return values[:wanted], vectors[:wanted], False
 
 
