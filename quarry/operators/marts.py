@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.operators.ingest import rank_within
+from quarry.session import scratch_path
 from quarry.sources import sinks
 
 LOG_SCHEMA = (
@@ -122,14 +124,31 @@ class ChunkedInsert:
 
     The ledger has a row per chunk of the range, empty ones too, and one with a NULL id for
     rows whose key is NULL: the rows, and the attempt that wrote them. Chunks are counted
-    from the least key that the first attempt met."""
+    from the least key that the first attempt met.
+
+    Several columns make a grid (M6): a chunk is a cell, its id the columns' chunk numbers
+    joined by ``_``, and the ledger has the cells that hold rows."""
 
     KEY = "_chunk"
-    LEDGER = "chunk_id bigint, rows bigint, attempt int"
 
-    def __init__(self, spark: SparkSession, folder: str, col: str, size: int):
-        self.spark, self.folder, self.col, self.size = spark, folder.rstrip("/"), col, size
+    def __init__(self, spark: SparkSession, folder: str, cols: str | Sequence[str], size: int):
+        self.spark, self.folder, self.size = spark, folder.rstrip("/"), size
+        self.cols = parse_columns(cols) if isinstance(cols, str) else list(cols)
         self.data = f"{self.folder}/data"
+        self.kind = "bigint" if len(self.cols) == 1 else "string"
+        self.LEDGER = f"chunk_id {self.kind}, rows bigint, attempt int"
+
+    def _least(self, df: DataFrame, plans: list) -> list:
+        """Each column's least key: that of the first attempt, where it met one."""
+        now = None
+        if not plans or None in plans[0].lo:
+            now = [lo for lo, _ in _bounds(df, self.cols)]
+        return [now[i] if not plans or plans[0].lo[i] is None else plans[0].lo[i] for i in range(len(self.cols))]
+
+    def _tagged(self, df: DataFrame, lo: list) -> DataFrame:
+        ids = [_chunks_in(df, c, self.size, F.lit(v).cast(df.schema[c].dataType)) for c, v in zip(self.cols, lo, strict=True)]
+        cell = F.concat(*[i.cast("string") if n == 0 else F.concat(F.lit("_"), i.cast("string")) for n, i in enumerate(ids)])
+        return df.withColumn(self.KEY, ids[0] if len(ids) == 1 else cell)
 
     def _plans(self) -> list:
         """The attempts so far: attempt, lo."""
@@ -137,7 +156,7 @@ class ChunkedInsert:
         return self.spark.read.parquet(path).orderBy("attempt").collect() if sinks.exists(self.spark, path) else []
 
     def _held(self, schema: T.StructType) -> DataFrame:
-        return self.spark.read.schema(T.StructType([*schema.fields, T.StructField(self.KEY, T.LongType())])).parquet(self.data)
+        return self.spark.read.schema(T.StructType([*schema.fields, T.StructField(self.KEY, T.LongType() if self.kind == "bigint" else T.StringType())])).parquet(self.data)
 
     def _content(self, df: DataFrame, names: Sequence[str]) -> DataFrame:
         row = F.xxhash64(*[F.col(f"`{n}`") for n in names]).cast("decimal(38,0)")
@@ -172,10 +191,10 @@ class ChunkedInsert:
         attempt = len(plans) + 1
         if self.KEY in names:
             raise ValueError(f"a mart can't have a column {self.KEY}")
-        lo = plans[0].lo if plans and plans[0].lo is not None else _bounds(df, [self.col])[0][0]
-        kind = df.schema[self.col].dataType.simpleString()
-        self.spark.createDataFrame([(attempt, lo)], f"attempt int, lo {kind}").write.mode("append").parquet(f"{self.folder}/attempts")
-        tagged = df.withColumn(self.KEY, _chunks_in(df, self.col, self.size, F.lit(lo).cast(kind)))
+        lo = self._least(df, plans)
+        kinds = ", ".join(f"_{i}: {df.schema[c].dataType.simpleString()}" for i, c in enumerate(self.cols))
+        self.spark.createDataFrame([(attempt, tuple(lo))], f"attempt int, lo struct<{kinds}>").write.mode("append").parquet(f"{self.folder}/attempts")
+        tagged = self._tagged(df, lo)
         todo, done = tagged, None
         if plans and sinks.exists(self.spark, self.data):
             done = self.settle(tagged, names, df.schema, attempt)
@@ -184,22 +203,26 @@ class ChunkedInsert:
          .option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(self.data))
         return self._commit(df, lo, done, attempt)
 
-    def _commit(self, df: DataFrame, lo, done: DataFrame | None, attempt: int) -> DataFrame:
-        """All chunks are written: the ledger of them, empty ones included."""
+    def _commit(self, df: DataFrame, lo: list, done: DataFrame | None, attempt: int) -> DataFrame:
+        """All chunks are written: the ledger of them, of one column with the empty ones."""
         rows = self._held(df.schema).groupBy(F.col(self.KEY).alias("chunk_id")).agg(F.count(F.lit(1)).alias("rows"))
         before = done if done is not None else self.spark.createDataFrame([], self.LEDGER)
         before = before.select(F.col("chunk_id").alias("old"), F.col("attempt").alias("by"))
         counted = rows.join(before, F.col("chunk_id").eqNullSafe(F.col("old")), "left").select("chunk_id", "rows", F.coalesce("by", F.lit(attempt)).alias("attempt"))
-        path = f"{self.folder}/counted/v={attempt}"
-        counted.write.mode("overwrite").parquet(path)
-        counted = self.spark.read.schema(self.LEDGER).parquet(path)
-        first, last = counted.agg(F.min("chunk_id"), F.max("chunk_id")).first()
-        ids = self.spark.range(first or 0, (first or 0) if last is None else last + 1).withColumnRenamed("id", "chunk_id")
-        empty = ids.join(counted, "chunk_id", "left_anti").select("chunk_id", F.lit(0).cast("bigint").alias("rows"), F.lit(attempt).alias("attempt"))
-        self._write_ledger(counted.unionByName(empty), attempt)
-        start = F.lit(lo) + F.col("chunk_id") * self.size
-        kind = df.schema[self.col].dataType
-        return self._old_ledger(attempt).select("chunk_id", start.cast(kind).alias("chunk_start"), (start + self.size).cast(kind).alias("chunk_end"), "rows", "attempt")
+        if len(self.cols) == 1:
+            path = f"{self.folder}/counted/v={attempt}"
+            counted.write.mode("overwrite").parquet(path)
+            counted = self.spark.read.schema(self.LEDGER).parquet(path)
+            first, last = counted.agg(F.min("chunk_id"), F.max("chunk_id")).first()
+            ids = self.spark.range(first or 0, (first or 0) if last is None else last + 1).withColumnRenamed("id", "chunk_id")
+            counted = counted.unionByName(ids.join(counted, "chunk_id", "left_anti").select("chunk_id", F.lit(0).cast("bigint").alias("rows"), F.lit(attempt).alias("attempt")))
+        self._write_ledger(counted, attempt)
+        bounds = []
+        for i, (c, low) in enumerate(zip(self.cols, lo, strict=True)):
+            at, kind = F.col("chunk_id") if len(self.cols) == 1 else F.split("chunk_id", "_")[i].cast("bigint"), df.schema[c].dataType
+            name = "chunk" if len(self.cols) == 1 else c
+            bounds += [(F.lit(low) + at * self.size).cast(kind).alias(f"{name}_start"), (F.lit(low) + (at + 1) * self.size).cast(kind).alias(f"{name}_end")]
+        return self._old_ledger(attempt).select("chunk_id", *bounds, "rows", "attempt")
 
     def rows(self, schema: T.StructType) -> DataFrame:
         """The inserted rows, as they were before the chunk id was added."""
@@ -228,20 +251,52 @@ def chunk_grid(df: DataFrame, cols: Sequence[str], size: int) -> DataFrame:
     return out.drop("id")
 
 
-def grid_build_counts(df: DataFrame, cols: Sequence[str], size: int) -> DataFrame:
-    """M6: rows per grid cell, empty cells included with 0. Each row gets its cell from one
-    ``floor`` per column (bounds from one aggregate), then a grouped count is left-joined
-    from the cell list."""
-    tagged = df
-    for c, (lo, _) in zip(cols, _bounds(df, cols), strict=True):
-        low = F.lit(lo).cast(df.schema[c].dataType)
-        tagged = tagged.withColumn(f"{c}_start", (low + _chunks_in(df, c, size, low) * size).cast(df.schema[c].dataType))
-    keys = [f"{c}_start" for c in cols]
-    counts = tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    grid = chunk_grid(df, cols, size)
-    return grid.join(counts, keys, "left").select(
-        *grid.columns, F.coalesce(F.col("rows"), F.lit(0)).cast("bigint").alias("rows")
-    )
+def grid_boxes(df: DataFrame, cols: Sequence[str], size: int) -> DataFrame:
+    """M6: the grid as boxes with their rows: every cell that holds rows, and runs of empty
+    cells with 0. A run lies between two such cells of one line (the other columns' starts
+    equal) along the last column; lines without any rows are runs along the column before,
+    over the whole of the last one; and so on. So the boxes cover the grid exactly and their
+    number grows with the cells that hold rows, not with the product of the columns.
+
+    Rows with a NULL key are one row of NULL bounds. Bounds of all columns are one aggregate."""
+    bounds = _bounds(df, cols)
+    if None in [lo for lo, _ in bounds]:
+        bounds, df_cells = [], df.where("false")
+    else:
+        df_cells = df.where(" and ".join(f"`{c}` is not null" for c in cols))
+    spark, n = df.sparkSession, [int((hi - lo) // size) + 1 for lo, hi in bounds]
+    lows = [F.lit(lo).cast(df.schema[c].dataType) for c, (lo, _) in zip(cols, bounds)]
+    ids = [f"i{d}" for d in range(len(cols))]
+
+    def box(first: list[Column], last: list[Column], rows: Column) -> list[Column]:
+        out = []
+        for c, low, a, b in zip(cols, lows, first, last):
+            kind = df.schema[c].dataType
+            out += [(low + a * size).cast(kind).alias(f"{c}_start"), (low + (b + 1) * size).cast(kind).alias(f"{c}_end")]
+        return [*out, rows.cast("bigint").alias("rows")]
+
+    nulls = df.where(" or ".join(f"`{c}` is null" for c in cols)).groupBy().agg(F.count(F.lit(1)).alias("rows")).where("rows > 0")
+    bare = [F.lit(None).cast(df.schema[c].dataType).alias(f"{c}_{e}") for c in cols for e in ("start", "end")]
+    out = nulls.select(*bare, "rows")
+    if not bounds:
+        return out
+    path = scratch_path(spark, "cells")
+    df_cells.select(*[_chunks_in(df, c, size, low).alias(i) for c, low, i in zip(cols, lows, ids)]).groupBy(*ids).agg(F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    cells = spark.read.parquet(path)
+    at = [F.col(i) for i in ids]
+    out = cells.select(*box(at, at, F.col("rows"))).unionByName(out)
+    for d, count in enumerate(n):
+        line = F.concat_ws("_", *ids[:d]) if d else F.lit("")
+        held = cells.select(*ids[: d + 1]).distinct().select(*ids[:d], line.alias("line"), F.col(ids[d]).cast("bigint").alias("at"))
+        ends = held.drop("at").distinct().select("*", F.explode(F.array(F.lit(-1).cast("bigint"), F.lit(count).cast("bigint"))).alias("at"))
+        ranked = rank_within(held.unionByName(ends), "line", "at")
+        after = ranked.select("line", (F.col("_rank") - 1).alias("_rank"), F.col("at").alias("next"))
+        gaps = ranked.join(after, ["line", "_rank"]).where("next - at > 1")
+        rest = n[d + 1 :]
+        first = [*at[:d], F.col("at") + 1, *[F.lit(0)] * len(rest)]
+        last = [*at[:d], F.col("next") - 1, *[F.lit(r - 1) for r in rest]]
+        out = out.unionByName(gaps.select(*box(first, last, F.lit(0))))
+    return out
 
 
 def run_log_row(spark: SparkSession, *, run_id: str, name: str, target: str, status: str, message: str,

@@ -120,18 +120,30 @@ def chunk_grid(t):
     return mt.chunk_grid(t.lineitem, mt.parse_columns("l_orderkey, l_partkey"), GRID_SIZE)
 
 
+CELL = 40  # small enough that some cells are empty
+
+
 @query(
     "chunk_grid_build",
-    "WITH" + GRID + """,
-    cells AS (
-      SELECT lo1 + CAST(floor((l_orderkey - lo1) / 500) AS BIGINT) * 500 AS l_orderkey_start,
-             lo2 + CAST(floor((l_partkey - lo2) / 500) AS BIGINT) * 500 AS l_partkey_start, count(*) AS rows
-      FROM lineitem, b GROUP BY ALL)
-    SELECT g.*, coalesce(c.rows, 0) AS rows FROM grid g LEFT JOIN cells c USING (l_orderkey_start, l_partkey_start)""",
+    f"""
+    WITH b AS (SELECT min(l_orderkey) AS lo1, max(l_orderkey) AS hi1, min(l_partkey) AS lo2, max(l_partkey) AS hi2 FROM lineitem),
+    n AS (SELECT lo1, lo2, (hi1 - lo1) // {CELL} + 1 AS n1, (hi2 - lo2) // {CELL} + 1 AS n2 FROM b),
+    cells AS (SELECT (l_orderkey - lo1) // {CELL} AS i, (l_partkey - lo2) // {CELL} AS j, count(*) AS rows FROM lineitem, n GROUP BY ALL),
+    in_line AS (SELECT i, j FROM cells UNION SELECT i, -1 FROM cells UNION SELECT i, n2 FROM cells, n),
+    after AS (SELECT i, j, lead(j) OVER (PARTITION BY i ORDER BY j) AS nj FROM in_line),
+    lines AS (SELECT DISTINCT i FROM cells UNION SELECT -1 UNION SELECT n1 FROM n),
+    next_line AS (SELECT i, lead(i) OVER (ORDER BY i) AS ni FROM lines),
+    boxes AS (
+      SELECT i AS i1, i AS i2, j AS j1, j AS j2, rows FROM cells
+      UNION ALL SELECT i, i, j + 1, nj - 1, 0 FROM after WHERE nj - j > 1
+      UNION ALL SELECT i + 1, ni - 1, 0, n2 - 1, 0 FROM next_line, n WHERE ni - i > 1)
+    SELECT lo1 + i1 * {CELL} AS l_orderkey_start, lo1 + (i2 + 1) * {CELL} AS l_orderkey_end,
+           lo2 + j1 * {CELL} AS l_partkey_start, lo2 + (j2 + 1) * {CELL} AS l_partkey_end, rows
+    FROM boxes, n""",
 )
 def chunk_grid_build(t):
-    """M6: rows per grid cell, empty cells with 0."""
-    return mt.grid_build_counts(t.lineitem, GRID_COLS, GRID_SIZE)
+    """M6: rows per occupied grid cell, and the runs of empty cells between them."""
+    return mt.grid_boxes(t.lineitem, GRID_COLS, CELL)
 
 
 def _run_urgent(t):

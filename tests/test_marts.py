@@ -82,9 +82,35 @@ def test_a_mart_run_resumes_and_then_switches_the_target(spark):
         assert spark.table(append["target_table"]).count() == n
 
 
-def test_a_grid_is_the_product_of_its_columns(spark):
-    df = spark.createDataFrame([(0, 5), (7, 6), (23, 30), (None, 1)], "a int, b bigint")
-    grid = mt.grid_build_counts(df, ["a", "b"], 10).collect()
-    assert len(grid) == 3 * 3 and sum(r.rows for r in grid) == 3
-    assert {(r.a_start, r.a_end) for r in grid} == {(0, 10), (10, 20), (20, 30)} and {r.b_start for r in grid} == {1, 11, 21}
-    assert mt.chunk_grid(df.where("false"), ["a", "b"], 10).count() == 0
+def test_grid_boxes_cover_the_grid(spark):
+    points = [(0, 5), (7, 6), (23, 30), (23, 91), (95, 5), (95, 6), (None, 1), (3, None)]
+    df = spark.createDataFrame(points, "a int, b bigint")
+    assert mt.chunk_grid(df, ["a", "b"], 10).count() == 10 * 10 and mt.chunk_grid(df.where("false"), ["a", "b"], 10).count() == 0
+    boxes = mt.grid_boxes(df, ["a", "b"], 10).collect()
+    covered = {}
+    for r in boxes:
+        if r.a_start is not None:
+            for x in range(r.a_start, r.a_end, 10):
+                for y in range(r.b_start, r.b_end, 10):
+                    assert (x, y) not in covered
+                    covered[x, y] = r.rows
+    want = {(x, y): 0 for x in range(0, 100, 10) for y in range(1, 101, 10)}
+    for a, b in points:
+        if a is not None and b is not None:
+            want[a // 10 * 10, (b - 1) // 10 * 10 + 1] += 1
+    assert covered == want and [r.rows for r in boxes if r.a_start is None] == [2]
+    assert len(boxes) <= 4 * 3 + 3  # follows the four cells that hold rows, not the hundred
+    assert mt.grid_boxes(df.where("false"), ["a", "b"], 10).count() == 0
+    wide = spark.createDataFrame([(0, 0, 0), (10**12, 10**12, 10**12)], "a bigint, b bigint, c bigint")
+    assert mt.grid_boxes(wide, ["a", "b", "c"], 1).count() < 20
+
+
+def test_a_grid_is_inserted_cell_by_cell(spark):
+    df = spark.range(300).select((F.col("id") % 30).alias("a"), F.when(F.col("id") != 7, F.col("id") % 7).cast("int").alias("b"), "id")
+    insert = mt.ChunkedInsert(spark, scratch_path(spark, "m6"), "a, b", 10)
+    ledger = {r.chunk_id: r for r in insert.run(df).collect()}
+    assert {i: (r.rows, r.attempt) for i, r in ledger.items()} == {"0_0": (99, 1), "1_0": (100, 1), "2_0": (100, 1), None: (1, 1)}
+    assert (ledger["2_0"].a_start, ledger["2_0"].a_end, ledger["2_0"].b_start, ledger["2_0"].b_end) == (20, 30, 0, 10)
+    mt.sinks._remove(spark, f"{insert.data}/_chunk=1_0")
+    assert {r.chunk_id: r.attempt for r in insert.run(df).collect()} == {"0_0": 1, "1_0": 2, "2_0": 1, None: 1}
+    assert _rows(insert.rows(df.schema)) == _rows(df)
