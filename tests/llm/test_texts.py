@@ -6,6 +6,7 @@ import uuid
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -127,6 +128,38 @@ def test_language_on_held_out_documents(spark):
     assert guessed.where("score < 0 or score > 1").count() == 0
 
 
+def test_language_prediction_matches_plain_vectors(spark):
+    rng = np.random.default_rng(8)
+    docs = [(i, " ".join("".join(rng.choice(list("abcdeé" if i % 2 else "defghß"), 5)) for _ in range(30)), "xy"[i % 2]) for i in range(24)]
+    d = hyper_language.DIMENSIONS
+
+    def vector(text):
+        t = [ord(c) if c.isalpha() else 0 for c in f" {text.lower()} "]
+        v = {c: hyper_language.letter_vector(c, d).astype(int) for c in set(t)}
+        return sum(np.roll(v[a], 2) * np.roll(v[b], 1) * v[c] for a, b, c in zip(t, t[1:], t[2:]))
+
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    learned = hyper_language.train(df.where("doc_id < 16"))
+    plain = {lang: sum(vector(t) for i, t, l in docs if i < 16 and l == lang) for lang in "xy"}
+    assert all((learned[lang] == plain[lang]).all() for lang in "xy")
+    for r in hyper_language.predict(df, learned).collect():
+        own = vector(docs[r.doc_id][1])
+        cosine = {lang: own @ p / np.linalg.norm(own) / np.linalg.norm(p) for lang, p in plain.items()}
+        assert r.lang_pred == max(sorted(cosine), key=cosine.get) == docs[r.doc_id][2] and abs(r.score - max(cosine.values())) < 1e-5
+
+
+def test_texts_of_very_many_letters(spark):
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha()]
+    assert len(letters) > 100_000
+    df = spark.createDataFrame([(1, "".join(letters[:20_000]), "many"), (2, "abc def " * 9, "few"), (3, " ".join(letters[20_000:40_000]), "many")], "doc_id bigint, text string, lang string")
+    learned = hyper_language.train(df)
+    assert {r.doc_id: r.lang_pred for r in hyper_language.predict(df, learned).collect()} == {1: "many", 2: "few", 3: "many"}
+    held = hyper_language.Trigrams(64)
+    held.documents(pa.array(["".join(letters[:9000])]))
+    again = held.documents(pa.array(["xyz"]))[0]
+    assert (again == hyper_language.Trigrams(64).documents(pa.array(["xyz"]))[0]).all() and len(held.known) <= hyper_language.HELD + 1
+
+
 def test_language_defined_cases(spark, odd_documents, no_documents):
     learned = hyper_language.train(odd_documents)
     assert set(learned) == {"en", "fr"}  # the German rows have no letters
@@ -139,8 +172,6 @@ def test_language_defined_cases(spark, odd_documents, no_documents):
 
 
 def test_trigram_vectors_are_bound_and_permuted():
-    import pyarrow as pa
-
     d = 64
     got, has = hyper_language.Trigrams(d).documents(pa.array(["ab", "", "1"]))
     a, b, blank = (hyper_language.letter_vector(c, d).astype(int) for c in (ord("a"), ord("b"), 0))
@@ -202,12 +233,16 @@ def test_index_over_batches(spark, odd_documents, no_documents):
     first = {(r.doc_id, r.kept, r.group_size) for r in digest_index.mark_duplicates(odd_documents, index).collect()}
     assert {(2, True, 3), (1, False, 3), (4, True, 3), (3, False, 3), (None, False, 3), (7, True, 2), (6, False, 2)} <= first
     assert index.read().count() == index.read().select("digest").distinct().count() == 10
-    second = digest_index.mark_duplicates(odd_documents.where("doc_id in (1, 9)").unionByName(odd_documents.limit(0)), index)
-    assert second.where("kept").count() == 0 and index.read().count() == 10
+    again = odd_documents.where("doc_id in (1, 9)").unionByName(odd_documents.limit(0))
+    for _ in range(2):  # a rerun of a batch is told the same and adds nothing
+        second = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in digest_index.mark_duplicates(again, index, batch=1).collect()}
+        assert second == {(1, 2, 5, False), (9, 9, 2, False)}  # keep_id names the row that stayed, sizes add up
+        assert index.groups().count() == 10 and index.read().count() == 12
     assert digest_index.mark_duplicates(no_documents, index).count() == 0
     more = spark.createDataFrame([(50, "new text"), (51, "NEW text"), (52, "x")], "doc_id bigint, text string")
-    assert {(r.doc_id, r.kept) for r in digest_index.mark_duplicates(more, index).collect()} == {(50, False), (51, True), (52, False)}
-    plan = index.unseen(digest_index.digest_groups(digest_index.hashed(more)))._jdf.queryExecution().toString()
+    for _ in range(2):
+        assert {(r.doc_id, r.kept) for r in digest_index.mark_duplicates(more, index, batch=2).collect()} == {(50, False), (51, True), (52, False)}
+    plan = index.unseen(digest_index.digest_groups(digest_index.hashed(more)), 3)._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan and "Bucketed: true" in plan
     index.drop()
 
