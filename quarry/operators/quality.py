@@ -1,14 +1,15 @@
 """Delimited files and data-quality checks (Q1-Q5).
 
 ``verify_constraints`` turns the constraint rows into aggregates over the table
-(partial per task) and unpivots them to one row per constraint row.
+(partial per task) and unpivots them to one row per constraint row; distinct counts and
+bounds on text, which have no hash aggregate, are a pass each for all columns together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,8 +64,8 @@ def _kind_of(dt: T.DataType) -> str:
 
 
 def _measure(check: str, expected: str, field: T.StructField):
-    """(aggregate, or a function of the table that gives a subquery, and functions of its
-    value: measured number, measured text, verdict).
+    """(aggregate, or min or max where it is a bound on text, and functions of its value:
+    measured number, measured text, verdict).
 
     Bounds compare in the field's own type: numbers as numbers, dates as dates, other values
     as text. Counts of misses must be 0 (``max_nulls``: within the limit)."""
@@ -97,9 +98,8 @@ def _measure(check: str, expected: str, field: T.StructField):
             bound = F.lit(expected).try_cast("timestamp_ntz")
             return (best, no_number, lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss"),
                     within(lambda x: x.cast("timestamp_ntz"), bound, low))
-        # the least or greatest text: a take-ordered subquery, as an aggregate over text can't hash
-        first = c.asc() if low else c.desc()
-        return (lambda df: df.where(c.isNotNull()).select(c).orderBy(first).limit(1).scalar()), no_number, text, within(text, F.lit(expected), low)
+        # the least or greatest text comes from _text_bounds: an aggregate over text can't hash
+        return check, no_number, no_text, lambda x: F.lit(None).cast("boolean")
     if check in ("min_length", "max_length"):
         low, size = check == "min_length", F.length(c.cast("string"))
         return F.min(size) if low else F.max(size), number, no_text, within(number, limit, low)
@@ -125,11 +125,21 @@ def _measure(check: str, expected: str, field: T.StructField):
 RESULT_SCHEMA = "table_name string, field string, check string, expected string, actual double, actual_text string, passes boolean"
 
 
+def _text_bounds(df: DataFrame, columns: dict[int, str], check: str) -> DataFrame:
+    """``entry, bound``: the least (``min``) or greatest text of each entry's column, for all of
+    them in one pass. Every task keeps one value per entry before the shuffle."""
+    cells = [F.struct(F.lit(i).alias("entry"), F.col(f"`{c}`").cast("string").alias("bound")) for i, c in columns.items()]
+    order = F.col("bound").asc() if check == "min" else F.col("bound").desc()
+    first = F.row_number().over(Window.partitionBy("entry").orderBy(order))
+    return df.select(F.inline(F.array(*cells))).where("bound is not null").withColumn("_place", first).where("_place = 1").drop("_place")
+
+
 def _one_pass(df: DataFrame, group: list, fields: dict, table: str) -> DataFrame:
     made = [_measure(r["check"], r["expected"], fields[r["field"]]) for r in group]
-    plain = [m[0].alias(f"a{i}") for i, m in enumerate(made) if not callable(m[0])]
+    bounds = {i: m[0] for i, m in enumerate(made) if isinstance(m[0], str)}
+    plain = [m[0].alias(f"a{i}") for i, m in enumerate(made) if i not in bounds]
     stats = df.agg(F.count(F.lit(1)).alias("rows"), *plain)
-    stats = stats.withColumns({f"a{i}": m[0](df) for i, m in enumerate(made) if callable(m[0])})
+    stats = stats.withColumns({f"a{i}": F.lit(None).cast("string") for i in bounds}) if bounds else stats
     entries = [
         F.struct(F.lit(i).alias("entry"), F.lit(r["field"]).alias("field"), F.lit(r["check"]).alias("check"), F.lit(r["expected"]).alias("expected"),
                  number(F.col(f"a{i}")).alias("actual"), text(F.col(f"a{i}")).alias("actual_text"),
@@ -146,6 +156,11 @@ def _one_pass(df: DataFrame, group: list, fields: dict, table: str) -> DataFrame
         left = F.col("actual") - F.coalesce("distinct_count", F.lit(0))
         rows = rows.withColumns({"actual": F.when(F.col("entry").isin(once), left).otherwise(F.col("actual")),
                                  "passes": F.when(F.col("entry").isin(once), left == 0).otherwise(F.col("passes"))})
+    for check in sorted(set(bounds.values())):
+        found = _text_bounds(df, {i: group[i]["field"] for i, c in bounds.items() if c == check}, check)
+        meets = F.col("bound") >= F.col("expected") if check == "min" else F.col("bound") <= F.col("expected")
+        rows = rows.join(found, "entry", "left").withColumns({
+            "actual_text": F.coalesce("bound", "actual_text"), "passes": F.coalesce(meets, F.col("passes"))}).drop("bound")
     return rows.select("table_name", "field", "check", "expected", "actual", "actual_text", "passes")
 
 

@@ -195,7 +195,7 @@ def test_chunk_ids_partition_rows_and_keep_nulls(spark):
 
 def test_grid_cells(spark):
     df = spark.createDataFrame([(1, 1), (9, 1)], "a long, b long")
-    cells = mt.grid_build_counts(df, ["a", "b"], 4).collect()
+    cells = mt.grid_boxes(df, ["a", "b"], 4).collect()
     assert len(cells) == 3 and sum(r.rows for r in cells) == 2
 
 
