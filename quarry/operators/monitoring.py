@@ -35,11 +35,21 @@ def upsert_thresholds(current: DataFrame, edits: DataFrame) -> DataFrame:
     return both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_p")
 
 
+#: rows up to which a list of settings is broadcast
+MOST_SETTINGS = 100_000
+
+
+def settings_side(settings: DataFrame) -> DataFrame:
+    """A join's side of settings: broadcast if it has at most MOST_SETTINGS rows, which is
+    counted first; a longer list is joined as the planner likes."""
+    return F.broadcast(settings) if settings.limit(MOST_SETTINGS + 1).count() <= MOST_SETTINGS else settings
+
+
 def with_thresholds(rows: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Attach warning/critical per name, 5/10 where no row exists. The
-    threshold table holds one row per feed name (the planner broadcasts it while it is small)."""
+    threshold table holds one row per feed name (broadcast while it is short)."""
     th = thresholds.select("name", "warning", "critical")
-    return rows.join(th, "name", "left").select(
+    return rows.join(settings_side(th), "name", "left").select(
         *[rows[c] for c in rows.columns],
         F.coalesce(th["warning"], F.lit(DEFAULT_WARNING)).alias("warning"),
         F.coalesce(th["critical"], F.lit(DEFAULT_CRITICAL)).alias("critical"),
@@ -154,14 +164,14 @@ def stream_freshness(streams: DataFrame, entries: DataFrame, as_of=None) -> Data
 
 
 def rule_breaches(metrics: DataFrame, rules: DataFrame) -> DataFrame:
-    """Join metric rows to their rule by name (rules: a config list, broadcast by the
-    planner while it is small). A rule with a text value breaches when the text matches that
+    """Join metric rows to their rule by name (rules: a config list, broadcast while
+    it is short). A rule with a text value breaches when the text matches that
     pattern; otherwise when value > rule value. ``(not in) X`` exempts category X."""
     r = rules.select(
         F.col("name"), F.col("value").alias("rule_value"), F.col("text_value").alias("rule_text"),
         F.col("category_filter"),
     )
-    j = metrics.join(r, "name", "inner")
+    j = metrics.join(settings_side(r), "name", "inner")
     exempt_cat = F.regexp_extract("category_filter", r"^\(not in\)\s*(.*)$", 1)
     exempt = (F.length(exempt_cat) > 0) & (F.col("category") == exempt_cat)
     has_text = F.coalesce(F.length("rule_text"), F.lit(0)) > 0

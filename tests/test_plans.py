@@ -59,3 +59,34 @@ def test_reference_time_is_a_subquery(static):
 def test_routing_is_a_projection(static):
     plan = _plan(static, "route_files")
     assert "rlike" in plan.lower() and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("name", ["suggest_types", "verify_constraints"])
+def test_distinct_counts_copy_no_rows(static, name):
+    assert "Expand" not in _plan(static, name)
+
+
+def test_layouts_prune_months_and_push_days(static, tmp_path):
+    from quarry.operators import layout as ly
+    from quarry.plans import fixtures as fx
+    from quarry.plans.building import RANGE
+    from quarry.sources.tables import Tables
+
+    paths = ly.write_layouts(fx.v_layout(Tables(static, SF_SMALL)), str(tmp_path))
+    for name, day, _ in ly.LAYOUTS:
+        plan = ly.range_count(static, name, paths[name], *RANGE)._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(month" in plan and f"GreaterThanOrEqual({day}" in plan, plan
+
+
+def test_a_hop_of_a_closure_is_joins_on_keys(static):
+    from pyspark.sql import functions as F
+
+    from quarry.operators import kv
+
+    rows = static.createDataFrame([("a.x", "b"), ("b.y", "a"), ("b.z", '["c", "a"]'), ("c.w", "none")], "key string, value string")
+    starts = rows.select(F.col("key").alias("start_key"))
+    for closure in (kv.related_closure, kv.reference_closure):
+        plan = closure(rows, starts)._jdf.queryExecution().executedPlan().toString()
+        assert not [f for f in FORBIDDEN if f in plan], plan
+    got = {(r.start_key, r.key) for r in kv.related_closure(rows, starts).collect()}
+    assert got == {(s, k) for s in ("a.x", "b.y", "b.z") for k in ("a.x", "b.y", "b.z", "c.w")} | {("c.w", "c.w")}
