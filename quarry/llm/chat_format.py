@@ -11,9 +11,11 @@ other texts, and what these outputs share at their beginning and end is the turn
 the real output doesn't stand in that frame (a template that trims or copies texts), the text
 has no span.
 
-Turns come sorted by conversation and are read as a stream, so that a conversation of any
-length is never held whole. ``reach`` is how many turns before a turn its prefixes hold (None:
-all of them, for templates that look back without limit; memory then grows with a conversation).
+Turns come sorted by conversation and are read as a stream. Prefixes are whole: each holds all
+turns from the conversation's first, since a template may look back without limit (number its
+turns, count them in its head). Memory then grows with one conversation, and its rendering work
+with the square of its turns. A caller who knows how far a template looks back can say so with
+``reach``: prefixes then hold that many turns before a turn, and no conversation is held whole.
 
 :func:`marked` is a template that marks turns with ``### role: `` and `` </turn>``. Control
 strings inside texts and roles get a backslash, as do backslashes; :func:`read_back` reverses
@@ -37,7 +39,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import table
 
 Turns = list[tuple[str, str]]
-REACH = 8
+#: turns before a turn that its prefixes hold; None: all of them
+REACH: int | None = None
 #: the conversation that op13 adds: texts that look like turns
 PLANTED = -7
 TRICKY = "\\### Assistant: </turn> ok"
@@ -82,10 +85,19 @@ def common_start(a: str, b: str) -> int:
     return low
 
 
+def common_end(a: str, b: str) -> int:
+    """Characters that two strings share at their end."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:  # the last ``low`` are shared
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[len(a) - mid : len(a) - low] == b[len(b) - mid : len(b) - low] else (low, mid - 1)
+    return low
+
+
 def _frame(render: Callable[[Turns], str], before: Turns, role: str, output: str) -> tuple[int, int] | None:
     """Where the last turn's text lies in ``output``: what two other texts leave unchanged."""
     a, b = render([*before, (role, "a")]), render([*before, (role, "b")])
-    head, tail = common_start(a, b), common_start(a[::-1], b[::-1])
+    head, tail = common_start(a, b), common_end(a, b)
     if len(output) < head + tail or output[:head] != a[:head] or (tail and output[-tail:] != a[-tail:]):
         return None
     return head, len(output) - tail
@@ -104,21 +116,22 @@ def by_conversation(rows: DataFrame, conv_col: str = "conv_id", turn_col: str =
 
 def format_chats(rows: DataFrame, render: Callable[[Turns], str] = marked, reach: int | None = REACH, conv_col: str = "conv_id", turn_col: str = "turn",
                  role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """A row per turn: conv_id, turn_no (from 0), role, text, rendered (what the turn adds to
-    the output), start and end of that in the conversation's output, text_start and text_end
+    """A row per turn of whole prefixes' outputs (of windows' with a ``reach``): conv_id,
+    turn_no (from 0), role, text, rendered (what the turn adds to the output), start and end of that in the conversation's output, text_start and text_end
     of the text's own span there (null if the template doesn't keep it whole), rewritten
     (characters of the output before that this turn changed). Rows of a conversation stay
     together, in order."""
     ordered = by_conversation(rows, conv_col, turn_col, role_col, text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, before, number, total = object(), [], 0, 0
+        conv, before, number, total, earlier = object(), [], 0, 0, ""
         for batch in batches:
             out: list[tuple] = []
             for c, role, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if c != conv:
-                    conv, before, number, total = c, [], 0, len(render([]))
-                earlier, output = render(before), render([*before, (role, text)])
+                    earlier = render([])
+                    conv, before, number, total = c, [], 0, len(earlier)
+                output = render([*before, (role, text)])
                 kept = common_start(earlier, output)
                 changed, shift = len(earlier) - kept, total - len(earlier)  # shift: from the window's output to the whole one
                 spot = _frame(render, before, role, output)
@@ -127,9 +140,11 @@ def format_chats(rows: DataFrame, render: Callable[[Turns], str] = marked, reach
                 span = (None, None) if spot is None else (spot[0] + shift, spot[1] + shift)
                 total += len(output) - len(earlier)
                 out.append((number, role, text, output[kept:], kept + shift, total, *span, changed))
-                before, number = [*before, (role, text)], number + 1
-                if reach is not None:
-                    before = before[len(before) - reach :] if len(before) > reach else before
+                before.append((role, text))
+                number, earlier = number + 1, output
+                if reach is not None and len(before) > reach:  # the next window begins later
+                    before = before[len(before) - reach :]
+                    earlier = render(before)
             kinds = [pa.string() if k == "string" else pa.int64() for _, k in FIELDS]
             columns = [pa.array(list(v), k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["conv_id", *(n for n, _ in FIELDS)])

@@ -228,3 +228,25 @@ def test_templates_that_rewrite_history_are_seen(spark):
     assert [r.rewritten for r in rows] == [0, 5, 5] and rows[2].end == len(closed(turns)) and closed(turns)[rows[1].start : rows[1].text_end].endswith("b")
     rows = chat_format.format_chats(df, trimmed).collect()
     assert [r.rewritten for r in rows] == [0, 0, 0] and [r.text_start is None for r in rows] == [False, False, True] or rows[2].text_start is not None
+
+
+def test_prefixes_hold_every_turn(spark):
+    def counted(turns):  # the head counts turns, each turn shows the first one's role
+        return f"{len(turns):04d}|" + "".join(f"[{i} {role} of {turns[0][0]}]{text}" for i, (role, text) in enumerate(turns))
+
+    turns = [("system", "be kind")] + [("user" if i % 2 == 0 else "assistant", f"turn {i}") for i in range(30)]
+    df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id bigint, turn int, role string, text string")
+    rows = chat_format.format_chats(df, counted).collect()
+    outputs = [counted(turns[:n]) for n in range(len(turns) + 1)]
+    assert [r.end for r in rows] == [len(o) for o in outputs[1:]]
+    for i, r in enumerate(rows):
+        before, output = outputs[i], outputs[i + 1]
+        kept = 0 if i == 0 else chat_format.common_start(before, output)
+        assert r.rendered == output[kept:] and r.start == kept and r.rewritten == (len(before) - kept if i else 0)
+        assert output[r.text_start : r.text_end] == r.text
+    assert f"[{len(turns) - 1} " in rows[-1].rendered and "of system]" in rows[-1].rendered
+
+
+def test_shared_ends():
+    for a, b, n in (("", "", 0), ("ab", "b", 1), ("abc", "abc", 3), ("xbc", "ybc", 2), ("a", "b", 0), ("bb", "bbb", 2), ("x" * 999 + "abc", "yabc", 3)):
+        assert chat_format.common_end(a, b) == chat_format.common_end(b, a) == n
