@@ -138,3 +138,35 @@ def test_a_run_of_failures_raises(spark):
         ist.run_incremental(spark, f"{base}/in", _rules(spark), f"{base}/out", f"{base}/ckpt", "2024-01-01 00:00:00")
     with pytest.raises(ValueError):
         ist.run_incremental(spark, f"{base}/in", _rules(spark), f"{base}/out", f"{base}/ckpt", "2024-01-01 00:00:00", postprocess="shred")
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Joins as they are planned when no side is known to be small."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
+def _largest_share(rows):
+    counts = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    return max(counts) / sum(counts)
+
+
+def test_lines_of_one_target_are_not_gathered_in_one_task(no_broadcast):
+    spark = no_broadcast
+    plan = spark.range(64).selectExpr("concat('/f', id) as file_path", "if(id < 0, 'u', 't') as target_table", "md5(cast(id as string)) as file_hash", "'SUCCESS' as status", "cast(id + 1 as int) as _version_id")
+    lines = spark.range(64).selectExpr("concat('/f', id) as file_path", "explode(sequence(0, 9)) as line_no").withColumn("line", F.lit("x"))
+    rows = ig.rows_for(plan, lines, F.lit("2024-01-01").cast("timestamp_ntz"))
+    assert _largest_share(rows) < 0.5
+    assert {(r._version_id, r._is_latest) for r in rows.collect()} == {(v, v == 64) for v in range(1, 65)} and rows.count() == 640
+
+
+def test_latest_flags_of_odd_rows(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("a", None), (None, 7), ("b", None), ("c", -3)], "target_table string, _version_id int")
+    got = [tuple(r) for r in ig.latest_flags(rows).collect()]
+    want = [("a", 1, False), ("a", 2, True), ("a", 2, True), ("a", None, None), ("b", None, None), ("c", -3, True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
