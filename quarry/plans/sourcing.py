@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import profile as pf
+from quarry.operators.monitoring import settings_side
 from quarry.plans import fixtures as fx
 from quarry.plans.registry import query
 from quarry.plans.tick_marts import BARS, DAILY, MINUTE
@@ -227,12 +228,12 @@ def incremental_ingest(t):
     rules = t.spark.createDataFrame(STREAM_RULES, "rule_order int, regex string, target_table string")
     for wave in range(3):
         docs = t.documents.where(F.col("doc_id") % 3 == wave).withColumn("part", F.expr(f"doc_id div 3 % {FILES}"))
-        files = docs.repartition(FILES, "part").sortWithinPartitions("part", "doc_id")
+        files = docs.repartitionById(FILES, F.col("part").cast("int")).sortWithinPartitions("part", "doc_id")
         files.select("part", "text").write.mode("append").partitionBy("part").text(inbox)
         ist.run_incremental(t.spark, inbox, rules, out, ckpt, fx.RUN_TS)
     rows = ist.loaded_rows(t.spark, out)
     of_file = rows.groupBy("_file_hash").agg(F.count_distinct("_version_id").cast("int").alias("versions"))
     newest = rows.where("_is_latest").select(F.expr(f"max(_version_id - 1) div {FILES}")).scalar()
     wave = F.expr(f"(_version_id - 1) div {FILES}")
-    return rows.join(of_file, "_file_hash").select("target_table", "line_no", "line", wave.cast("int").alias("wave"), "_file_hash", "versions",
+    return rows.join(settings_side(of_file), "_file_hash").select("target_table", "line_no", "line", wave.cast("int").alias("wave"), "_file_hash", "versions",
                                                    (wave == newest).alias("newest_wave"), "_load_timestamp")

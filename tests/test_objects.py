@@ -170,3 +170,21 @@ def test_latest_flags_of_odd_rows(spark):
     got = [tuple(r) for r in ig.latest_flags(rows).collect()]
     want = [("a", 1, False), ("a", 2, True), ("a", 2, True), ("a", None, None), ("b", None, None), ("c", -3, True)]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_lines_of_ingested_files_stay_in_their_splits(no_broadcast):
+    spark = no_broadcast
+    base = _local(spark, "f12")
+    for n in "ab":
+        _put(f"{base}/in", f"docs_{n}.txt", f"line of {n}\n".encode() * 60_000)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        ist.run_incremental(spark, f"{base}/in", _rules(spark), f"{base}/out", f"{base}/ckpt", "2024-01-01 00:00:00")
+        assert len(spark.read.parquet(f"{base}/out/rows/batch_id=0").inputFiles()) > 4
+        rows = ist.loaded_rows(spark, f"{base}/out")
+        assert _largest_share(rows) < 0.4
+        got = rows.groupBy("_version_id", "_is_latest", "line").agg(F.count(F.lit(1)).alias("n"), F.max("line_no").alias("last")).collect()
+        assert sorted((r._version_id, r._is_latest, r.n, r.last) for r in got) == [(1, False, 60_000, 59_999), (2, True, 60_000, 59_999)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
