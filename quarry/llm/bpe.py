@@ -17,6 +17,7 @@ alone, so repeated rows give repeated results, and extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import unicodedata
@@ -35,9 +36,26 @@ WORDS_KEPT = 500_000
 PAIRS_KEPT = 1_000_000
 #: bytes of text encoded at a time; new words of a slice are sorted and share their prefixes
 SLICE = 4 << 20
-_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: letters come first, as most words are letters; no other part begins with a letter, digit or apostrophe
+_WORD = regex.compile(r"[\p{L}]+|[\p{N}]|'(?:s|t|re|ve|m|ll|d)|[^\s\p{L}\p{N}]+")
 #: the same for lower-cased ASCII, where it is faster
-_ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+_ASCII_WORD = re.compile(r"[a-z]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-z0-9]+", re.ASCII)
+_FAR = re.compile("[\U00010000-\U0010ffff]")
+
+
+@functools.cache
+def _near_word() -> re.Pattern:
+    """:data:`_WORD` for texts of code points below 65536, with its classes as plain character
+    sets, which ``re`` looks up faster."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    letter, digit, space = ("".join(f"{re.escape(m[0])}-{re.escape(m[-1])}" for m in _ranges(regex.findall(c, every))) for c in (r"\p{L}", r"\p{N}", r"\s"))
+    return re.compile(f"[{letter}]+|[{digit}]|'(?:s|t|re|ve|m|ll|d)|[^{space}{letter}{digit}]+")
+
+
+def _ranges(letters: list[str]) -> list[str]:
+    """Characters in order, cut into runs without gaps."""
+    starts = [i for i, c in enumerate(letters) if not i or ord(c) != ord(letters[i - 1]) + 1]
+    return ["".join(letters[a:b]) for a, b in zip(starts, [*starts[1:], len(letters)], strict=True)]
 
 
 def byte_letters() -> dict[int, str]:
@@ -207,7 +225,8 @@ class Cutter:
         if text.isascii():
             return _ASCII_WORD.findall(text.lower())
         # lower-casing letter by letter: no special form for a sigma that ends a word
-        return _WORD.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return _WORD.findall(text) if _FAR.search(text) else _near_word().findall(text)
 
 
 class WordTable:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarry.llm.bpe import WORDS_KEPT, Cutter, WordTable, byte_letters, tokenizer_path
+from quarry.llm.bpe import WORDS_KEPT, Cutter, byte_letters, tokenizer_path
 from quarry.llm.common import stored, table, text_slices
 
 END_ID = 1
@@ -42,29 +42,56 @@ PACKING_WORDS = 250_000
 Pattern = tuple[int, dict[int, int]]  # times used, pieces of each width
 
 
-def library_words(spec: str):
-    """Encodes words with the tokenizers library's own model."""
-    model, letters = Tokenizer.from_str(spec).model, byte_letters()
+class LibraryWords(dict[str, bytes]):
+    """Little-endian ids of words by the tokenizers library's own model. A word is encoded when
+    it is first asked for."""
 
-    def encoded(words: list[str]) -> list[tuple[bytes, str]]:
-        out = []
-        for word in words:
-            tokens = model.tokenize("".join([letters[b] for b in word.encode()]))
-            out.append((b"".join([t.id.to_bytes(4, "little") for t in tokens]), ""))
-        return out
+    def __init__(self, spec: str):
+        super().__init__()
+        self.cutter = Cutter(spec)
+        tokenizer = Tokenizer.from_str(spec)
+        self._tokens = tokenizer.model.tokenize
+        self._packed = {i: i.to_bytes(4, "little") for i in tokenizer.get_vocab().values()}
+        self._letters = byte_letters()
 
-    return encoded
+    def __missing__(self, word: str) -> bytes:
+        special = self.cutter.specials.get(word)
+        if special is not None:
+            found = self._packed[special]
+        else:
+            # printable ASCII is its own byte letter
+            shown = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self._letters)
+            packed = self._packed
+            found = b"".join([packed[t.id] for t in self._tokens(shown)])
+        self[word] = found
+        return found
+
+
+class LibraryTable:
+    """Ids of texts, by a table of the words met so far that is emptied when full."""
+
+    def __init__(self, spec: str, kept: int = WORDS_KEPT):
+        self.words, self.kept = LibraryWords(spec), kept
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian ids of each text."""
+        out, get, cut = [], self.words.__getitem__, self.words.cutter.words
+        for text in texts:
+            if len(self.words) > self.kept:
+                self.words.clear()
+            out.append(b"".join(map(get, cut(text))))
+        return out
 
 
-_TABLES: dict[int, WordTable] = {}
+_TABLES: dict[int, LibraryTable] = {}
 
 
-def token_table(spec: str, kept: int = WORDS_KEPT) -> WordTable:
+def token_table(spec: str, kept: int = WORDS_KEPT) -> LibraryTable:
     """One table per worker process, vocabulary and size."""
     key = hash((spec, kept))
     if key not in _TABLES:
         _TABLES.clear()
-        _TABLES[key] = WordTable(Cutter(spec), library_words(spec), kept)
+        _TABLES[key] = LibraryTable(spec, kept)
     return _TABLES[key]
 
 
@@ -82,7 +109,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, seq_len: int = 2048, id_col:
             for first, stop in text_slices(batch.column(1), _SLICE):
                 part = batch.slice(first, stop - first)
                 row, start, length, crc, total, ids = [], [], [], [], [], []
-                for i, data in enumerate(words.encode([t or "" for t in part.column(1).to_pylist()], False)[0]):
+                for i, data in enumerate(words.encode([t or "" for t in part.column(1).to_pylist()])):
                     data += end
                     n = len(data) // 4
                     for at in range(0, n, seq_len):

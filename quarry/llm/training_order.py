@@ -88,7 +88,7 @@ def write_shards(docs: DataFrame, tokenizer: str, out: str, seq_len: int = SEQ_L
                 rows = batch.slice(first, stop - first)
                 ids = rows.column(0).fill_null(-1).to_pylist()
                 found = []
-                for doc, data in zip(ids, words.encode([t or "" for t in rows.column(1).to_pylist()], False)[0], strict=True):
+                for doc, data in zip(ids, words.encode([t or "" for t in rows.column(1).to_pylist()]), strict=True):
                     tokens = np.frombuffer(data + end, "<u4")
                     cut = np.zeros(-(-len(tokens) // seq_len), kind)
                     cut["doc_id"], cut["start"] = doc, np.arange(len(cut)) * seq_len

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarry.llm import bpe, digest_index, hyper_language, secret_scan, toxicity
+from quarry.llm import bpe, cutting_stock, digest_index, hyper_language, secret_scan, toxicity
 from quarry.llm.queries import ORACLES, QUERIES
 
 from .conftest import MIDDLE, SMALL
@@ -253,3 +253,26 @@ def test_drop_duplicates_keeps_one_row_of_each_text(spark, odd_documents):
     assert kept.columns == odd_documents.columns
     assert sorted((r.doc_id for r in kept.collect()), key=lambda i: (i is None, i)) == [-5, 2, 4, 5, 7, 8, 9, 10, 11, None]
     index.drop()
+
+
+# ---- words and ids of packing and training order
+
+ODD_TEXTS = [" ".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)])), "''s 't!'re 'RE 'll'd x's'S 1's²½ \x1c\x85\xa0", "é'd 中文's 𝒳's 😀!", "<|endoftext|> it's <|endoftext|>\x00\x7f", ""]
+
+
+def test_near_and_far_patterns_cut_alike():
+    for text in ODD_TEXTS:
+        assert bpe._near_word().findall(text) == bpe._WORD.findall(text) or bpe._FAR.search(text)
+        assert bpe._ASCII_WORD.findall(text) == bpe._WORD.findall(text) or not text.isascii()
+
+
+def test_library_table_encodes_words_once_and_as_the_other_table_does(monkeypatch):
+    table = cutting_stock.LibraryTable(SPEC, kept=50)
+    want = bpe.WordTable(bpe.Cutter(SPEC), bpe.PrefixEncoder(SPEC).encoded).encode(ODD_TEXTS, False)[0]
+    assert table.encode(ODD_TEXTS) == want and table.encode(ODD_TEXTS) == want  # also after it was emptied
+    asked = []
+    tokens = table.words._tokens
+    table.words.clear()
+    table.words._tokens = lambda word: asked.append(word) or tokens(word)
+    table.encode(["one two one", "two One three"])
+    assert asked == ["one", "two", "three"]
