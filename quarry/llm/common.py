@@ -16,6 +16,8 @@ from quarry.session import shared_dir
 U64 = np.uint64
 #: bytes of text worked on at a time inside a task; longer single texts form a slice of their own
 SLICE_BYTES = 1 << 20
+#: bytes of an Arrow batch. Each running task holds batches in the JVM and in Python; Spark's own limit is 64 MB
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +45,15 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches that tasks exchange with Python by BATCH_BYTES, whatever the length of
+    a row; a smaller limit of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    limit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < limit <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def text_slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column holding about ``limit`` bytes each (one row at least)."""
     n = len(col)

@@ -29,13 +29,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quarry.llm.bpe import WORDS_KEPT, Cutter, byte_letters, tokenizer_path
-from quarry.llm.common import stored, table, text_slices
+from quarry.llm.common import small_batches, stored, table, text_slices
 
 END_ID = 1
 #: the linear program ends when it is this close to its bound, or after so many columns;
 #: lengths are rounded up until there are so many widths
 GAP, COLUMNS, MOST_WIDTHS = 2e-4, 300, 512
-_SLICE = 4 << 20
 #: words kept per worker while packing
 PACKING_WORDS = 250_000
 
@@ -99,6 +98,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, seq_len: int = 2048, id_col:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, and ids (binary)
     if asked for."""
     spark = docs.sparkSession
+    small_batches(spark)
     with open(tokenizer, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
     end = END_ID.to_bytes(4, "little")
@@ -106,7 +106,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, seq_len: int = 2048, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = token_table(spec.value, PACKING_WORDS)
         for batch in batches:
-            for first, stop in text_slices(batch.column(1), _SLICE):
+            for first, stop in text_slices(batch.column(1)):
                 part = batch.slice(first, stop - first)
                 row, start, length, crc, total, ids = [], [], [], [], [], []
                 for i, data in enumerate(words.encode([t or "" for t in part.column(1).to_pylist()])):

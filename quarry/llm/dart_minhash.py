@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import U64, drop_stored, mix, stored, table, text_slices, words_of
+from quarry.llm.common import U64, drop_stored, mix, small_batches, stored, table, text_slices, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -43,6 +43,8 @@ K = BANDS * R
 GROUP, GROUP_BYTES = 1024, 16 << 20
 #: a pair is checked if its K coordinates agree in this share (4.5 standard errors below THRESHOLD)
 ESTIMATE = 0.62
+#: unit cells thrown at together; a text takes about K * (log(K) + 5), however short it is
+CELLS = 1 << 17
 #: bits of the filter that spares documents outside all pairs a shuffle
 BITS = 1 << 25
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(14)])
@@ -108,10 +110,22 @@ def _throw(row, code, weight, reach, n_rows, k):
 
 
 def signatures(row: np.ndarray, code: np.ndarray, weight: np.ndarray, n_rows: int, k: int = K) -> np.ndarray:
-    """(rows, k) dart ids; rows without shingles are zeros."""
+    """(rows, k) dart ids; rows without shingles are zeros. ``row`` ascends. Rows are thrown for
+    in blocks of about CELLS unit cells, so memory doesn't grow with the number of short texts."""
     total = np.bincount(row, weight, minlength=n_rows)
     reach = k * (math.log(k) + 5) / np.maximum(total, 1)
-    ids, missing = np.zeros((n_rows, k), U64), total > 0
+    ids = np.zeros((n_rows, k), U64)
+    block = np.cumsum(total * np.ceil(reach)) // CELLS
+    cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), n_rows]
+    for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+        own = slice(*np.searchsorted(row, (start, stop)))
+        ids[start:stop] = _thrown(row[own] - start, code[own], weight[own], reach[start:stop], total[start:stop] > 0, k)
+    return ids
+
+
+def _thrown(row: np.ndarray, code: np.ndarray, weight: np.ndarray, reach: np.ndarray, missing: np.ndarray, k: int) -> np.ndarray:
+    """Dart ids of the ``missing`` rows; those with an empty coordinate throw again, twice as far."""
+    ids = np.zeros((len(reach), k), U64)
     while missing.any():
         some = missing[row]
         small = np.cumsum(missing) - 1
@@ -205,7 +219,7 @@ def _items(need: DataFrame, docs: DataFrame, weights: str) -> DataFrame:
             place = _places(batch.column(0).to_numpy())
             maybe = ((held[place >> 6].view(U64) >> (place & 63).astype(U64)) & U64(1)).all(axis=1)
             batch = batch.filter(pa.array(maybe))
-            for start, stop in text_slices(batch.column(1)):
+            for start, stop in text_slices(batch.column(1), 1 << 19):
                 part = batch.slice(start, stop - start)
                 row, code, weight = shingle_sets(part.column(1), weights)
                 again = np.repeat(np.arange(len(row)), weight)
@@ -317,9 +331,9 @@ def _bucket_links(shared: DataFrame, nodes: DataFrame, classes: DataFrame, docs:
 
         def done() -> pa.RecordBatch:
             t = pa.Table.from_batches(parts)
-            column = {n: t.column(n).combine_chunks() for n in ("band", "node", "class", "side", "signature", "items")}
+            column = {n: t.column(n).combine_chunks() for n in ("band", "node", "class", "side", "signature")}
             signature = np.frombuffer(b"".join(column["signature"].to_pylist()), "<u2").reshape(-1, K)
-            sets = [np.frombuffer(x, "<u4") for x in column["items"].to_pylist()]
+            sets = [np.frombuffer(x.as_buffer(), "<u4") for x in t.column("items")]  # no copies
             group = Group(column["band"][0].as_py(), column["node"].to_numpy(), column["class"].to_numpy(), column["side"].to_numpy(zero_copy_only=False), signature, sets, threshold)
             links = group.links()
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
@@ -354,6 +368,7 @@ def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "set", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (the class's least id), kept (whether
     this is the class's document)."""
+    small_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     named = plain.where("doc_id is not null")
     sketched = stored(sketches(named, weights), "sketches")

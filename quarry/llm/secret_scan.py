@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table, text_slices
+from quarry.llm.common import small_batches, table, text_slices
 
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -84,6 +84,7 @@ def _counted(texts: Iterator[str | None], counts: np.ndarray) -> None:
 
 def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Log-likelihood ratio of each transition (62 x 62), from all documents."""
+    small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, _SIZE * _SIZE), np.int64)
@@ -123,6 +124,7 @@ def spans_of(text: str, ratio: np.ndarray, threshold: float = THRESHOLD, least:
 
 def find_secrets(docs: DataFrame, ratio: np.ndarray | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, spans (array of kind, start, end, by start, then kind)."""
+    small_batches(docs.sparkSession)
     ratio = train(docs, text_col) if ratio is None else ratio
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -155,6 +157,7 @@ def masked(text: str, spans: list[Span], mask: str = "[secret]") -> str:
 def mask_secrets(docs: DataFrame, ratio: np.ndarray | None = None, threshold: float = THRESHOLD, text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """``docs`` with all rows and columns, secrets in the text replaced by ``[secret]``;
     ``length_col``, if given, follows the text where it changed."""
+    small_batches(docs.sparkSession)
     ratio = train(docs, text_col) if ratio is None else ratio
     names = docs.columns
     at = names.index(text_col)

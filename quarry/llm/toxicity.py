@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import LETTERS_DIGITS, U64, mix, stored, table, text_slices, words_of
+from quarry.llm.common import LETTERS_DIGITS, U64, mix, small_batches, stored, table, text_slices, words_of
 
 BITS = 20
 TRAIN_ROWS = 10_000
@@ -33,6 +33,8 @@ TRAIN_ROWS = 10_000
 LEAST_ROWS = 3
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.01
+#: bytes of text at a time: features take about 60 bytes a byte
+SLICE = 1 << 19
 BIAS = 0  # place of the constant feature
 
 
@@ -73,6 +75,7 @@ def _distinct(row: np.ndarray, place: np.ndarray, bits: int) -> tuple[np.ndarray
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = TRAIN_ROWS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(places, weights) other than zero, from at most ``max_rows`` labelled documents."""
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null")
     known = known.groupBy("id").agg(F.max("label").alias("label")).withColumn("rank", F.xxhash64("id"))
     # the sample: a list of ids and labels, broadcast (max_rows rows at most)
@@ -82,7 +85,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, stop in text_slices(batch.column(3)):
+            for start, stop in text_slices(batch.column(3), SLICE):
                 part = batch.slice(start, stop - start)
                 row, place = _distinct(*features(part.column(3), bits), bits)
                 cut = np.searchsorted(row, np.arange(1, len(part)))
@@ -99,7 +102,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for places, _ in cases:
             seen[places] += 1
         seen[BIAS] = LEAST_ROWS
-        weights = ftrl([(places[seen[places] >= LEAST_ROWS], y) for places, y in cases], bits) if cases else np.zeros(1)
+        for i, (places, y) in enumerate(cases):  # one by one: the whole lists go as the short ones come
+            cases[i] = places[seen[places] >= LEAST_ROWS], y
+        weights = ftrl(cases, bits) if cases else np.zeros(1)
         at = np.flatnonzero(weights)
         yield pd.DataFrame({"places": [at.astype("<i8").tobytes()], "weights": [weights[at].astype("<f8").tobytes()]})
 
@@ -121,6 +126,7 @@ def _scores(texts: pa.Array, dense: np.ndarray, trained: bool, bits: int) -> np.
 
 def score_texts(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """One row per row: doc_id, score (0 to 1)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +134,7 @@ def score_texts(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: s
         dense = np.zeros(1 << bits)
         dense[places] = weights
         for batch in batches:
-            for start, stop in text_slices(batch.column(1)):
+            for start, stop in text_slices(batch.column(1), SLICE):
                 part = batch.slice(start, stop - start)
                 scores = _scores(part.column(1), dense, len(places) > 0, bits)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores)], ["doc_id", "score"])
@@ -140,6 +146,7 @@ def score_texts(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: s
 
 def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold: float = 0.5, text_col: str = "text", bits: int = BITS) -> DataFrame:
     """Rows of ``docs`` whose score is below ``threshold``, with all their columns."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     at = names.index(text_col)
@@ -149,7 +156,7 @@ def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold:
         dense = np.zeros(1 << bits)
         dense[places] = weights
         for batch in batches:
-            for start, stop in text_slices(batch.column(at)):
+            for start, stop in text_slices(batch.column(at), SLICE):
                 part = batch.slice(start, stop - start)
                 yield part.filter(pa.array(_scores(part.column(at), dense, len(places) > 0, bits) < threshold))
 

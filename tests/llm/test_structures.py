@@ -1,6 +1,7 @@
 """op2, op3, op5, op6, op8 and the pipeline, against brute force."""
 
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quarry.llm import cutting_stock, dart_minhash, dimension_scan, training_order, url_rules
+from quarry.llm import cutting_stock, dart_minhash, dimension_scan, toxicity, training_order, url_rules
 from quarry.llm.bpe import tokenizer_path
 from quarry.llm.queries import QUERIES
 
@@ -155,6 +156,46 @@ def test_signatures_agree_as_often_as_weighted_jaccard(weights):
     del rng
 
 
+def test_signatures_of_many_short_texts_take_little_memory():
+    texts = pa.array([None, "", *(f"word{i} some" for i in range(4000)), " ".join(f"w{i}" for i in range(3000)), "last one"])
+    row, code, weight = dart_minhash.shingle_sets(texts)
+    tracemalloc.start()
+    ids = dart_minhash.signatures(row, code, weight, len(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20  # all texts at once: over 300 MB
+    assert not ids[:2].any() and ids[2:].all()
+    for i in (2, 2001, 4002, 4003):
+        alone = dart_minhash.signatures(*dart_minhash.shingle_sets(texts[i : i + 1]), 1)
+        assert (alone[0] == ids[i]).all()
+    assert dart_minhash.signatures(row[:0], code[:0], weight[:0], 0).shape == (0, dart_minhash.K)
+
+
+@pytest.mark.parametrize("step", ["toxicity", "near dedup", "secrets", "packing"])
+def test_pipeline_stages_bound_the_bytes_of_arrow_batches(spark, step):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.range(0, 800, 1, 1).selectExpr("id as doc_id", "concat(id, repeat(' some words', 2000)) as text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([len(batch)])], ["bytes", "n"])
+
+    try:
+        spark.conf.set(name, "64m")
+        if step == "toxicity":
+            toxicity.drop_toxic(docs, (np.zeros(0, np.int64), np.zeros(0)))
+        else:
+            dict(corpus_pipeline.STAGES)[step](spark, docs.limit(3), SMALL)
+        got = docs.mapInArrow(sizes, "bytes bigint, n bigint").collect()
+        assert sum(r.n for r in got) == 800 and max(r.bytes for r in got) <= 5 << 20
+        spark.conf.set(name, str(1 << 20))  # a smaller limit stays
+        toxicity.drop_toxic(docs, (np.zeros(0, np.int64), np.zeros(0)))
+        assert spark.conf.get(name).rstrip("b") == str(1 << 20)
+    finally:
+        spark.conf.set(name, before)
+
+
 # ---- training order
 
 @settings(max_examples=60, deadline=None)
